@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The audited workload is one batch refresh of whole tables (every stage is a
+``CREATE OR REPLACE TABLE``); it has no watermark, window, state or late-data
+construct, so there is no Structured Streaming operator to rebuild. A caller
+that receives applications continuously can run :class:`lendlens.plans.AuditPipeline`
+on each refreshed table; nothing here adds behaviour the audit does not have.
+"""
