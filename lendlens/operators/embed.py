@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit
@@ -32,30 +32,61 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: F.length(t) > 0)
 
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Signed feature-hashing vector of ``text`` (``array<double>``, unit norm).
+def _token_hash(t: Column, dim: int) -> tuple[Column, Column]:
+    slot = (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    sign = F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2 == 0, dlit(1.0)).otherwise(dlit(-1.0))
+    return slot, sign
+
+
+def hash_embedding_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """Feature-hashing embedding as sparse rows ``(id, slot, value)``.
 
     Token ``t`` adds ``+1`` or ``-1`` (md5 hex digit 9 even/odd) to slot
-    ``int(md5(t)[0:8], 16) mod dim``. NULL text gives a NULL vector; text with
-    no token gives the zero vector.
+    ``int(md5(t)[0:8], 16) mod dim``; the vector is L2-normalised; zero slots
+    are not emitted. Tokens are exploded and summed with a (partial + final)
+    aggregate on ``(id, slot)``; the norm is a window over one document's
+    non-zero slots (at most ``dim`` rows). All of it runs in generated code.
     """
-    hashed = F.transform(
-        tokens(text),
-        lambda t: F.struct(
-            (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("slot"),
-            F.when(F.conv(F.substring(F.md5(t), 9, 1), 16, 10).cast("int") % 2 == 0, dlit(1.0))
-            .otherwise(dlit(-1.0)).alias("sign"),
-        ),
-    )
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(
-            hashed, dlit(0.0), lambda acc, h: acc + F.when(h["slot"] == i, h["sign"]).otherwise(dlit(0.0))
-        ),
+    tok = df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t"))
+    slot, sign = _token_hash(F.col("_t"), dim)
+    counts = (
+        tok.select(id_col, slot.alias("slot"), sign.alias("_sign"))
+        .groupBy(id_col, "slot")
+        .agg(F.sum("_sign").alias("_count"))
+        .where(F.col("_count") != 0)
     )
-    norm = F.sqrt(F.aggregate(counts, dlit(0.0), lambda acc, x: acc + x * x))
-    vec = F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
-    return F.when(text.isNotNull(), vec)
+    norm = F.sqrt(F.sum(F.col("_count") * F.col("_count")).over(Window.partitionBy(id_col)))
+    return counts.select(id_col, "slot", (F.col("_count") / norm).alias("value"))
+
+
+def _hash_vectors(texts, dim: int):
+    """numpy helper behind :func:`hash_embedding` (same definition as the sparse form)."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    split = re.compile(r"[^a-z0-9]+")
+    out = []
+    for text in texts:
+        vec = np.zeros(dim)
+        for tok in split.split(text.lower()):
+            if tok:
+                digest = hashlib.md5(tok.encode("utf-8")).hexdigest()
+                vec[int(digest[:8], 16) % dim] += 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+        n = float(np.sqrt((vec * vec).sum()))
+        out.append(vec / n if n > 0 else vec)
+    return out
+
+
+def hash_embedding(text: Column, dim: int = 64) -> Column:
+    """Dense ``array<double>`` form of the feature-hashing embedding.
+
+    A dense per-row vector needs a loop over tokens; Spark's higher-order
+    functions run it interpreted (tokens x dim steps per row), so this is an
+    Arrow-batched pandas UDF instead. NULL text gives NULL.
+    """
+    return python_embedder(lambda s: _hash_vectors(s, dim))(text)
 
 
 def python_embedder(fn: Callable, batch_hint: int = 1024) -> Callable[[Column], Column]:
