@@ -13,11 +13,14 @@ executor re-reads a stored table instead of recomputing the audit.
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import assess, clusters, embed, evaluate, features, lenders, pairs, report, rules, stats
+from ..session import ensure_checkpoint_dir
 from ..sources import adapter, sinks
 
 
@@ -56,6 +59,9 @@ class AuditPipeline:
     def _stage(self, df: DataFrame, name: str, partition_by=()) -> DataFrame:
         if not self.materialize:
             return df
+        if self.stage_root is None:
+            # one folder per pipeline run under the shared checkpoint folder
+            self.stage_root = os.path.join(ensure_checkpoint_dir(self.spark), "lendlens-stages", uuid.uuid4().hex)
         return sinks.stage_table(self.spark, df, name, self.stage_root, partition_by)
 
     # ---- ingest ---------------------------------------------------------------
@@ -96,7 +102,7 @@ class AuditPipeline:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return rules.pair_evidence(self.pairs, self.rule_specs)
+        return self._stage(rules.pair_evidence(self.pairs, self.rule_specs), "pair_evidence")
 
     @cached_property
     def clusters(self) -> DataFrame:

@@ -36,7 +36,10 @@ class Query:
 
 
 def _pipe(spark: SparkSession, sf_dir: str) -> AuditPipeline:
-    return AuditPipeline(spark, sf_dir)
+    """A fresh pipeline per query: the stages it reuses are stored once in a
+    new folder under ``spark.checkpoint.dir`` (nothing is shared between calls,
+    so every query does all of its upstream work itself)."""
+    return AuditPipeline(spark, sf_dir, materialize=True)
 
 
 REGISTRY: dict[str, Query] = {}
@@ -322,6 +325,48 @@ register(Query(
 ))
 
 
+# --- vector index and K-means model -----------------------------------------------------------
+KNN_K = 10
+_KNN_COLS = ["vec_id", "neighbour_id", "cosine_distance", "neighbour_rank"]
+
+
+def _vectors(p: AuditPipeline) -> DataFrame:
+    from ..sources.adapter import table_vectors
+    return table_vectors(p.spark, p.sf_dir)
+
+
+def _knn(exact: bool):
+    def build(p: AuditPipeline) -> DataFrame:
+        from ..operators.vector_index import knn_join
+        v = _vectors(p)
+        return knn_join(v, v, query_id="vec_id", base_id="vec_id", vector_col="vector", k=KNN_K,
+                        nlist=16, nprobe=2, exact=exact)
+    return build
+
+
+_UNIT = "list_transform(v, lambda x: x / sqrt({ss}))".format(ss=O.sumsq("v"))
+_KNN_FROM = f"""(
+  SELECT a.vec_id, b.vec_id AS neighbour_id,
+    CAST(1 AS DOUBLE) - {O.dot('a.u', 'b.u')} AS cosine_distance
+  FROM (SELECT vec_id, {_UNIT} AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) x) a
+  JOIN (SELECT vec_id, {_UNIT} AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y) b
+    ON a.vec_id <> b.vec_id
+) d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine_distance, neighbour_id) <= {KNN_K}"""
+register(Query("knn_exact", _knn(True), _KNN_COLS, _KNN_FROM, [],
+               ["vec_id", "neighbour_id", "cosine_distance",
+                "CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine_distance, neighbour_id) AS INTEGER) AS neighbour_rank"]))
+register(Query("knn_ivf", _knn(False), _KNN_COLS))
+
+
+def _kmeans(p: AuditPipeline) -> DataFrame:
+    from ..operators.vector_index import kmeans_assign
+    return kmeans_assign(p.embedded.select("application_id", "profile_embedding"), "profile_embedding",
+                         "application_id", k=50, seed=42, standardize=True)
+
+
+register(Query("kmeans_assign", _kmeans, ["application_id", "kmeans_cluster"]))
+
+
 # --- public API -----------------------------------------------------------------------------
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = REGISTRY[name]

@@ -51,7 +51,7 @@ def test_clean_and_features_edges(spark, tmp_path):
     ]
     raw = read_raw_csv(spark, write_csv(str(tmp_path), lines))
     cleaned = FE.clean_applications(raw)
-    assert cleaned.count() == 10
+    assert cleaned.count() == 9
     feats = {r.census_tract: r for r in FE.add_features(cleaned).collect()}
     assert set(feats) == {"a", "e", "g", "h", "k", "m"}
     a = feats["a"]
