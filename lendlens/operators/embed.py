@@ -13,6 +13,7 @@ Here an embedder is any of:
 
 from __future__ import annotations
 
+import pandas as pd
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,7 +95,6 @@ def python_embedder(fn: Callable, batch_hint: int = 1024) -> Callable[[Column],
 
     Runs as a scalar pandas UDF: Arrow batches, one Python call per batch.
     """
-    import pandas as pd
 
     @F.pandas_udf("array<double>")
     def _embed(texts: pd.Series) -> pd.Series:

@@ -170,7 +170,10 @@ def similar_pairs(
         & (F.abs(c("calculated_dti_ratio")) < dlit(float("inf")))
     )
     wide = (math.log(max(band_high, 1.0 / band_low)), math.log(max(band_high, 1.0 / band_low)), band_dti)
-    tight = (-math.log(1.0 - income_tol), -math.log(1.0 - loan_tol), dti_tol)
+    def log_width(tol: float) -> float:  # |a-b|/max(a,b) < tol  <=>  |ln a - ln b| < -ln(1 - tol)
+        return -math.log(1.0 - tol) if tol < 1.0 else math.inf
+
+    tight = (log_width(income_tol), log_width(loan_tol), dti_tol)
     cells = wide if cap is not None else tuple(min(a, b) for a, b in zip(wide, tight))
     cand = pair_candidates(apps, block, *cells, vector_col=vector_col).where(_band(band_low, band_high, band_dti))
 

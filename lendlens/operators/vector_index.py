@@ -22,6 +22,7 @@ monotone in it, which is what the bounds use.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +61,6 @@ def kmeans_assign(df: DataFrame, vector_col: str, id_col: str, k: int = 50, seed
 def _centre_distances(centres, dim: int):
     """pandas UDF: Euclidean distance of each unit vector to every centre."""
     import numpy as np
-    import pandas as pd
 
     cm = np.asarray(centres, dtype=float)
     c_sq = (cm * cm).sum(axis=1)

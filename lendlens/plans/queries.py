@@ -138,7 +138,7 @@ DOUBLE_COLUMNS = set(
     avg_racial_ai_validation_score avg_gender_ai_validation_score ai_recall_sensitivity ai_precision ai_specificity
     ai_accuracy ai_f1_score ai_auc_approximation ai_business_logic_violation ai_vector_racial_discrimination
     ai_vector_gender_discrimination ai_vector_ethnic_discrimination ai_cluster_minority_area_violation
-    ai_cluster_outlier_violation ai_intersectional_violation total_ai_weighted_violations distance""".split()
+    ai_cluster_outlier_violation ai_intersectional_violation total_ai_weighted_violations distance cosine_distance""".split()
 )
 
 

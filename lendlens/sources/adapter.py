@@ -41,9 +41,19 @@ def _pick(values: list[str], u) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (u % len(values) + 1).cast("int"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a narrow scan over the cluster when it arrives in fewer
+    splits than there are cores (a single-row-group file is one task); a
+    scan that is already split is left alone."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < parallelism:
+        return df.repartition(parallelism)
+    return df
+
+
 def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-schema rows (plus ``source_key``) for every order of ``sf_dir``."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # nation has a fixed 25 rows: a proven-small broadcast side.
     nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))

@@ -183,7 +183,7 @@ def test_lender_tier_and_flags(spark):
     ).withColumn("red", lenders.redlining_flag())
     got = {r.i: r for r in df.collect()}
     assert [got[i].tier for i in range(5)] == [c[2] for c in cases]
-    assert got[1].red == "AI_POSSIBLE_REDLINING_PATTERN" and got[0].red == "NO_AI_REDLINING_PATTERN"
+    assert got[1].red == "AI_VERIFIED_REDLINING_PATTERN" and got[0].red == "NO_AI_REDLINING_PATTERN"
     assert got[0].black == "NO_AI_BLACK_DISPARITY"
 
 
