@@ -98,12 +98,9 @@ def python_embedder(fn: Callable, batch_hint: int = 1024) -> Callable[[Column],
 
     @F.pandas_udf("array<double>")
     def _embed(texts: pd.Series) -> pd.Series:
-        mask = texts.notna()
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        if mask.any():
-            vecs = fn(texts[mask])
-            out[mask] = [list(map(float, v)) for v in vecs]
-        return out
+        present = texts.notna().tolist()
+        vecs = iter(fn(texts[texts.notna()]) if any(present) else ())
+        return pd.Series([[float(x) for x in next(vecs)] if ok else None for ok in present])
 
     return lambda text: _embed(text)
 
