@@ -16,17 +16,31 @@ def as_double_array(c: ColumnOrName) -> Column:
     return col(c).cast("array<double>")
 
 
-def dot(a: ColumnOrName, b: ColumnOrName) -> Column:
+# Vectors up to this length may be unrolled into plain arithmetic when their
+# length is known: generated code instead of interpreted lambdas.
+UNROLL_MAX = 32
+
+
+def dot(a: ColumnOrName, b: ColumnOrName, dim: int | None = None) -> Column:
+    """Left-to-right sum of products (same order either way)."""
+    if dim is not None and dim <= UNROLL_MAX:
+        a, b = col(a), col(b)
+        out = F.get(a, 0) * F.get(b, 0)
+        for i in range(1, dim):
+            out = out + F.get(a, i) * F.get(b, i)
+        return out
     prods = F.zip_with(col(a), col(b), lambda x, y: x * y)
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def sum_squares(a: ColumnOrName) -> Column:
+def sum_squares(a: ColumnOrName, dim: int | None = None) -> Column:
+    if dim is not None and dim <= UNROLL_MAX:
+        return dot(a, a, dim)
     return F.aggregate(col(a), F.lit(0.0).cast("double"), lambda acc, x: acc + x * x)
 
 
-def l2_norm(a: ColumnOrName) -> Column:
-    return F.sqrt(sum_squares(a))
+def l2_norm(a: ColumnOrName, dim: int | None = None) -> Column:
+    return F.sqrt(sum_squares(a, dim))
 
 
 def normalize(a: ColumnOrName) -> Column:

@@ -112,6 +112,9 @@ def embed_text(df: DataFrame, text_col: str, out_col: str, embedder: Callable[[C
     return df.withColumn(out_col, fn(F.col(text_col)))
 
 
+FINANCIAL_DIM = 4
+
+
 def financial_vector(scale_income: float = 200.0, scale_loan: float = 500.0) -> Column:
     """Numeric financial vector ``[income/200, loan/500, dti, (spread+1)/4]``."""
     return F.array(

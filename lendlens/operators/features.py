@@ -36,9 +36,13 @@ def clean_applications(
     states: Sequence[str] = AUDIT_STATES,
     order_key: str = "source_key",
     chunk_width: int = 4096,
+    hashed_key: bool = False,
 ) -> DataFrame:
     """State filter, validation with NULL-on-invalid, surrogate id.
 
+    ``hashed_key=True`` when ``order_key`` is a content hash (CSV input) rather
+    than a dense row id (see :func:`lendlens.operators.ids.number_within`).
+
     Sentinel checks are case-sensitive where the audit's are (``rate_spread``
     row filter), case-insensitive where it upper-cases; numbers that still do
     not parse become NULL (``try_cast``) instead of failing the job.
@@ -73,7 +77,7 @@ def clean_applications(
         "action_taken", "denial_reason_1", "denial_reason_2", "denial_reason_3",
         order_key,
     )
-    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width)
+    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width, hashed_key=hashed_key)
 
 
 def amortized_dti(

@@ -26,12 +26,21 @@ def number_within(
     order_key: str,
     out_col: str = "rownum",
     chunk_width: int = 4096,
+    hashed_key: bool = False,
+    hashed_chunk_bits: int = 24,
 ) -> DataFrame:
     """Add ``out_col`` = 1-based rank of ``order_key`` within ``partition_col``.
 
-    ``order_key`` must be a unique integral column (ties are broken by nothing).
+    ``order_key`` is an integral column. A dense key (row ids) is chunked by
+    ``key div chunk_width``. A hashed key (uniform over 64 bits, e.g. a content
+    hash) is chunked by its top ``hashed_chunk_bits`` bits, so the chunk count
+    stays bounded (2^24 by default) however many rows there are; ``key div
+    width`` would make one chunk per row there.
     """
-    chunk = F.floor(F.col(order_key) / F.lit(chunk_width)).cast("bigint")
+    if hashed_key:
+        chunk = F.shiftright(F.col(order_key), 64 - hashed_chunk_bits)
+    else:
+        chunk = F.floor(F.col(order_key) / F.lit(chunk_width)).cast("bigint")
     keyed = df.withColumn("_chunk", chunk)
     counts = keyed.groupBy(partition_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(partition_col).orderBy("_chunk").rowsBetween(
@@ -49,10 +58,11 @@ def number_within(
 
 
 def application_ids(
-    df: DataFrame, order_key: str = "source_key", chunk_width: int = 4096, out_col: str = "application_id"
+    df: DataFrame, order_key: str = "source_key", chunk_width: int = 4096, out_col: str = "application_id",
+    hashed_key: bool = False,
 ) -> DataFrame:
     """``CONCAT(lei, '_', activity_year, '_', n)``; NULL when ``lei`` is NULL."""
-    numbered = number_within(df, "lei", order_key, "_rownum", chunk_width)
+    numbered = number_within(df, "lei", order_key, "_rownum", chunk_width, hashed_key=hashed_key)
     return numbered.withColumn(
         out_col,
         F.concat(

@@ -85,10 +85,10 @@ def _dims(income_half: float, loan_half: float, dti_half: float) -> list[tuple[s
     ]
 
 
-def _side(apps: DataFrame, prefix: str, block: Sequence[str], vector_col: str) -> DataFrame:
+def _side(apps: DataFrame, prefix: str, block: Sequence[str], vector_col: str, dim: int | None = None) -> DataFrame:
     cols = [F.col(c).alias(c) for c in block]
     cols += [F.col(c).alias(f"{prefix}_{_SIDE_NAMES[c]}") for c in _SIDE_COLS]
-    cols += [F.col(vector_col).alias(f"{prefix}_vec"), l2_norm(F.col(vector_col)).alias(f"{prefix}_norm")]
+    cols += [F.col(vector_col).alias(f"{prefix}_vec"), l2_norm(F.col(vector_col), dim).alias(f"{prefix}_norm")]
     cols += [F.col(c) for c in ("_ci", "_cl", "_cd")]
     return apps.select(*cols)
 
@@ -100,6 +100,7 @@ def pair_candidates(
     loan_half: float,
     dti_half: float,
     vector_col: str = "financial_embedding",
+    vector_dim: int | None = None,
 ) -> DataFrame:
     """All (base, similar) pairs of a block whose three coordinates are within
     the given half-widths (log scale for income and loan), as an equi-join.
@@ -112,7 +113,7 @@ def pair_candidates(
     celled = apps.withColumns({name: own[name] for name, _, _ in dims}).withColumns(
         {f"{name}_n": near[name] for name, _, _ in dims}
     )
-    base = _side(celled, "base", block, vector_col)
+    base = _side(celled, "base", block, vector_col, vector_dim)
     combos = [
         F.struct(*[F.col(name if pick == 0 else f"{name}_n").alias(name) for (name, _, _), pick in zip(dims, picks)])
         for picks in itertools.product((0, 1), repeat=len(dims))
@@ -120,7 +121,7 @@ def pair_candidates(
     similar_src = celled.withColumn("_cells", F.explode(F.array(*combos))).drop("_ci", "_cl", "_cd").select(
         "*", "_cells.*"
     )
-    similar = _side(similar_src, "similar", block, vector_col)
+    similar = _side(similar_src, "similar", block, vector_col, vector_dim)
     keys = list(block) + ["_ci", "_cl", "_cd"]
     return base.join(similar, keys).where(F.col("base_app_id") < F.col("similar_app_id")).drop("_ci", "_cl", "_cd")
 
@@ -153,9 +154,14 @@ def similar_pairs(
     dti_tol: float = DTI_TOL,
     top_k: int | None = TOP_K,
     cap: int | None = None,
+    vector_dim: int | None = None,
 ) -> DataFrame:
     """M4: financially similar pairs per block.
 
+    ``vector_dim``: the vectors' length when it is known and fixed (the
+    adapter's financial vector has 4 numbers); short vectors are then compared
+    with unrolled arithmetic instead of interpreted higher-order functions.
+
     ``cap=None`` (default) keeps every candidate pair: exact and scalable.
     ``cap=5000`` reproduces the audited script's per-block sampling, which is
     applied to the wide 0.5x-2x band *before* the tight filters; then the cell
@@ -175,7 +181,9 @@ def similar_pairs(
 
     tight = (log_width(income_tol), log_width(loan_tol), dti_tol)
     cells = wide if cap is not None else tuple(min(a, b) for a, b in zip(wide, tight))
-    cand = pair_candidates(apps, block, *cells, vector_col=vector_col).where(_band(band_low, band_high, band_dti))
+    cand = pair_candidates(apps, block, *cells, vector_col=vector_col, vector_dim=vector_dim).where(
+        _band(band_low, band_high, band_dti)
+    )
 
     if cap is not None:
         w = Window.partitionBy(*block).orderBy(pair_sample_order())
@@ -183,7 +191,7 @@ def similar_pairs(
 
     dist = F.when(
         (c("base_norm") > 0) & (c("similar_norm") > 0),
-        dlit(1.0) - dot(c("base_vec"), c("similar_vec")) / (c("base_norm") * c("similar_norm")),
+        dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),
     )
     scored = cand.withColumn("financial_similarity_distance", dist).where(
         c("financial_similarity_distance") < dlit(max_distance)
@@ -221,7 +229,8 @@ def similar_pairs(
 
 
 def cosine_distance_pairs(embedded: DataFrame, *, block: Sequence[str] = ("lei", "state_code"),
-                          vector_col: str = "financial_embedding", max_distance: float = MAX_DISTANCE) -> DataFrame:
+                          vector_col: str = "financial_embedding", max_distance: float = MAX_DISTANCE,
+                          vector_dim: int | None = None) -> DataFrame:
     """M3 + J1/J2 alone: band-joined pairs with their cosine distance below
     ``max_distance`` (no tight filters, no ranking)."""
     c = F.col
@@ -231,10 +240,12 @@ def cosine_distance_pairs(embedded: DataFrame, *, block: Sequence[str] = ("lei",
         & ~F.isnan(c("calculated_dti_ratio")) & (F.abs(c("calculated_dti_ratio")) < dlit(float("inf")))
     )
     half = math.log(max(BAND_HIGH, 1.0 / BAND_LOW))
-    cand = pair_candidates(apps, block, half, half, BAND_DTI, vector_col=vector_col).where(_band(BAND_LOW, BAND_HIGH, BAND_DTI))
+    cand = pair_candidates(apps, block, half, half, BAND_DTI, vector_col=vector_col, vector_dim=vector_dim).where(
+        _band(BAND_LOW, BAND_HIGH, BAND_DTI)
+    )
     dist = F.when(
         (c("base_norm") > 0) & (c("similar_norm") > 0),
-        dlit(1.0) - dot(c("base_vec"), c("similar_vec")) / (c("base_norm") * c("similar_norm")),
+        dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),
     )
     return cand.select("base_app_id", "similar_app_id", *block, dist.alias("financial_similarity_distance")).where(
         c("financial_similarity_distance") < dlit(max_distance)

@@ -71,7 +71,8 @@ class AuditPipeline:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return features.clean_applications(self.raw)
+        # the adapter's key is a dense row id; raw CSV rows carry a content hash
+        return features.clean_applications(self.raw, hashed_key=self._raw is not None)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -94,11 +95,18 @@ class AuditPipeline:
             df = embed.embed_applications(self.profiles, self.profile_embedder, self.financial_embedder)
         return self._stage(df, "application_embeddings", ("state_code",))
 
+    @property
+    def financial_dim(self) -> int | None:
+        """Known length of the financial vectors (the numeric adapter vector)."""
+        uses_numeric = self.profile_embedder is None and (self._vectors is not None or self.sf_dir is not None)
+        return embed.FINANCIAL_DIM if uses_numeric else None
+
     # ---- evidence -------------------------------------------------------------
     @cached_property
     def pairs(self) -> DataFrame:
         """T6."""
-        return self._stage(pairs.similar_pairs(self.embedded, cap=self.pair_cap), "vector_similar_pairs")
+        df = pairs.similar_pairs(self.embedded, cap=self.pair_cap, vector_dim=self.financial_dim)
+        return self._stage(df, "vector_similar_pairs")
 
     @cached_property
     def evidence(self) -> DataFrame:

@@ -212,10 +212,12 @@ register(Query("embedding_assembly", _assembly, ASSEMBLY_COLUMNS, "embedded", ["
 
 # --- pairs -------------------------------------------------------------------------
 _COS = ["base_app_id", "similar_app_id", "lei", "state_code", "financial_similarity_distance"]
-register(Query("cosine_distance_pairs", lambda p: _sel(pairs.cosine_distance_pairs(p.embedded), _COS), _COS,
+register(Query("cosine_distance_pairs",
+               lambda p: _sel(pairs.cosine_distance_pairs(p.embedded, vector_dim=p.financial_dim), _COS), _COS,
                "band_pairs WHERE financial_similarity_distance < CAST(0.05 AS DOUBLE)", ["band_pairs"]))
 register(Query("similar_pairs", lambda p: p.pairs, pairs.PAIR_COLUMNS, "pairs", ["pairs"]))
-register(Query("similar_pairs_capped", lambda p: pairs.similar_pairs(p.embedded, cap=pairs.BLOCK_CAP),
+register(Query("similar_pairs_capped",
+               lambda p: pairs.similar_pairs(p.embedded, cap=pairs.BLOCK_CAP, vector_dim=p.financial_dim),
                pairs.PAIR_COLUMNS, "pairs_capped", ["pairs_capped"]))
 
 

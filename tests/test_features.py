@@ -91,3 +91,12 @@ def test_number_within_equals_window(spark):
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert got.select("g", "k", "n").exceptAll(want.select("g", "k", "n")).count() == 0
     assert got.count() == 5000
+
+
+def test_number_within_hashed_key(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(0, 3000).select((F.col("id") % 3).cast("string").alias("g"), F.xxhash64("id").alias("k"))
+    got = number_within(df, "g", "k", "n", hashed_key=True, hashed_chunk_bits=6)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert got.select("g", "k", "n").exceptAll(want.select("g", "k", "n")).count() == 0
