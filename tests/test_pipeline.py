@@ -58,3 +58,38 @@ def test_dense_and_sparse_hash_embeddings_agree(spark):
         for slot, value in enumerate(r.v):
             assert abs(sparse.get((r.id, slot), 0.0) - value) < 1e-12
     assert all(x == 0.0 for x in [r.v for r in dense if r.id == "c"][0])
+
+
+def test_csv_path_with_text_embedder(spark, tmp_path):
+    """Raw CSV -> content-hash ids -> feature-hashing embedder -> whole audit."""
+    import random
+
+    from lendlens.plans import AuditPipeline
+    from lendlens.sources.raw import RAW_COLUMNS, read_raw_csv
+
+    rnd = random.Random(1)
+    lines = [",".join(RAW_COLUMNS)]
+    for i in range(120):
+        race = rnd.choice(["5", "3", "2"])
+        row = {c: "" for c in RAW_COLUMNS}
+        row.update(lei="BANK1", activity_year="2024", state_code="CA", county_code="1", census_tract=str(i),
+                   applicant_ethnicity_1=rnd.choice(["1", "2"]), applicant_race_1=race,
+                   applicant_sex=rnd.choice(["1", "2"]), applicant_age="35-44", income=str(rnd.choice([60, 62, 100])),
+                   loan_amount=str(rnd.choice([200, 205, 300])), rate_spread="0.5", debt_to_income_ratio="36",
+                   loan_type="1", loan_purpose="1", occupancy_type="1", derived_dwelling_category="SF",
+                   derived_loan_product_type="Conv", lien_status="1", tract_population="1000",
+                   tract_minority_population_percent="30", ffiec_msa_md_median_family_income="90000",
+                   tract_to_msa_income_percentage="100",
+                   action_taken="1" if (race == "5" or rnd.random() < 0.4) else "3")
+        lines.append(",".join(row[c] for c in RAW_COLUMNS))
+    path = tmp_path / "apps.csv"
+    path.write_text("\n".join(lines) + "\n")
+    raw = read_raw_csv(spark, str(path))
+    audit = AuditPipeline(spark, raw=raw, profile_embedder=lambda t: embed.hash_embedding(t, 16),
+                          financial_embedder=lambda t: embed.hash_embedding(t, 16), materialize=True)
+    assert audit.embedded.count() == 120
+    ids = [r.application_id for r in audit.embedded.select("application_id").collect()]
+    assert len(set(ids)) == 120
+    assert audit.statistics.count() == 1
+    assert audit.summary.count() == 1
+    assert audit.dashboard().count() == 27
