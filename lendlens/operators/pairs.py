@@ -15,7 +15,8 @@ hold a third of all applications. Each band predicate is a bounded distance
 in one coordinate (``ln income``, ``ln loan``, DTI), so rows are put in cells
 of twice the tolerance; a partner then lies in the row's own cell or in the
 neighbour on the near side of it. The base side keeps its own cell, the
-similar side is exploded to its 2^3 = 8 candidate cells, and the pair search
+similar side is exploded to the cells a partner can be in (own cell, plus the
+neighbour it is close to, per coordinate: at most 8), and the pair search
 becomes an equi-join on ``(lei, state, cell_i, cell_l, cell_d)`` that splits
 even a hot block across many tasks. Every predicate is re-checked exactly on
 the joined rows, so the cells only prune (no pair is lost or added).
@@ -24,7 +25,6 @@ Vectors are compared only after the scalar predicates passed.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Sequence
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, safe_divide
-from ..functions.vectors import dot, l2_norm
+from ..functions.vectors import UNROLL_MAX, dot, l2_norm
 
 # ---- fixed values of the audit -------------------------------------------------
 MAX_DISTANCE = 0.05
@@ -68,13 +68,18 @@ PAIR_COLUMNS = [
 ]
 
 
-def _cell(value: Column, half_width: float) -> tuple[Column, Column]:
-    """Own cell of ``value`` (width ``2*half_width``) and the neighbour nearest to it."""
-    width = 2.0 * half_width * _SLACK
+def _cells(value: Column, half_width: float, cell_factor: float) -> tuple[Column, Column]:
+    """Own cell of ``value`` (width ``cell_factor * half_width``) and the array
+    of cells a partner within ``half_width`` may sit in: the own cell, plus a
+    neighbour only when ``value`` lies within ``half_width`` of that border."""
+    width = cell_factor * half_width
     pos = value / dlit(width)
     own = F.floor(pos).cast("bigint")
-    near = F.when(pos - own < dlit(0.5), own - 1).otherwise(own + 1)
-    return own, near
+    frac = (pos - own) * dlit(width)  # distance to the lower border
+    reach = dlit(half_width * _SLACK)
+    lower = F.when(frac < reach, F.array(own - 1)).otherwise(F.array().cast("array<bigint>"))
+    upper = F.when(dlit(width) - frac < reach, F.array(own + 1)).otherwise(F.array().cast("array<bigint>"))
+    return own, F.concat(F.array(own), lower, upper)
 
 
 def _dims(income_half: float, loan_half: float, dti_half: float) -> list[tuple[str, Column, float]]:
@@ -85,10 +90,12 @@ def _dims(income_half: float, loan_half: float, dti_half: float) -> list[tuple[s
     ]
 
 
-def _side(apps: DataFrame, prefix: str, block: Sequence[str], vector_col: str, dim: int | None = None) -> DataFrame:
+def _side(apps: DataFrame, prefix: str, block: Sequence[str], vector_col: str | None,
+          dim: int | None = None) -> DataFrame:
     cols = [F.col(c).alias(c) for c in block]
     cols += [F.col(c).alias(f"{prefix}_{_SIDE_NAMES[c]}") for c in _SIDE_COLS]
-    cols += [F.col(vector_col).alias(f"{prefix}_vec"), l2_norm(F.col(vector_col), dim).alias(f"{prefix}_norm")]
+    if vector_col is not None:
+        cols += [F.col(vector_col).alias(f"{prefix}_vec"), l2_norm(F.col(vector_col), dim).alias(f"{prefix}_norm")]
     cols += [F.col(c) for c in ("_ci", "_cl", "_cd")]
     return apps.select(*cols)
 
@@ -99,28 +106,30 @@ def pair_candidates(
     income_half: float,
     loan_half: float,
     dti_half: float,
-    vector_col: str = "financial_embedding",
+    vector_col: str | None = "financial_embedding",
     vector_dim: int | None = None,
+    cell_factor: float = 4.0,
 ) -> DataFrame:
     """All (base, similar) pairs of a block whose three coordinates are within
     the given half-widths (log scale for income and loan), as an equi-join.
-    Returns base_*/similar_* columns, the vectors and their norms."""
+
+    Cells are ``cell_factor`` half-widths wide (>= 1). The base side keeps its
+    own cell; the similar side is exploded into its own cell and, per
+    coordinate, the neighbour it is close to: 2^3 copies at factor 2, about
+    1.5^3 at factor 4 (fewer copies in the shuffle, larger cells to filter).
+    Returns base_*/similar_* columns (and vectors + norms unless
+    ``vector_col`` is None)."""
+    if cell_factor < 1.0:
+        raise ValueError("cell_factor must be >= 1")
     dims = _dims(income_half, loan_half, dti_half)
-    own = {}
-    near = {}
+    own, reach = {}, {}
     for name, value, half in dims:
-        own[name], near[name] = _cell(value, half)
-    celled = apps.withColumns({name: own[name] for name, _, _ in dims}).withColumns(
-        {f"{name}_n": near[name] for name, _, _ in dims}
-    )
+        own[name], reach[name] = _cells(value, half, cell_factor)
+    celled = apps.withColumns(own)
     base = _side(celled, "base", block, vector_col, vector_dim)
-    combos = [
-        F.struct(*[F.col(name if pick == 0 else f"{name}_n").alias(name) for (name, _, _), pick in zip(dims, picks)])
-        for picks in itertools.product((0, 1), repeat=len(dims))
-    ]
-    similar_src = celled.withColumn("_cells", F.explode(F.array(*combos))).drop("_ci", "_cl", "_cd").select(
-        "*", "_cells.*"
-    )
+    similar_src = celled
+    for name, _, _ in dims:
+        similar_src = similar_src.withColumn(name, F.explode(reach[name]))
     similar = _side(similar_src, "similar", block, vector_col, vector_dim)
     keys = list(block) + ["_ci", "_cl", "_cd"]
     return base.join(similar, keys).where(F.col("base_app_id") < F.col("similar_app_id")).drop("_ci", "_cl", "_cd")
@@ -155,19 +164,30 @@ def similar_pairs(
     top_k: int | None = TOP_K,
     cap: int | None = None,
     vector_dim: int | None = None,
+    late_vectors: bool | None = None,
+    cell_factor: float = 4.0,
 ) -> DataFrame:
     """M4: financially similar pairs per block.
 
-    ``vector_dim``: the vectors' length when it is known and fixed (the
-    adapter's financial vector has 4 numbers); short vectors are then compared
-    with unrolled arithmetic instead of interpreted higher-order functions.
-
     ``cap=None`` (default) keeps every candidate pair: exact and scalable.
     ``cap=5000`` reproduces the audited script's per-block sampling, which is
     applied to the wide 0.5x-2x band *before* the tight filters; then the cell
     join uses the wide band's tolerances.
+
+    ``vector_dim``: the vectors' length when it is known and fixed (the
+    adapter's financial vector has 4 numbers); short vectors are then compared
+    with unrolled arithmetic instead of interpreted higher-order functions.
+    ``late_vectors``: keep vectors out of the cell join and fetch them by id
+    only for pairs that passed every scalar predicate (default: when the
+    length is unknown or long, e.g. 768-dimensional text embeddings).
+
+    All scalar predicates run before any vector arithmetic; they and the
+    distance threshold are conjunctive filters ahead of the ranking, so the
+    order does not change the result.
     """
     c = F.col
+    if late_vectors is None:
+        late_vectors = vector_dim is None or vector_dim > UNROLL_MAX
     apps = embedded.where(
         c("lei").isNotNull() & c("state_code").isNotNull() & c(vector_col).isNotNull()
         & (c("income") > 0) & (c("loan_amount") > 0)
@@ -175,28 +195,23 @@ def similar_pairs(
         & ~F.isnan(c("calculated_dti_ratio"))
         & (F.abs(c("calculated_dti_ratio")) < dlit(float("inf")))
     )
-    wide = (math.log(max(band_high, 1.0 / band_low)), math.log(max(band_high, 1.0 / band_low)), band_dti)
+
     def log_width(tol: float) -> float:  # |a-b|/max(a,b) < tol  <=>  |ln a - ln b| < -ln(1 - tol)
         return -math.log(1.0 - tol) if tol < 1.0 else math.inf
 
+    wide = (math.log(max(band_high, 1.0 / band_low)), math.log(max(band_high, 1.0 / band_low)), band_dti)
     tight = (log_width(income_tol), log_width(loan_tol), dti_tol)
     cells = wide if cap is not None else tuple(min(a, b) for a, b in zip(wide, tight))
-    cand = pair_candidates(apps, block, *cells, vector_col=vector_col, vector_dim=vector_dim).where(
-        _band(band_low, band_high, band_dti)
-    )
+    cand = pair_candidates(
+        apps, block, *cells, vector_col=None if late_vectors else vector_col, vector_dim=vector_dim,
+        cell_factor=cell_factor,
+    ).where(_band(band_low, band_high, band_dti))
 
     if cap is not None:
         w = Window.partitionBy(*block).orderBy(pair_sample_order())
         cand = cand.withColumn("_rn", F.row_number().over(w)).where(c("_rn") <= cap).drop("_rn")
 
-    dist = F.when(
-        (c("base_norm") > 0) & (c("similar_norm") > 0),
-        dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),
-    )
-    scored = cand.withColumn("financial_similarity_distance", dist).where(
-        c("financial_similarity_distance") < dlit(max_distance)
-    )
-    scored = scored.withColumns(
+    scored = cand.withColumns(
         {
             "income_diff_ratio": safe_divide(F.abs(c("base_income") - c("similar_income")), F.greatest(c("base_income"), c("similar_income"))),
             "loan_amount_diff_ratio": safe_divide(F.abs(c("base_loan_amount") - c("similar_loan_amount")), F.greatest(c("base_loan_amount"), c("similar_loan_amount"))),
@@ -207,6 +222,19 @@ def similar_pairs(
         & (F.coalesce(c("loan_amount_diff_ratio"), dlit(1.0)) < dlit(loan_tol))
         & (c("dti_abs_diff") < dlit(dti_tol))
     )
+    if late_vectors:
+        vecs = apps.select("application_id", c(vector_col).alias("_v"), l2_norm(c(vector_col), vector_dim).alias("_n"))
+        scored = (
+            scored.join(vecs.toDF("base_app_id", "base_vec", "base_norm"), "base_app_id")
+            .join(vecs.toDF("similar_app_id", "similar_vec", "similar_norm"), "similar_app_id")
+        )
+    dist = F.when(
+        (c("base_norm") > 0) & (c("similar_norm") > 0),
+        dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),
+    )
+    scored = scored.withColumn("financial_similarity_distance", dist).where(
+        c("financial_similarity_distance") < dlit(max_distance)
+    )
     if top_k is not None:
         w = Window.partitionBy("base_app_id").orderBy(
             "financial_similarity_distance", "income_diff_ratio", "loan_amount_diff_ratio", "dti_abs_diff", "similar_app_id"

@@ -117,3 +117,16 @@ def test_plan_has_no_cartesian_product(spark):
     emb = synthetic(spark, n=50)
     plan = P.similar_pairs(emb)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_cell_factor_and_late_vectors_do_not_change_results(spark):
+    emb = synthetic(spark, n=400, seed=9)
+    cols = ["base_app_id", "similar_app_id", "financial_similarity_distance"]
+    ref = P.similar_pairs(emb).select(*cols)
+    for kwargs in ({"cell_factor": 4.0}, {"cell_factor": 1.0}, {"late_vectors": True}, {"vector_dim": 4},
+                   {"vector_dim": 4, "late_vectors": True, "cell_factor": 3.0}):
+        got = P.similar_pairs(emb, **kwargs).select(*cols)
+        assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0, kwargs
+    capped_ref = P.similar_pairs(emb, cap=100).select(*cols)
+    capped = P.similar_pairs(emb, cap=100, cell_factor=4.0, late_vectors=True).select(*cols)
+    assert capped.exceptAll(capped_ref).count() == 0 and capped_ref.exceptAll(capped).count() == 0
