@@ -191,8 +191,14 @@ def evaluate_rules(
     clusters: DataFrame,
     evidence: DataFrame,
     rules: Sequence[RuleSpec] | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Rule scores, total, evidence level and severity per application."""
+    """Rule scores, total, evidence level and severity per application.
+
+    ``carry`` names extra evidence columns to keep (e.g. ``has_race_pair``),
+    so later per-lender statistics can aggregate this table directly instead
+    of joining applications, clusters and evidence a second time.
+    """
     rules = [r for r in (rules or default_rules()) if r.evaluated]
     c = F.col
     apps = embedded.select("application_id", "lei", "state_code", "race_category", "ethnicity_category",
@@ -248,4 +254,4 @@ def evaluate_rules(
         severity = F.when(cond, label) if severity is None else severity.when(cond, label)
     out = scored.withColumns({"ai_confidence_level": level, "ai_violation_severity": severity.otherwise(SEVERITY_DEFAULT)})
     return out.select(*VIOLATION_BASE, *[r.column for r in rules], "total_ai_violation_score",
-                      "ai_confidence_level", "ai_violation_severity")
+                      "ai_confidence_level", "ai_violation_severity", *carry)

@@ -56,25 +56,37 @@ def _rate(group: Column) -> Column:
     return F.avg(F.when(group, F.when(F.col("approved"), dlit(1.0)).otherwise(dlit(0.0))))
 
 
+FACT_COLUMNS = ("race_category", "ethnicity_category", "gender_category", "approved", "cluster_disparity_type",
+                "has_race_pair", "has_gender_pair")
+
+
 def lender_statistics(
     embedded: DataFrame,
-    clusters: DataFrame,
-    evidence: DataFrame,
+    clusters: DataFrame | None = None,
+    evidence: DataFrame | None = None,
     *,
     block: Sequence[str] = ("lei", "state_code"),
     min_apps: int = MIN_LENDER_APPS,
 ) -> DataFrame:
     """Counts and approval rates per block with at least ``min_apps`` rows.
 
+    Either pass the applications with their clusters and pair evidence, or a
+    single per-application table that already holds :data:`FACT_COLUMNS`
+    (the stored rule-violation table with the pair flags carried), which
+    saves two joins on the application id.
+
     ``COUNT(DISTINCT id) FILTER (has pair)`` is a ``count_if`` because ids are
     unique per row, which avoids a distinct aggregation.
     """
     c = F.col
-    apps = embedded.select("application_id", *block, "race_category", "ethnicity_category", "gender_category", "approved")
-    joined = (
-        apps.join(clusters.select("application_id", "cluster_disparity_type"), "application_id", "left")
-        .join(evidence.select("application_id", "has_race_pair", "has_gender_pair"), "application_id", "left")
-    )
+    if clusters is None and evidence is None:
+        joined = embedded.select(*block, *FACT_COLUMNS)
+    else:
+        apps = embedded.select("application_id", *block, "race_category", "ethnicity_category", "gender_category", "approved")
+        joined = (
+            apps.join(clusters.select("application_id", "cluster_disparity_type"), "application_id", "left")
+            .join(evidence.select("application_id", "has_race_pair", "has_gender_pair"), "application_id", "left")
+        )
     white, black, asian = (c("race_category") == v for v in ("White", "Black", "Asian"))
     hisp = c("ethnicity_category") == "Hispanic"
     female, male = c("gender_category") == "Female", c("gender_category") == "Male"

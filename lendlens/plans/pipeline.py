@@ -120,12 +120,14 @@ class AuditPipeline:
     @cached_property
     def violations(self) -> DataFrame:
         """T8."""
-        df = rules.evaluate_rules(self.embedded, self.clusters, self.evidence, self.rule_specs)
+        # the two pair flags ride along so the lender statistics need no second join
+        df = rules.evaluate_rules(self.embedded, self.clusters, self.evidence, self.rule_specs,
+                                  carry=("has_race_pair", "has_gender_pair"))
         return self._stage(df, "rule_violations", ("state_code",))
 
     @cached_property
     def lender_stats(self) -> DataFrame:
-        return stats.lender_statistics(self.embedded, self.clusters, self.evidence)
+        return stats.lender_statistics(self.violations)
 
     @cached_property
     def statistics(self) -> DataFrame:
