@@ -155,17 +155,19 @@ class AuditPipeline:
         """T13."""
         return evaluate.performance_metrics(self.validation)
 
-    def report(self, nested_samples: bool = True, as_of=None) -> DataFrame:
-        """T14."""
-        return report.compliance_report(self.assessment, self.summary, nested_samples=nested_samples, as_of=as_of)
-
-    def dashboard(self) -> DataFrame:
-        """T15."""
-        return report.dashboard(
+    def report(self, nested_samples: bool = True, as_of=None, ordered: bool = False) -> DataFrame:
+        """T14 (``ordered``: tier 1 before 2, then mean risk descending)."""
+        df = report.compliance_report(self.assessment, self.summary, nested_samples=nested_samples, as_of=as_of)
+        return lenders.tier_order(df) if ordered else df
+
+    def dashboard(self, ordered: bool = False) -> DataFrame:
+        """T15 (``ordered``: by section header, then metric name)."""
+        df = report.dashboard(
             self.spark, embedded=self.embedded, pairs=self.pairs, clusters=self.clusters,
             assessment=self.assessment, summary=self.summary, statistics=self.statistics,
             metrics=self.metrics, report=self.report(nested_samples=False),
         )
+        return df.orderBy("section_header", "metric_name") if ordered else df
 
     def export(self, as_of=None, with_metadata: bool = True) -> DataFrame:
         """V1."""
@@ -176,3 +178,12 @@ class AuditPipeline:
 
     def rules_table(self) -> DataFrame:
         return rules.rules_table(self.spark, self.rule_specs)
+
+    def finance_table(self, path: str | None = None) -> DataFrame:
+        """T4: the embeddings table without the profile vector (``* EXCEPT``).
+        With ``path``, stored create-only (fails if the table exists)."""
+        df = self.embedded.drop("profile_embedding")
+        if path is not None:
+            sinks.create_table(df, path, partition_by=("state_code",))
+            return self.spark.read.parquet(path)
+        return df

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import round_doubles
 from ..operators import assess, clusters, embed, pairs, report, rules, stats
-from ..operators import lenders as L
 from . import oracle as O
 from .pipeline import AuditPipeline
 
@@ -32,7 +31,6 @@ class Query:
     sql_from: str | None = None  # SQL body after SELECT <columns>; None: no oracle
     needs: list[str] = field(default_factory=list)
     sql_columns: list[str] | None = None  # SQL expressions when they differ from names
-    doubles: set[str] = field(default_factory=set)
 
 
 def _pipe(spark: SparkSession, sf_dir: str) -> AuditPipeline:

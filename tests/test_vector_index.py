@@ -1,6 +1,5 @@
 """IVF nearest-neighbour join: exact mode equals brute force; K-means model."""
 
-import random
 
 import numpy as np
 from pyspark.sql import functions as F
