@@ -40,6 +40,7 @@ class AuditPipeline:
         z_forms: dict | None = None,
         materialize: bool = False,
         stage_root: str | None = None,
+        buckets: int | None = None,
     ):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir (test tables) or raw (raw-schema DataFrame)")
@@ -55,14 +56,20 @@ class AuditPipeline:
         self.z_forms = z_forms
         self.materialize = materialize
         self.stage_root = stage_root
+        # stages joined on application_id are bucketed alike (co-located joins)
+        self.buckets = buckets if buckets is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        self._run_id = uuid.uuid4().hex[:12]
 
-    def _stage(self, df: DataFrame, name: str, partition_by=()) -> DataFrame:
+    def _stage(self, df: DataFrame, name: str, partition_by=(), bucket_by: str | None = None) -> DataFrame:
         if not self.materialize:
             return df
         if self.stage_root is None:
             # one folder per pipeline run under the shared checkpoint folder
-            self.stage_root = os.path.join(ensure_checkpoint_dir(self.spark), "lendlens-stages", uuid.uuid4().hex)
-        return sinks.stage_table(self.spark, df, name, self.stage_root, partition_by)
+            self.stage_root = os.path.join(ensure_checkpoint_dir(self.spark), "lendlens-stages", self._run_id)
+        return sinks.stage_table(
+            self.spark, df, name, self.stage_root, partition_by,
+            bucket_by=bucket_by, buckets=self.buckets if bucket_by else 0, table_prefix=f"lendlens_{self._run_id}",
+        )
 
     # ---- ingest ---------------------------------------------------------------
     @cached_property
@@ -93,7 +100,7 @@ class AuditPipeline:
             df = embed.attach_table_vectors(self.profiles, vectors)
         else:
             df = embed.embed_applications(self.profiles, self.profile_embedder, self.financial_embedder)
-        return self._stage(df, "application_embeddings", ("state_code",))
+        return self._stage(df, "application_embeddings", bucket_by="application_id")
 
     @property
     def financial_dim(self) -> int | None:
@@ -110,12 +117,13 @@ class AuditPipeline:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return self._stage(rules.pair_evidence(self.pairs, self.rule_specs), "pair_evidence")
+        return self._stage(rules.pair_evidence(self.pairs, self.rule_specs), "pair_evidence", bucket_by="application_id")
 
     @cached_property
     def clusters(self) -> DataFrame:
         """T7."""
-        return self._stage(clusters.grid_clusters(self.embedded, scale=self.grid_scale), "cluster_analysis")
+        return self._stage(clusters.grid_clusters(self.embedded, scale=self.grid_scale), "cluster_analysis",
+                           bucket_by="application_id")
 
     @cached_property
     def violations(self) -> DataFrame:

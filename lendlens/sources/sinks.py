@@ -38,15 +38,30 @@ def create_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage_table(spark: SparkSession, df: DataFrame, name: str, root: str | None = None,
-                partition_by: Sequence[str] = ()) -> DataFrame:
+                partition_by: Sequence[str] = (), bucket_by: str | None = None, buckets: int = 0,
+                table_prefix: str = "lendlens") -> DataFrame:
     """Materialise ``df`` under the shared checkpoint folder and read it back.
 
     Cuts the lineage of a stage that several later stages reuse, the way the
-    audited script stores each step as a table. The folder comes from
+    audited script stores each step as a table. ``bucket_by`` stores it as a
+    bucketed external table (session catalog, data in the same folder). The folder comes from
     ``spark.checkpoint.dir`` (shared storage on a cluster), so a lost executor
     re-reads the stored table instead of recomputing the whole audit.
     """
     base = root or os.path.join(ensure_checkpoint_dir(spark), "lendlens-stages")
     path = os.path.join(base, name)
+    if bucket_by and buckets > 0:
+        # Bucketed external table: later joins of tables bucketed the same way on
+        # the same key read co-partitioned data and skip the shuffle.
+        table = f"{table_prefix}_{name}"
+        (
+            df.repartition(buckets, bucket_by)
+            .write.mode("overwrite")
+            .bucketBy(buckets, bucket_by)
+            .sortBy(bucket_by)
+            .option("path", path)
+            .saveAsTable(table)
+        )
+        return spark.table(table)
     write_table(df, path, partition_by=partition_by)
     return spark.read.parquet(path)
