@@ -40,6 +40,7 @@ class AuditPipeline:
         z_forms: dict | None = None,
         materialize: bool = False,
         stage_root: str | None = None,
+        bucket_stages: bool = False,
         buckets: int | None = None,
     ):
         if raw is None and sf_dir is None:
@@ -56,7 +57,11 @@ class AuditPipeline:
         self.z_forms = z_forms
         self.materialize = materialize
         self.stage_root = stage_root
-        # stages joined on application_id are bucketed alike (co-located joins)
+        # Optionally store the stages joined on application_id bucketed alike
+        # (co-located joins). The audit joins them on the id once, so bucketing
+        # would only move that shuffle to write time; it pays off for callers
+        # that join these stage tables again.
+        self.bucket_stages = bucket_stages
         self.buckets = buckets if buckets is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         self._run_id = uuid.uuid4().hex[:12]
 
@@ -68,7 +73,8 @@ class AuditPipeline:
             self.stage_root = os.path.join(ensure_checkpoint_dir(self.spark), "lendlens-stages", self._run_id)
         return sinks.stage_table(
             self.spark, df, name, self.stage_root, partition_by,
-            bucket_by=bucket_by, buckets=self.buckets if bucket_by else 0, table_prefix=f"lendlens_{self._run_id}",
+            bucket_by=bucket_by if self.bucket_stages else None,
+            buckets=self.buckets if (bucket_by and self.bucket_stages) else 0, table_prefix=f"lendlens_{self._run_id}",
         )
 
     # ---- ingest ---------------------------------------------------------------
@@ -177,9 +183,10 @@ class AuditPipeline:
         )
         return df.orderBy("section_header", "metric_name") if ordered else df
 
-    def export(self, as_of=None, with_metadata: bool = True) -> DataFrame:
-        """V1."""
-        return report.export_view(self.assessment, as_of=as_of, with_metadata=with_metadata)
+    def export(self, as_of=None, with_metadata: bool = True, view_name: str | None = None) -> DataFrame:
+        """V1 (``view_name``: also register it as a temporary view)."""
+        df = report.export_view(self.assessment, as_of=as_of, with_metadata=with_metadata)
+        return sinks.create_view(df, view_name) if view_name else df
 
     def run_summary(self, with_timestamp: bool = True) -> DataFrame:
         return report.run_summary(self.assessment, self.pairs, self.clusters, with_timestamp=with_timestamp)

@@ -45,10 +45,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a narrow scan over the cluster when it arrives in fewer
     splits than there are cores (a single-row-group file is one task); a
     scan that is already split is left alone."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < parallelism:
-        return df.repartition(parallelism)
-    return df
+    try:
+        parallelism = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the scan as is
+        return df
+    return df.repartition(parallelism) if splits < parallelism else df
 
 
 def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
