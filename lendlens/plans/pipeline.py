@@ -6,7 +6,8 @@ one Spark plan reuses the same sub-plans (and Spark reuses their exchanges).
 
 With ``materialize=True`` the stages that several later stages read (the
 embedded applications, pairs, clusters, violations, statistics, assessment,
-lender summary) are written once under the shared ``spark.checkpoint.dir``
+lender summary; not the pair evidence, which only the violation join reads)
+are written once under the shared ``spark.checkpoint.dir``
 folder and read back -- the batch-job mode: lineage is cut, and a lost
 executor re-reads a stored table instead of recomputing the audit.
 """
@@ -123,7 +124,9 @@ class AuditPipeline:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return self._stage(rules.pair_evidence(self.pairs, self.rule_specs), "pair_evidence", bucket_by="application_id")
+        # read once (by the violation join) unless stages are bucketed for reuse
+        df = rules.pair_evidence(self.pairs, self.rule_specs)
+        return self._stage(df, "pair_evidence", bucket_by="application_id") if self.bucket_stages else df
 
     @cached_property
     def clusters(self) -> DataFrame:
