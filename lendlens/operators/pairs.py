@@ -132,7 +132,10 @@ def pair_candidates(
         similar_src = similar_src.withColumn(name, F.explode(reach[name]))
     similar = _side(similar_src, "similar", block, vector_col, vector_dim)
     keys = list(block) + ["_ci", "_cl", "_cd"]
-    return base.join(similar, keys).where(F.col("base_app_id") < F.col("similar_app_id")).drop("_ci", "_cl", "_cd")
+    # the base side's cell columns stay: a base row lives in exactly one cell,
+    # so grouping by (block, cell, base id) equals grouping by base id and can
+    # reuse the join's partitioning (no second shuffle for the top-k)
+    return base.join(similar, keys).where(F.col("base_app_id") < F.col("similar_app_id"))
 
 
 def _band(low: float, high: float, dti: float) -> Column:
@@ -236,7 +239,9 @@ def similar_pairs(
         c("financial_similarity_distance") < dlit(max_distance)
     )
     if top_k is not None:
-        w = Window.partitionBy("base_app_id").orderBy(
+        # same groups as partitionBy(base_app_id); the extra keys let the window
+        # run on the cell join's partitioning without another exchange
+        w = Window.partitionBy(*block, "_ci", "_cl", "_cd", "base_app_id").orderBy(
             "financial_similarity_distance", "income_diff_ratio", "loan_amount_diff_ratio", "dti_abs_diff", "similar_app_id"
         )
         scored = scored.withColumn("similarity_rank", F.row_number().over(w)).where(c("similarity_rank") <= top_k)
