@@ -41,7 +41,10 @@ def number_within(
         chunk = F.shiftright(F.col(order_key), 64 - hashed_chunk_bits)
     else:
         chunk = F.floor(F.col(order_key) / F.lit(chunk_width)).cast("bigint")
-    keyed = df.withColumn("_chunk", chunk)
+    # One shuffle of the rows by (partition, chunk): the per-chunk counts, the
+    # join with the offsets and the numbering window all run on it, so the
+    # input is computed once and a hot partition value is spread over chunks.
+    keyed = df.withColumn("_chunk", chunk).repartition(partition_col, "_chunk")
     counts = keyed.groupBy(partition_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     running = Window.partitionBy(partition_col).orderBy("_chunk").rowsBetween(
         Window.unboundedPreceding, -1
