@@ -263,19 +263,30 @@ def similar_pairs(
 
 def cosine_distance_pairs(embedded: DataFrame, *, block: Sequence[str] = ("lei", "state_code"),
                           vector_col: str = "financial_embedding", max_distance: float = MAX_DISTANCE,
-                          vector_dim: int | None = None) -> DataFrame:
-    """M3 + J1/J2 alone: band-joined pairs with their cosine distance below
-    ``max_distance`` (no tight filters, no ranking)."""
+                          vector_dim: int | None = None, tight: bool = True, cell_factor: float = 4.0) -> DataFrame:
+    """M3 + J1/J2: pairs of a block within the band and their cosine distance
+    (below ``max_distance``), with no ranking.
+
+    ``tight=True`` (default) uses the band the audit finally keeps (income and
+    loan within 10 %, |dDTI| < 0.05), so the cells stay small; ``tight=False``
+    uses the wide 0.5x-2x band, which inside a block approaches all pairs.
+    """
     c = F.col
     apps = embedded.where(
         c("lei").isNotNull() & c("state_code").isNotNull() & c(vector_col).isNotNull()
         & (c("income") > 0) & (c("loan_amount") > 0)
         & ~F.isnan(c("calculated_dti_ratio")) & (F.abs(c("calculated_dti_ratio")) < dlit(float("inf")))
     )
-    half = math.log(max(BAND_HIGH, 1.0 / BAND_LOW))
-    cand = pair_candidates(apps, block, half, half, BAND_DTI, vector_col=vector_col, vector_dim=vector_dim).where(
-        _band(BAND_LOW, BAND_HIGH, BAND_DTI)
-    )
+    wide = math.log(max(BAND_HIGH, 1.0 / BAND_LOW))
+    halves = (-math.log(1.0 - INCOME_TOL), -math.log(1.0 - LOAN_TOL), DTI_TOL) if tight else (wide, wide, BAND_DTI)
+    cand = pair_candidates(apps, block, *halves, vector_col=vector_col, vector_dim=vector_dim,
+                           cell_factor=cell_factor).where(_band(BAND_LOW, BAND_HIGH, BAND_DTI))
+    if tight:
+        cand = cand.where(
+            (F.abs(c("base_income") - c("similar_income")) / F.greatest(c("base_income"), c("similar_income")) < dlit(INCOME_TOL))
+            & (F.abs(c("base_loan_amount") - c("similar_loan_amount")) / F.greatest(c("base_loan_amount"), c("similar_loan_amount")) < dlit(LOAN_TOL))
+            & (F.abs(c("base_dti") - c("similar_dti")) < dlit(DTI_TOL))
+        )
     dist = F.when(
         (c("base_norm") > 0) & (c("similar_norm") > 0),
         dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),

@@ -212,7 +212,10 @@ register(Query("embedding_assembly", _assembly, ASSEMBLY_COLUMNS, "embedded", ["
 _COS = ["base_app_id", "similar_app_id", "lei", "state_code", "financial_similarity_distance"]
 register(Query("cosine_distance_pairs",
                lambda p: _sel(pairs.cosine_distance_pairs(p.embedded, vector_dim=p.financial_dim), _COS), _COS,
-               "band_pairs WHERE financial_similarity_distance < CAST(0.05 AS DOUBLE)", ["band_pairs"]))
+               "band_pairs WHERE financial_similarity_distance < CAST(0.05 AS DOUBLE) "
+               "AND abs(base_income - similar_income) / greatest(base_income, similar_income) < CAST(0.1 AS DOUBLE) "
+               "AND abs(base_loan_amount - similar_loan_amount) / greatest(base_loan_amount, similar_loan_amount) "
+               "< CAST(0.1 AS DOUBLE) AND abs(base_dti - similar_dti) < CAST(0.05 AS DOUBLE)", ["band_pairs"]))
 register(Query("similar_pairs", lambda p: p.pairs, pairs.PAIR_COLUMNS, "pairs", ["pairs"]))
 register(Query("similar_pairs_capped",
                lambda p: pairs.similar_pairs(p.embedded, cap=pairs.BLOCK_CAP, vector_dim=p.financial_dim),
