@@ -90,7 +90,7 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return python_embedder(lambda s: _hash_vectors(s, dim))(text)
 
 
-def python_embedder(fn: Callable, batch_hint: int = 1024) -> Callable[[Column], Column]:
+def python_embedder(fn: Callable) -> Callable[[Column], Column]:
     """Wrap ``fn(pandas.Series[str]) -> sequence of vectors`` as a column function.
 
     Runs as a scalar pandas UDF: Arrow batches, one Python call per batch.

@@ -105,3 +105,12 @@ def test_bucketed_stages_match_plain_stages(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     view = bucketed.export(with_metadata=False, view_name="audit_export")
     assert spark.table("audit_export").count() == view.count()
+
+
+def test_batch_job_writes_every_stage(spark, tmp_path):
+    from lendlens.plans.run import run
+
+    written = run(spark, str(tmp_path / "out"), tables="/root/testdata/sf0.001")
+    assert len(written) == 15
+    assert spark.read.parquet(written["lender_risk_summary"]).count() == 10
+    assert spark.read.parquet(written["system_dashboard"]).count() == 27
