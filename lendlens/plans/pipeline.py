@@ -25,6 +25,40 @@ from ..session import ensure_checkpoint_dir
 from ..sources import adapter, sinks
 
 
+# Which stages each stage reads (the audit's table DAG).
+STAGE_INPUTS: dict[str, tuple[str, ...]] = {
+    "cleaned": (), "features": ("cleaned",), "profiles": ("features",), "embedded": ("profiles",),
+    "pairs": ("embedded",), "evidence": ("pairs",), "clusters": ("embedded",),
+    "violations": ("embedded", "clusters", "evidence"), "lender_stats": ("violations",),
+    "statistics": ("lender_stats",), "assessment": ("violations", "statistics"), "summary": ("assessment",),
+    "validation": ("summary", "statistics"), "metrics": ("validation",), "report": ("assessment", "summary"),
+    "dashboard": ("embedded", "pairs", "clusters", "assessment", "summary", "statistics", "metrics", "report"),
+    "export": ("assessment",), "run_summary": ("assessment", "pairs", "clusters"),
+}
+STORABLE = ("embedded", "pairs", "clusters", "violations", "statistics", "assessment", "summary")
+
+
+def stages_to_store(targets: tuple[str, ...] | list[str]) -> set[str]:
+    """Storable stages read more than once when building ``targets``.
+
+    A stage read by one consumer only is cheaper to keep in the consumer's
+    plan than to write and read back."""
+    reach: set[str] = set()
+    todo = list(targets)
+    while todo:
+        s = todo.pop()
+        if s not in reach:
+            reach.add(s)
+            todo.extend(STAGE_INPUTS[s])
+    reads = {s: 0 for s in reach}
+    for consumer in reach:
+        for dep in STAGE_INPUTS[consumer]:
+            reads[dep] += 1
+    for t in targets:
+        reads[t] += 1
+    return {s for s in STORABLE if reads.get(s, 0) >= 2}
+
+
 class AuditPipeline:
     def __init__(
         self,
@@ -43,6 +77,7 @@ class AuditPipeline:
         stage_root: str | None = None,
         bucket_stages: bool = False,
         buckets: int | None = None,
+        store: set[str] | None = None,
     ):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir (test tables) or raw (raw-schema DataFrame)")
@@ -57,6 +92,7 @@ class AuditPipeline:
         self.rule_specs = rule_specs or rules.default_rules()
         self.z_forms = z_forms
         self.materialize = materialize
+        self.store = store  # with materialize: only these stages (None: every reusable stage)
         self.stage_root = stage_root
         # Optionally store the stages joined on application_id bucketed alike
         # (co-located joins). The audit joins them on the id once, so bucketing
@@ -66,8 +102,9 @@ class AuditPipeline:
         self.buckets = buckets if buckets is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         self._run_id = uuid.uuid4().hex[:12]
 
-    def _stage(self, df: DataFrame, name: str, partition_by=(), bucket_by: str | None = None) -> DataFrame:
-        if not self.materialize:
+    def _stage(self, df: DataFrame, name: str, partition_by=(), bucket_by: str | None = None,
+               stage: str | None = None) -> DataFrame:
+        if not self.materialize or (self.store is not None and stage not in self.store):
             return df
         if self.stage_root is None:
             # one folder per pipeline run under the shared checkpoint folder
@@ -107,7 +144,7 @@ class AuditPipeline:
             df = embed.attach_table_vectors(self.profiles, vectors)
         else:
             df = embed.embed_applications(self.profiles, self.profile_embedder, self.financial_embedder)
-        return self._stage(df, "application_embeddings", bucket_by="application_id")
+        return self._stage(df, "application_embeddings", bucket_by="application_id", stage="embedded")
 
     @property
     def financial_dim(self) -> int | None:
@@ -120,19 +157,19 @@ class AuditPipeline:
     def pairs(self) -> DataFrame:
         """T6."""
         df = pairs.similar_pairs(self.embedded, cap=self.pair_cap, vector_dim=self.financial_dim)
-        return self._stage(df, "vector_similar_pairs")
+        return self._stage(df, "vector_similar_pairs", stage="pairs")
 
     @cached_property
     def evidence(self) -> DataFrame:
         # read once (by the violation join) unless stages are bucketed for reuse
         df = rules.pair_evidence(self.pairs, self.rule_specs)
-        return self._stage(df, "pair_evidence", bucket_by="application_id") if self.bucket_stages else df
+        return self._stage(df, "pair_evidence", bucket_by="application_id", stage="evidence") if self.bucket_stages else df
 
     @cached_property
     def clusters(self) -> DataFrame:
         """T7."""
         return self._stage(clusters.grid_clusters(self.embedded, scale=self.grid_scale), "cluster_analysis",
-                           bucket_by="application_id")
+                           bucket_by="application_id", stage="clusters")
 
     @cached_property
     def violations(self) -> DataFrame:
@@ -140,7 +177,7 @@ class AuditPipeline:
         # the two pair flags ride along so the lender statistics need no second join
         df = rules.evaluate_rules(self.embedded, self.clusters, self.evidence, self.rule_specs,
                                   carry=("has_race_pair", "has_gender_pair"))
-        return self._stage(df, "rule_violations", ("state_code",))
+        return self._stage(df, "rule_violations", ("state_code",), stage="violations")
 
     @cached_property
     def lender_stats(self) -> DataFrame:
@@ -149,18 +186,20 @@ class AuditPipeline:
     @cached_property
     def statistics(self) -> DataFrame:
         """T9."""
-        return self._stage(stats.statistical_tests(self.lender_stats, self.z_forms), "statistical_analysis")
+        return self._stage(stats.statistical_tests(self.lender_stats, self.z_forms), "statistical_analysis",
+                           stage="statistics")
 
     # ---- roll-ups -------------------------------------------------------------
     @cached_property
     def assessment(self) -> DataFrame:
         """T10."""
-        return self._stage(assess.final_assessment(self.violations, self.statistics), "final_assessment", ("state_code",))
+        return self._stage(assess.final_assessment(self.violations, self.statistics), "final_assessment", ("state_code",),
+                           stage="assessment")
 
     @cached_property
     def summary(self) -> DataFrame:
         """T11."""
-        return self._stage(lenders.lender_risk_summary(self.assessment), "lender_risk_summary")
+        return self._stage(lenders.lender_risk_summary(self.assessment), "lender_risk_summary", stage="summary")
 
     @cached_property
     def validation(self) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import round_doubles
 from ..operators import assess, clusters, embed, pairs, report, rules, stats
 from . import oracle as O
-from .pipeline import AuditPipeline
+from .pipeline import AuditPipeline, stages_to_store
 
 ROUND_DIGITS = 9
 
@@ -33,11 +33,30 @@ class Query:
     sql_columns: list[str] | None = None  # SQL expressions when they differ from names
 
 
-def _pipe(spark: SparkSession, sf_dir: str) -> AuditPipeline:
-    """A fresh pipeline per query: the stages it reuses are stored once in a
-    new folder under ``spark.checkpoint.dir`` (nothing is shared between calls,
-    so every query does all of its upstream work itself)."""
-    return AuditPipeline(spark, sf_dir, materialize=True)
+# Stages each registered query reads (see pipeline.STAGE_INPUTS).
+QUERY_STAGES: dict[str, tuple[str, ...]] = {
+    "scan_clean_applications": ("cleaned",), "feature_bands": ("features",), "amortized_dti": ("features",),
+    "profile_text": ("profiles",), "financial_text": ("profiles",), "hash_embedding": ("profiles",),
+    "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded",), "similar_pairs": ("pairs",),
+    "similar_pairs_capped": ("embedded",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
+    "centroid_distance": ("clusters",), "sigma_outliers": ("clusters",), "cluster_disparity": ("clusters",),
+    "rule_violations": ("violations",), "lender_stats": ("lender_stats",), "two_proportion_z": ("lender_stats",),
+    "disparate_impact": ("statistics",), "evidence_score": ("statistics",), "statistical_analysis": ("statistics",),
+    "final_assessment": ("assessment",), "explanations": ("assessment",), "lender_risk_summary": ("summary",),
+    "validation": ("validation",), "performance_metrics": ("metrics",),
+    "top5_flagged_per_lender": ("assessment", "summary"), "compliance_report": ("report",),
+    "dashboard": ("dashboard",), "final_summary": ("run_summary",), "export_nested": ("export",),
+    "knn_exact": (), "knn_ivf": (), "kmeans_assign": ("embedded",),
+}
+
+
+def _pipe(spark: SparkSession, sf_dir: str, name: str | None = None) -> AuditPipeline:
+    """A fresh pipeline per query. The stages that this query reads more than
+    once are stored once in a new folder under ``spark.checkpoint.dir``;
+    nothing is shared between calls, so every query does all of its upstream
+    work itself."""
+    store = stages_to_store(QUERY_STAGES[name]) if name in QUERY_STAGES else None
+    return AuditPipeline(spark, sf_dir, materialize=True, store=store)
 
 
 REGISTRY: dict[str, Query] = {}
@@ -375,7 +394,7 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     q = REGISTRY[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = q.build(_pipe(spark, sf_dir))
+        df = q.build(_pipe(spark, sf_dir, name))
         if q.columns:
             df = df.select(*q.columns)
         return round_doubles(df, ROUND_DIGITS)

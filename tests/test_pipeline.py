@@ -114,3 +114,12 @@ def test_batch_job_writes_every_stage(spark, tmp_path):
     assert len(written) == 15
     assert spark.read.parquet(written["lender_risk_summary"]).count() == 10
     assert spark.read.parquet(written["system_dashboard"]).count() == 27
+
+
+def test_stages_to_store_counts_readers():
+    from lendlens.plans.pipeline import stages_to_store
+
+    assert stages_to_store(["pairs"]) == set()  # applications read once (by the pair join)
+    assert stages_to_store(["violations"]) == {"embedded"}  # read by pairs, clusters and the join
+    assert stages_to_store(["assessment"]) == {"embedded", "violations"}
+    assert {"pairs", "clusters", "assessment", "summary"} <= stages_to_store(["dashboard"])
