@@ -25,13 +25,15 @@ from ..session import ensure_checkpoint_dir
 from ..sources import adapter, sinks
 
 
-# Which stages each stage reads (the audit's table DAG).
+# Which stages each stage reads, once per read in its plan (the audit's table
+# DAG): the pair self-join reads the applications on both sides, the clusters
+# aggregate and join back to them, the report filters and joins the summary.
 STAGE_INPUTS: dict[str, tuple[str, ...]] = {
     "cleaned": (), "features": ("cleaned",), "profiles": ("features",), "embedded": ("profiles",),
-    "pairs": ("embedded",), "evidence": ("pairs",), "clusters": ("embedded",),
+    "pairs": ("embedded", "embedded"), "evidence": ("pairs",), "clusters": ("embedded", "embedded"),
     "violations": ("embedded", "clusters", "evidence"), "lender_stats": ("violations",),
     "statistics": ("lender_stats",), "assessment": ("violations", "statistics"), "summary": ("assessment",),
-    "validation": ("summary", "statistics"), "metrics": ("validation",), "report": ("assessment", "summary"),
+    "validation": ("summary", "statistics"), "metrics": ("validation",), "report": ("assessment", "summary", "summary"),
     "dashboard": ("embedded", "pairs", "clusters", "assessment", "summary", "statistics", "metrics", "report"),
     "export": ("assessment",), "run_summary": ("assessment", "pairs", "clusters"),
 }

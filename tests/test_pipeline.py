@@ -119,7 +119,8 @@ def test_batch_job_writes_every_stage(spark, tmp_path):
 def test_stages_to_store_counts_readers():
     from lendlens.plans.pipeline import stages_to_store
 
-    assert stages_to_store(["pairs"]) == set()  # applications read once (by the pair join)
+    assert stages_to_store(["pairs"]) == {"embedded"}  # both sides of the self-join read the applications
+    assert stages_to_store(["evidence"]) == {"embedded"}  # pairs are read once (by the aggregate)
     assert stages_to_store(["violations"]) == {"embedded"}  # read by pairs, clusters and the join
     assert stages_to_store(["assessment"]) == {"embedded", "violations"}
     assert {"pairs", "clusters", "assessment", "summary"} <= stages_to_store(["dashboard"])
