@@ -49,16 +49,38 @@ def _q(i: int) -> str:
     return f"quantized_dim{i + 1}"
 
 
+def lead_columns(vector_col: str = "profile_embedding", dims: int = GRID_DIMS) -> dict[str, Column]:
+    """Scalar copies of a vector's length and first ``dims`` coordinates.
+
+    Stored next to the vector, they let the grid read a few doubles per row
+    instead of the whole array (parquet cannot prune array elements; a text
+    embedding has hundreds of them)."""
+    v = F.col(vector_col)
+    cols = {f"{vector_col}_size": F.size(v)}
+    cols.update({f"{vector_col}_{i}": F.get(v, i) for i in range(dims)})
+    return cols
+
+
 def grid_cells(df: DataFrame, vector_col: str = "profile_embedding", dims: int = GRID_DIMS,
                scale: float = GRID_SCALE) -> DataFrame:
-    """M7 step 1: quantised coordinates ``round(v[i]*scale)`` (0 past the end)."""
-    v = F.col(vector_col)
-    ok = v.isNotNull() & F.col("lei").isNotNull() & F.col("state_code").isNotNull() & (F.size(v) >= dims)
+    """M7 step 1: quantised coordinates ``round(v[i]*scale)`` (0 past the end).
+
+    Uses the scalar lead columns (:func:`lead_columns`) when the input has
+    them, the array otherwise."""
+    names = list(lead_columns(vector_col, dims))
+    if all(n in df.columns for n in names):
+        size, xs = F.col(names[0]), [F.col(n) for n in names[1:]]
+        present = size.isNotNull()
+    else:
+        v = F.col(vector_col)
+        size, xs = F.size(v), [F.get(v, i) for i in range(dims)]
+        present = v.isNotNull()
+    ok = present & F.col("lei").isNotNull() & F.col("state_code").isNotNull() & (size >= dims)
     quant = {
-        _q(i): F.when(F.size(v) > i, F.round(F.get(v, i) * dlit(scale)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        _q(i): F.when(size > i, F.round(xs[i] * dlit(scale)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
         for i in range(dims)
     }
-    coords = {f"_x{i}": F.get(v, i) for i in range(dims)}
+    coords = {f"_x{i}": xs[i] for i in range(dims)}
     return df.where(ok).withColumns(quant).withColumns(coords)
 
 

@@ -146,6 +146,9 @@ class AuditPipeline:
             df = embed.attach_table_vectors(self.profiles, vectors)
         else:
             df = embed.embed_applications(self.profiles, self.profile_embedder, self.financial_embedder)
+        # scalar copies of the vector length and lead coordinates: the grid
+        # clusters then read a few doubles per row, not the whole vector
+        df = df.withColumns(clusters.lead_columns("profile_embedding"))
         return self._stage(df, "application_embeddings", bucket_by="application_id", stage="embedded")
 
     @property
