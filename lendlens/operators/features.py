@@ -37,9 +37,13 @@ def clean_applications(
     order_key: str = "source_key",
     chunk_width: int = 4096,
     hashed_key: bool = False,
+    id_mode: str = "rownum",
 ) -> DataFrame:
     """State filter, validation with NULL-on-invalid, surrogate id.
 
+    ``id_mode``: ``"rownum"`` (per-lender numbering, the audited format) or
+    ``"key"`` (source key in the id; no shuffle).
+
     ``hashed_key=True`` when ``order_key`` is a content hash (CSV input) rather
     than a dense row id (see :func:`lendlens.operators.ids.number_within`).
 
@@ -77,7 +81,8 @@ def clean_applications(
         "action_taken", "denial_reason_1", "denial_reason_2", "denial_reason_3",
         order_key,
     )
-    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width, hashed_key=hashed_key)
+    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width, hashed_key=hashed_key,
+                           mode=id_mode)
 
 
 def amortized_dti(

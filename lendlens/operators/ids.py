@@ -62,9 +62,22 @@ def number_within(
 
 def application_ids(
     df: DataFrame, order_key: str = "source_key", chunk_width: int = 4096, out_col: str = "application_id",
-    hashed_key: bool = False,
+    hashed_key: bool = False, mode: str = "rownum",
 ) -> DataFrame:
-    """``CONCAT(lei, '_', activity_year, '_', n)``; NULL when ``lei`` is NULL."""
+    """``CONCAT(lei, '_', activity_year, '_', n)``; NULL when ``lei`` is NULL.
+
+    ``mode="rownum"`` numbers applications 1..n per lender (the audited
+    format); ``mode="key"`` uses the source key as ``n``: equally unique and
+    replayable, and no shuffle at all.
+    """
+    if mode == "key":
+        return df.withColumn(
+            out_col,
+            F.concat(F.col("lei"), F.lit("_"), F.col("activity_year").cast("string"), F.lit("_"),
+                     F.col(order_key).cast("string")),
+        )
+    if mode != "rownum":
+        raise ValueError("mode must be 'rownum' or 'key'")
     numbered = number_within(df, "lei", order_key, "_rownum", chunk_width, hashed_key=hashed_key)
     return numbered.withColumn(
         out_col,

@@ -80,6 +80,7 @@ class AuditPipeline:
         bucket_stages: bool = False,
         buckets: int | None = None,
         store: set[str] | None = None,
+        id_mode: str = "rownum",
     ):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir (test tables) or raw (raw-schema DataFrame)")
@@ -94,6 +95,7 @@ class AuditPipeline:
         self.rule_specs = rule_specs or rules.default_rules()
         self.z_forms = z_forms
         self.materialize = materialize
+        self.id_mode = id_mode
         self.store = store  # with materialize: only these stages (None: every reusable stage)
         self.stage_root = stage_root
         # Optionally store the stages joined on application_id bucketed alike
@@ -125,7 +127,7 @@ class AuditPipeline:
     @cached_property
     def cleaned(self) -> DataFrame:
         # the adapter's key is a dense row id; raw CSV rows carry a content hash
-        return features.clean_applications(self.raw, hashed_key=self._raw is not None)
+        return features.clean_applications(self.raw, hashed_key=self._raw is not None, id_mode=self.id_mode)
 
     @cached_property
     def features(self) -> DataFrame:

@@ -100,3 +100,13 @@ def test_number_within_hashed_key(spark):
     got = number_within(df, "g", "k", "n", hashed_key=True, hashed_chunk_bits=6)
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")))
     assert got.select("g", "k", "n").exceptAll(want.select("g", "k", "n")).count() == 0
+
+
+def test_key_mode_ids_are_unique_without_shuffle(spark, tmp_path):
+    lines = [raw_line(census_tract=str(i), lei="L1" if i % 3 else "L2") for i in range(30)]
+    raw = read_raw_csv(spark, write_csv(str(tmp_path), lines))
+    cleaned = FE.clean_applications(raw, hashed_key=True, id_mode="key")
+    ids = [r.application_id for r in cleaned.collect()]
+    assert len(ids) == 30 and len(set(ids)) == 30
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
