@@ -93,10 +93,15 @@ def ivf_index(base: DataFrame, id_col: str, vector_col: str, nlist: int = 64, se
     )
     centres = [list(map(float, c)) for c in model.clusterCenters()]
     cells = model.transform(unit.withColumn("_f", array_to_vector("_unit"))).drop("_f")
-    centre_col = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres]), F.col("_cell") + 1)
-    radii = cells.groupBy("_cell").agg(
-        F.max(F.sqrt(F.aggregate(F.zip_with("_unit", centre_col, lambda a, b: (a - b) * (a - b)), dlit(0.0),
-                                 lambda acc, x: acc + x))).alias("_radius")
+    # nlist rows of dim numbers: size bounded by the parameters, so broadcast
+    centre_rows = base.sparkSession.createDataFrame(
+        [(i, c) for i, c in enumerate(centres)], "_cell int, _centre array<double>"
+    )
+    radii = (
+        cells.join(F.broadcast(centre_rows), "_cell")
+        .groupBy("_cell")
+        .agg(F.max(F.sqrt(F.aggregate(F.zip_with("_unit", "_centre", lambda a, b: (a - b) * (a - b)), dlit(0.0),
+                                      lambda acc, x: acc + x))).alias("_radius"))
     )
     return cells, centres, radii
 
