@@ -44,3 +44,37 @@ def test_cell_join_equals_brute_force(spark, data, factor):
     got = P.pair_candidates(df, ["lei", "state_code"], half, half, 0.2, cell_factor=factor).where(P._band(0.5, 2.0, 0.2))
     got = {(r.base_app_id, r.similar_app_id) for r in got.collect()}
     assert got == brute(data, 0.5, 2.0, 0.2)
+
+
+def test_hot_lender_numbering_and_pairs(spark):
+    """One lender holds two thirds of the rows: ids still equal the plain
+    window numbering, and the pair search still equals brute force while the
+    hot block is spread over many join keys."""
+    import random
+
+    from pyspark.sql import Window
+
+    from lendlens.operators.ids import number_within
+
+    rnd = random.Random(4)
+    data = [("HOT" if i % 3 else "COLD", rnd.choice([50.0, 52.0, 54.0, 100.0, 104.0, 200.0]),
+             rnd.choice([100.0, 103.0, 300.0]), rnd.choice([0.2, 0.21, 0.3, 0.33])) for i in range(240)]
+    df = frame(spark, data).withColumn("k", F.substring("application_id", 2, 3).cast("long"))
+    got = number_within(df, "lei", "k", "n", chunk_width=16)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("lei").orderBy("k")))
+    assert got.select("lei", "k", "n").exceptAll(want.select("lei", "k", "n")).count() == 0
+
+    log_width = 4 * -math.log(0.9)  # default cell: 4 tolerances of the tight band
+    keys = df.where(F.col("lei") == "HOT").select(
+        F.floor(F.log("income") / log_width), F.floor(F.log("loan_amount") / log_width),
+        F.floor(F.col("calculated_dti_ratio") / (4 * 0.05)),
+    ).distinct().count()
+    assert keys >= 4  # the hot block is split over several join keys
+    tight = P.similar_pairs(df, top_k=None, max_distance=2.0).select("base_app_id", "similar_app_id")
+    brute_pairs = {
+        (a, b) for a, b in brute(data, 0.5, 2.0, 0.2)
+        if (lambda i, j: abs(data[i][1] - data[j][1]) / max(data[i][1], data[j][1]) < 0.1
+            and abs(data[i][2] - data[j][2]) / max(data[i][2], data[j][2]) < 0.1
+            and abs(data[i][3] - data[j][3]) < 0.05)(int(a[1:]), int(b[1:]))
+    }
+    assert {(r.base_app_id, r.similar_app_id) for r in tight.collect()} == brute_pairs
