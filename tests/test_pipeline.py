@@ -124,3 +124,13 @@ def test_stages_to_store_counts_readers():
     assert stages_to_store(["violations"]) == {"embedded"}  # read by pairs, clusters and the join
     assert stages_to_store(["assessment"]) == {"embedded", "violations"}
     assert {"pairs", "clusters", "assessment", "summary"} <= stages_to_store(["dashboard"])
+
+
+def test_create_only_finance_table(small_pipeline, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "finance")
+    first = small_pipeline.finance_table(path)
+    assert "profile_embedding" not in first.columns and first.count() == small_pipeline.embedded.count()
+    with pytest.raises(Exception):  # CREATE TABLE (no OR REPLACE) fails when the table exists
+        small_pipeline.finance_table(path)
