@@ -134,3 +134,11 @@ def test_create_only_finance_table(small_pipeline, tmp_path):
     assert "profile_embedding" not in first.columns and first.count() == small_pipeline.embedded.count()
     with pytest.raises(Exception):  # CREATE TABLE (no OR REPLACE) fails when the table exists
         small_pipeline.finance_table(path)
+
+
+def test_ordered_dashboard_and_report(small_pipeline):
+    rows = small_pipeline.dashboard(ordered=True).collect()
+    headers = [r.section_header for r in rows]
+    assert headers == sorted(headers)
+    tiers = [r.ai_lender_risk_tier for r in small_pipeline.report(nested_samples=False, ordered=True).collect()]
+    assert tiers == sorted(tiers)  # tier 1 before tier 2
