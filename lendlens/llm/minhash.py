@@ -74,7 +74,7 @@ def prob_minhash(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int,
         keys, times, owners = [], [], []
         step = 0
         while len(d):
-            draw = arrays.mix(h + _U(2 * step + 1) * _U(0xD1B54A32D192ED03))
+            draw = arrays.mix(h + _U((2 * step + 1) * 0xD1B54A32D192ED03 & (2**64 - 1)))
             time = time - np.log1p(-((draw >> _U(11)).astype(np.float64) * 2.0**-53)) / w
             alive = time <= end
             d, h, w, end, time, draw = d[alive], h[alive], w[alive], end[alive], time[alive], draw[alive]

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality, url_filter
+from . import decontam, line_dedup, minhash, quality, url_filter
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash": minhash.op1_minhash,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op10_decontamination": decontam.op10_decontamination,
     }
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.OP7_SQL}
+    return {"op7_line_dedup": line_dedup.OP7_SQL, "op10_decontamination": decontam.OP10_SQL}
