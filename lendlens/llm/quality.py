@@ -33,6 +33,8 @@ FLOORS = (0.10, 0.06, 0.12, 0.12)
 #: Share of each group that the determinant criterion keeps, concentration steps,
 #: and the squared distance beyond which a document goes.
 KEEP_SHARE, STEPS, CUTOFF = 0.75, 3, 60.0
+#: Parts into which every group's rows are dealt when they meet their model.
+SALTS = 64
 
 
 def word_array(text: Column) -> Column:
@@ -181,15 +183,20 @@ def robust_distances(vectors: DataFrame, keep: float = KEEP_SHARE, steps: int =
     keys = ["_lang", "_source"]
     vectors = vectors.withColumns(
         {k: F.coalesce(F.concat(F.lit("="), F.col(k[1:]).cast("string")), F.lit("null")) for k in keys}
+        | {"_salt": F.pmod(F.xxhash64("doc_id", *FEATURES), F.lit(SALTS))}
     )
+
+    def meet(rows: DataFrame, per_group: DataFrame) -> DataFrame:
+        salted = per_group.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return rows.join(salted, [*keys, "_salt"])
+
     model = _start(vectors, keys)
     for _ in range(steps):
-        near = vectors.join(model, keys).withColumn("distance", _distance())
+        near = meet(vectors, model).select(*keys, "_salt", *FEATURES, _distance().alias("distance"))
         limit = near.groupBy(*keys).agg(F.percentile_approx("distance", keep, 1000).alias("_limit"))
-        model = common.stage(
-            _fit(near.join(limit, keys).filter("distance <= _limit").select(*keys, *FEATURES), keys), "mcd"
-        )
-    return vectors.join(model, keys).withColumn("distance", _distance())
+        inside = meet(near, limit).filter("distance <= _limit").select(*keys, *FEATURES)
+        model = common.stage(_fit(inside, keys), "mcd")
+    return meet(vectors, model).withColumn("distance", _distance())
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
