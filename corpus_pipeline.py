@@ -5,13 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendlens.llm import common, line_dedup, quality
+from lendlens.llm import common, decontam, line_dedup, minhash, quality, sp_codec
 
 #: (name, function): each takes (spark, docs, sf_dir) and returns a DataFrame, which is
 #: written as Parquet and read again as the next one's docs.
 STAGES = [
     ("quality_rules", quality.keep_good),
     ("line_dedup", line_dedup.without_repeats),
+    ("near_dedup", minhash.first_of_each),
+    ("decontamination", decontam.without_contaminated),
+    ("sentencepiece", sp_codec.encode_documents),
 ]
 
 #: The robust estimates, sketches and token merges of the stages have no SQL form;

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, minhash, quality, sp_codec, token_files, url_filter
+from . import decontam, html_text, line_dedup, minhash, pii, quality, sp_codec, token_files, url_filter
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash": minhash.op1_minhash,
+        "op2_pii": pii.op2_pii,
+        "op3_html_text": html_text.op3_html_text,
         "op4_sentencepiece": sp_codec.op4_sentencepiece,
         "op5_token_files": token_files.op5_token_files,
         "op6_url_filter": url_filter.op6_url_filter,
