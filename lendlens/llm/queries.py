@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, line_dedup, minhash, pii, quality, sp_codec, token_files, url_filter
+from . import decontam, html_text, line_dedup, minhash, pii, quality, sp_codec, suffix_dedup, token_files, url_filter
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_decontamination": decontam.op10_decontamination,
     }
 
