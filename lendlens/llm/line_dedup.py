@@ -93,7 +93,8 @@ def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     counts ``n_lines``, ``n_removed`` (lines) and ``n_runs`` (deleted runs of
     neighbouring line numbers).
 
-    Input: columns doc_id and text, others are kept. A null text stays null and
+    Input: columns doc_id and text; others are kept, but for those named like a
+    count, which are replaced. A null text stays null and
     has no line with a word; lines without a word are never deleted; a null
     doc_id comes before all others; a document may lose all its lines.
     """
@@ -101,26 +102,24 @@ def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_drop")
     )
     text = common.text_or_empty("text")
-    joined = docs.join(
-        drop, docs["doc_id"].eqNullSafe(drop["_id"]) & (F.xxhash64(text) == drop["_hash"]), "left"
-    )
+    joined = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]) & (F.xxhash64(text) == drop["_hash"]), "left")
+    gone = drop["_drop"]
 
     def rest(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
     cut = F.transform(F.array(F.split(text, "\n")), rest)[0]
-    first_of_run = F.filter(
-        F.transform(F.col("_drop"), lambda x, i: (i == 0) | (F.get(F.col("_drop"), i - 1) != x - 1)), lambda x: x
-    )
+    starts = F.filter(F.transform(gone, lambda x, i: (i == 0) | (F.get(gone, i - 1) != x - 1)), lambda x: x)
+    counts = {
+        "n_lines": F.size(F.split(text, "\n")).cast("long"),
+        "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        "n_runs": F.when(gone.isNull(), 0).otherwise(F.size(starts)).cast("long"),
+    }
+    text = F.when(gone.isNull(), docs["text"]).otherwise(cut).alias("text")
     return joined.select(
-        *[
-            F.when(F.col("_drop").isNull(), docs["text"]).otherwise(cut).alias("text") if c == "text" else docs[c]
-            for c in docs.columns
-        ],
-        F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size(first_of_run)).cast("long").alias("n_runs"),
+        *[text if c == "text" else docs[c] for c in docs.columns if c not in counts],
+        *[value.alias(name) for name, value in counts.items()],
     )
 
 
@@ -160,8 +159,10 @@ FROM edges GROUP BY doc_id
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document, without the lines of later repeated runs."""
-    out = delete_repeats(docs)
+    """Pipeline stage: every document, without the lines of later repeated runs;
+    n_chars tells the new length."""
+    named = docs.select(*[docs[c].alias(f"{c}__" if c in ("n_lines", "n_removed", "n_runs") else c) for c in docs.columns])
+    out = delete_repeats(named)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(common.text_or_empty("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(named.columns, docs.columns, strict=True)])

@@ -89,14 +89,15 @@ def repeated_words(words: Column, size: int = 5) -> Column:
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base statistics of every whole text. A null or
-    empty text has no words and all counts 0."""
+    """doc_id, lang, source, text_hash and the base statistics of every whole text. A
+    null or empty text has no words and all counts 0."""
     text = common.text_or_empty("text")
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     counted = docs.select("doc_id", "lang", "source", text.alias("_t")).select(
         "doc_id",
         "lang",
         "source",
+        F.xxhash64("_t").alias("text_hash"),
         F.length(F.translate("_t", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -110,6 +111,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        "text_hash",
         F.col("_w.n").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -200,7 +202,7 @@ def robust_distances(vectors: DataFrame, keep: float = KEEP_SHARE, steps: int =
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the base statistics, ``base_failed``, ``distance`` and ``kept``.
+    """doc_id, text_hash, the base statistics, ``base_failed``, ``distance`` and ``kept``.
 
     Input: columns doc_id, text, lang, source; others are ignored. Null or
     empty texts fail the base rules; repeated rows give repeated results; an
@@ -225,5 +227,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the quality rules keep, unchanged."""
-    verdicts = judge(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_id"]), "left_semi")
+    good = judge(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(common.text_or_empty("text")) == good["_hash"])
+    return docs.join(good, same, "left_semi")

@@ -33,6 +33,7 @@ SEGMENT_IDS, REMEMBERED = 1 << 18, 1 << 20
 #: Every so many-th one bit has its position sampled for select.
 SAMPLE = 64
 MAGIC = b"EFIDS001"
+FILE_SCHEMA = "shard int, seq int, n_docs bigint, n_ids bigint, data binary"
 _U = arrays.U64
 
 
@@ -326,16 +327,14 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None
         if held:
             yield close()
 
-    dealt.mapInArrow(segments, "shard int, seq int, n_docs bigint, n_ids bigint, data binary").write.option(
-        "compression", "zstd"
-    ).parquet(folder)
+    dealt.mapInArrow(segments, FILE_SCHEMA).write.option("compression", "zstd").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each document of the files: doc_id, start (ids of all documents before
     it), n_tokens and ids_crc32 (of its ids as little-endian 32-bit integers)."""
     common.small_batches(spark)
-    stored = spark.read.parquet(folder)
+    stored = spark.read.schema(FILE_SCHEMA).parquet(folder)
     sizes = stored.select("shard", "seq", "n_ids")
     # prefix sums: over the segments of a shard, and over the shards (one row each)
     in_order = Window.partitionBy("shard").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
