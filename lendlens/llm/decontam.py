@@ -209,8 +209,11 @@ def search(index: DataFrame, benchmark: DataFrame) -> DataFrame:
         whole = whole.unionByName(part)
     # one row a document and block of test items: as many rows meet as there are such blocks
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    met = whole.groupBy("doc_id", "text_hash", "n_words").agg(union("hits"), union("items"), union("near"))
-    return met.withColumn("hits", _merged("hits"))
+    met = whole.groupBy("doc_id", "text_hash", "n_words").agg(
+        union("hits"), union("items"), union("near"), (F.count("*") / len(parts)).cast("int").alias("_rows")
+    )
+    # a repeated row is given as often as it was there
+    return met.withColumn("hits", _merged("hits")).withColumn("_rows", F.explode(F.sequence(F.lit(1), "_rows"))).drop("_rows")
 
 
 def _merged(name: str):
