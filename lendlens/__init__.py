@@ -9,7 +9,6 @@ Sub-packages:
     sources    raw CSV reader, test-table adapter, parquet sinks
     operators  the audit operators (features, pairs, clusters, rules, stats, ...)
     plans      the composed audit pipeline and the registered queries
-    streaming  (empty: the audited workload is a batch refresh)
 """
 
 __version__ = "0.1.0"

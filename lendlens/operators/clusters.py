@@ -24,6 +24,8 @@ from ..functions.exprs import dlit, safe_divide, stable_hash64
 # ---- fixed values of the audit -------------------------------------------------
 GRID_SCALE = 5.0
 GRID_DIMS = 3
+#: Keys that the rows of one cell are dealt over.
+SALTS = 16
 MIN_CLUSTER_SIZE = 20
 OUTLIER_SIGMAS = 2.0
 RACIAL_GAP, ETHNIC_GAP, GENDER_GAP = 0.15, 0.15, 0.10
@@ -128,7 +130,12 @@ def grid_clusters(
         )
         .where(c("cluster_size") >= min_size)
     )
-    assigned = cells.join(stats, cell_cols).withColumns(
+    # a hot cell's rows meet its statistics under SALTS keys; the statistics, one row a
+    # cell, are copied to all of them
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = [*cell_cols, "_salt"]
+    cells = cells.withColumn("_salt", F.pmod(F.xxhash64("application_id"), F.lit(SALTS)).cast("int"))
+    assigned = cells.join(stats.select("*", salt), salted).withColumns(
         {
             "cluster_id": stable_hash64(cluster_key(dims)),
             "distance_to_centroid": F.sqrt(
@@ -142,7 +149,7 @@ def grid_clusters(
         F.stddev_samp("distance_to_centroid").alias("_std_dist"),
     )
     n = c("cluster_size")
-    out = assigned.join(spread, cell_cols).withColumns(
+    out = assigned.join(spread.select("*", salt), salted).withColumns(
         {
             "cluster_approval_rate": safe_divide(c("_approved"), n),
             "white_percentage": safe_divide(c("white_count"), n),

@@ -165,6 +165,7 @@ def attach_table_vectors(
 ) -> DataFrame:
     """T3 from a vector table (adapter): profile vector = ``vectors[key mod E]``.
 
+    Vector ids are 0..E-1; an application whose vector is missing fails the job.
     ``E`` (the vector count) is a scalar subquery, not a cross join; the
     lookup is an equi-join on ``vec_id`` that AQE broadcasts only when the
     vector table is measured small. The financial embedding is the numeric
@@ -173,10 +174,12 @@ def attach_table_vectors(
     n_vectors = vectors.select(F.count(F.lit(1)).cast("bigint")).scalar()
     kept = profiles.where(F.col("profile_text").isNotNull() & (F.trim(F.col("profile_text")) != ""))
     keyed = kept.withColumn("_vec_id", F.col(key_col) % n_vectors)
-    joined = keyed.join(vectors.withColumnRenamed("vec_id", "_vec_id"), "_vec_id")
+    joined = keyed.join(vectors.withColumnRenamed("vec_id", "_vec_id"), "_vec_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no vector with id "), F.col("_vec_id").cast("string")))
     return joined.withColumns(
         {
-            "profile_embedding": F.col("vector"),
+            # ids that are not 0..E-1 must not lose applications
+            "profile_embedding": F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(missing),
             "financial_embedding": F.when(_has_financials(), financial_vector()),
         }
     ).select(*EMBEDDING_COLUMNS)

@@ -6,8 +6,9 @@ all applications. Instead rows are numbered in two levels:
 
 1. ``chunk = key div chunk_width``; count rows per ``(lei, chunk)`` (partial
    aggregation, tiny output);
-2. running sum of those counts per lender gives each chunk's offset (the count
-   table has one row per chunk, not per application);
+2. running sums of those counts give each chunk's offset, in two levels as well:
+   over the chunks of one run of chunks, and over the runs of one lender, so no
+   window holds all chunks of a hot lender;
 3. the offset is joined back on ``(lei, chunk)`` -- a hot lender is spread over
    all its chunks -- and ``row_number`` runs inside each ``(lei, chunk)``.
 
@@ -20,6 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Chunks whose counts one window sums.
+CHUNKS_PER_RUN = 4096
+
+
 def number_within(
     df: DataFrame,
     partition_col: str,
@@ -46,11 +51,17 @@ def number_within(
     # input is computed once and a hot partition value is spread over chunks.
     keyed = df.withColumn("_chunk", chunk).repartition(partition_col, "_chunk")
     counts = keyed.groupBy(partition_col, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(partition_col).orderBy("_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
+    counts = counts.withColumn("_run", F.floor(F.col("_chunk") / F.lit(CHUNKS_PER_RUN)).cast("bigint"))
+    before = lambda *by: Window.partitionBy(partition_col, *by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_n").over(before("_run").orderBy("_chunk")), F.lit(0))
+    runs = counts.groupBy(partition_col, "_run").agg(F.sum("_n").alias("_rows"))
+    runs = runs.select(
+        partition_col, "_run", F.coalesce(F.sum("_rows").over(before().orderBy("_run")), F.lit(0)).alias("_before")
     )
-    offsets = counts.select(
-        partition_col, "_chunk", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset")
+    offsets = (
+        counts.select(partition_col, "_run", "_chunk", inside.alias("_inside"))
+        .join(runs, [partition_col, "_run"])
+        .select(partition_col, "_chunk", (F.col("_inside") + F.col("_before")).alias("_offset"))
     )
     within = Window.partitionBy(partition_col, "_chunk").orderBy(order_key)
     return (
@@ -62,22 +73,10 @@ def number_within(
 
 def application_ids(
     df: DataFrame, order_key: str = "source_key", chunk_width: int = 4096, out_col: str = "application_id",
-    hashed_key: bool = False, mode: str = "rownum",
+    hashed_key: bool = False,
 ) -> DataFrame:
-    """``CONCAT(lei, '_', activity_year, '_', n)``; NULL when ``lei`` is NULL.
-
-    ``mode="rownum"`` numbers applications 1..n per lender (the audited
-    format); ``mode="key"`` uses the source key as ``n``: equally unique and
-    replayable, and no shuffle at all.
-    """
-    if mode == "key":
-        return df.withColumn(
-            out_col,
-            F.concat(F.col("lei"), F.lit("_"), F.col("activity_year").cast("string"), F.lit("_"),
-                     F.col(order_key).cast("string")),
-        )
-    if mode != "rownum":
-        raise ValueError("mode must be 'rownum' or 'key'")
+    """``CONCAT(lei, '_', activity_year, '_', n)`` with applications numbered 1..n per
+    lender; NULL when ``lei`` is NULL. Rows of equal key get different numbers."""
     numbered = number_within(df, "lei", order_key, "_rownum", chunk_width, hashed_key=hashed_key)
     return numbered.withColumn(
         out_col,

@@ -3,12 +3,10 @@
 Semantics (per block, ``base.id < similar.id``):
 
 1. band: income and loan of one within 0.5x-2.0x of the other, |dDTI| < 0.2;
-2. optional sampling cap: keep ``cap`` candidate pairs per block, in a
-   replayable pseudo-random order (md5 of the two ids) instead of RAND();
-3. cosine distance of the financial embeddings < ``max_distance``;
-4. income / loan relative difference < 10 %, |dDTI| < 0.05;
-5. top ``k`` per base by (distance, income diff, loan diff, DTI diff, id);
-6. demographic / outcome / strength labels.
+2. cosine distance of the financial embeddings < ``max_distance``;
+3. income / loan relative difference < 10 %, |dDTI| < 0.05;
+4. top ``k`` per base by (distance, income diff, loan diff, DTI diff, id);
+5. demographic / outcome / strength labels.
 
 Plan shape. A block self-join is quadratic in the block, and one lender may
 hold a third of all applications. Each band predicate is a bounded distance
@@ -18,9 +16,13 @@ neighbour on the near side of it. The base side keeps its own cell, the
 similar side is exploded to the cells a partner can be in (own cell, plus the
 neighbour it is close to, per coordinate: at most 8), and the pair search
 becomes an equi-join on ``(lei, state, cell_i, cell_l, cell_d)`` that splits
-even a hot block across many tasks. Every predicate is re-checked exactly on
-the joined rows, so the cells only prune (no pair is lost or added).
-Vectors are compared only after the scalar predicates passed.
+even a hot block across many tasks. A cell that still holds more than
+``HEAVY_CELL`` rows is dealt out further: its base rows are spread over salts by
+their id, its similar rows are copied to every salt. A base row has one cell and
+one salt, so its top ``k`` is complete there. Every predicate is re-checked
+exactly on the joined rows, so the cells only prune (no pair is lost or added).
+Vectors stay out of the cell join and are fetched by id for the pairs that
+passed the scalar predicates.
 """
 
 from __future__ import annotations
@@ -32,14 +34,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, safe_divide
-from ..functions.vectors import UNROLL_MAX, dot, l2_norm
+from ..functions.vectors import dot, l2_norm
 
 # ---- fixed values of the audit -------------------------------------------------
 MAX_DISTANCE = 0.05
 BAND_LOW, BAND_HIGH, BAND_DTI = 0.5, 2.0, 0.2
 INCOME_TOL, LOAN_TOL, DTI_TOL = 0.1, 0.1, 0.05
 TOP_K = 5
-BLOCK_CAP = 5000
 RACE_DIFFERENCE = "RACE_DIFFERENCE"
 GENDER_DIFFERENCE = "GENDER_DIFFERENCE"
 ETHNICITY_DIFFERENCE = "ETHNICITY_DIFFERENCE"
@@ -50,6 +51,9 @@ STRENGTH_BANDS = [(0.01, "VERY_HIGH_SIMILARITY"), (0.03, "HIGH_SIMILARITY")]
 STRENGTH_DEFAULT = "MEDIUM_SIMILARITY"
 # ---------------------------------------------------------------------------------
 
+#: Rows of a cell that one task compares with their partners.
+HEAVY_CELL = 2000
+
 _SLACK = 1.0 + 1e-6
 _SIDE_COLS = ["application_id", "race_category", "gender_category", "ethnicity_category", "approved",
               "income", "loan_amount", "calculated_dti_ratio"]
@@ -109,6 +113,7 @@ def pair_candidates(
     vector_col: str | None = "financial_embedding",
     vector_dim: int | None = None,
     cell_factor: float = 4.0,
+    heavy_cell: int = HEAVY_CELL,
 ) -> DataFrame:
     """All (base, similar) pairs of a block whose three coordinates are within
     the given half-widths (log scale for income and loan), as an equi-join.
@@ -125,17 +130,30 @@ def pair_candidates(
     own, reach = {}, {}
     for name, value, half in dims:
         own[name], reach[name] = _cells(value, half, cell_factor)
+    keys = list(block) + ["_ci", "_cl", "_cd"]
     celled = apps.withColumns(own)
     base = _side(celled, "base", block, vector_col, vector_dim)
     similar_src = celled
     for name, _, _ in dims:
         similar_src = similar_src.withColumn(name, F.explode(reach[name]))
     similar = _side(similar_src, "similar", block, vector_col, vector_dim)
-    keys = list(block) + ["_ci", "_cl", "_cd"]
-    # the base side's cell columns stay: a base row lives in exactly one cell,
-    # so grouping by (block, cell, base id) equals grouping by base id and can
-    # reuse the join's partitioning (no second shuffle for the top-k)
-    return base.join(similar, keys).where(F.col("base_app_id") < F.col("similar_app_id"))
+    base, similar = _salted(base, similar, keys, heavy_cell)
+    return base.join(similar, [*keys, "_salt"]).where(F.col("base_app_id") < F.col("similar_app_id"))
+
+
+def _salted(base: DataFrame, similar: DataFrame, keys: list[str], heavy_cell: int) -> tuple[DataFrame, DataFrame]:
+    """Add ``_salt``: in cells of more than ``heavy_cell`` base rows, base rows are dealt
+    over ``rows / heavy_cell`` salts and similar rows copied to each of them."""
+    heavy = (
+        base.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > heavy_cell)
+        .select(*keys, F.ceil(F.col("_rows") / F.lit(heavy_cell)).cast("int").alias("_salts"))
+    )
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    base = base.join(heavy, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("base_app_id"), salts).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), salts - 1))
+    return base.drop("_salts"), similar.join(heavy, keys, "left").withColumn("_salt", copies).drop("_salts")
 
 
 def _band(low: float, high: float, dti: float) -> Column:
@@ -147,11 +165,6 @@ def _band(low: float, high: float, dti: float) -> Column:
     )
 
 
-def pair_sample_order() -> Column:
-    """Replayable stand-in for RAND(): md5 of the two ids."""
-    return F.md5(F.concat(F.col("base_app_id"), F.lit("|"), F.col("similar_app_id")))
-
-
 def similar_pairs(
     embedded: DataFrame,
     *,
@@ -165,32 +178,21 @@ def similar_pairs(
     loan_tol: float = LOAN_TOL,
     dti_tol: float = DTI_TOL,
     top_k: int | None = TOP_K,
-    cap: int | None = None,
     vector_dim: int | None = None,
-    late_vectors: bool | None = None,
     cell_factor: float = 4.0,
+    heavy_cell: int = HEAVY_CELL,
 ) -> DataFrame:
     """M4: financially similar pairs per block.
 
-    ``cap=None`` (default) keeps every candidate pair: exact and scalable.
-    ``cap=5000`` reproduces the audited script's per-block sampling, which is
-    applied to the wide 0.5x-2x band *before* the tight filters; then the cell
-    join uses the wide band's tolerances.
-
     ``vector_dim``: the vectors' length when it is known and fixed (the
-    adapter's financial vector has 4 numbers); short vectors are then compared
-    with unrolled arithmetic instead of interpreted higher-order functions.
-    ``late_vectors``: keep vectors out of the cell join and fetch them by id
-    only for pairs that passed every scalar predicate (default: when the
-    length is unknown or long, e.g. 768-dimensional text embeddings).
+    adapter's financial vector has 4 numbers); such vectors are compared with
+    unrolled arithmetic instead of interpreted higher-order functions.
 
     All scalar predicates run before any vector arithmetic; they and the
     distance threshold are conjunctive filters ahead of the ranking, so the
     order does not change the result.
     """
     c = F.col
-    if late_vectors is None:
-        late_vectors = vector_dim is None or vector_dim > UNROLL_MAX
     apps = embedded.where(
         c("lei").isNotNull() & c("state_code").isNotNull() & c(vector_col).isNotNull()
         & (c("income") > 0) & (c("loan_amount") > 0)
@@ -204,16 +206,11 @@ def similar_pairs(
 
     wide = (math.log(max(band_high, 1.0 / band_low)), math.log(max(band_high, 1.0 / band_low)), band_dti)
     tight = (log_width(income_tol), log_width(loan_tol), dti_tol)
-    cells = wide if cap is not None else tuple(min(a, b) for a, b in zip(wide, tight))
+    cells = tuple(min(a, b) for a, b in zip(wide, tight))
     cand = pair_candidates(
-        apps, block, *cells, vector_col=None if late_vectors else vector_col, vector_dim=vector_dim,
-        cell_factor=cell_factor,
+        apps, block, *cells, vector_col=None, cell_factor=cell_factor, heavy_cell=heavy_cell
     ).where(_band(band_low, band_high, band_dti))
 
-    if cap is not None:
-        w = Window.partitionBy(*block).orderBy(pair_sample_order())
-        cand = cand.withColumn("_rn", F.row_number().over(w)).where(c("_rn") <= cap).drop("_rn")
-
     scored = cand.withColumns(
         {
             "income_diff_ratio": safe_divide(F.abs(c("base_income") - c("similar_income")), F.greatest(c("base_income"), c("similar_income"))),
@@ -225,12 +222,12 @@ def similar_pairs(
         & (F.coalesce(c("loan_amount_diff_ratio"), dlit(1.0)) < dlit(loan_tol))
         & (c("dti_abs_diff") < dlit(dti_tol))
     )
-    if late_vectors:
-        vecs = apps.select("application_id", c(vector_col).alias("_v"), l2_norm(c(vector_col), vector_dim).alias("_n"))
-        scored = (
-            scored.join(vecs.toDF("base_app_id", "base_vec", "base_norm"), "base_app_id")
-            .join(vecs.toDF("similar_app_id", "similar_vec", "similar_norm"), "similar_app_id")
-        )
+    vecs = apps.select("application_id", c(vector_col).alias("_v"), l2_norm(c(vector_col), vector_dim).alias("_n"))
+    scored = (
+        # the base side last: the top k per base id then runs on its partitioning
+        scored.join(vecs.toDF("similar_app_id", "similar_vec", "similar_norm"), "similar_app_id")
+        .join(vecs.toDF("base_app_id", "base_vec", "base_norm"), "base_app_id")
+    )
     dist = F.when(
         (c("base_norm") > 0) & (c("similar_norm") > 0),
         dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),
@@ -239,9 +236,8 @@ def similar_pairs(
         c("financial_similarity_distance") < dlit(max_distance)
     )
     if top_k is not None:
-        # same groups as partitionBy(base_app_id); the extra keys let the window
-        # run on the cell join's partitioning without another exchange
-        w = Window.partitionBy(*block, "_ci", "_cl", "_cd", "base_app_id").orderBy(
+        # ids are spread evenly, so the top k of a base row needs no hot key
+        w = Window.partitionBy("base_app_id").orderBy(
             "financial_similarity_distance", "income_diff_ratio", "loan_amount_diff_ratio", "dti_abs_diff", "similar_app_id"
         )
         scored = scored.withColumn("similarity_rank", F.row_number().over(w)).where(c("similarity_rank") <= top_k)

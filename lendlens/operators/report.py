@@ -169,8 +169,8 @@ DASHBOARD_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("sec
 
 
 def _fmt(fmt: str, value: Column) -> Column:
-    """FORMAT(fmt, value) with a NULL value rendered as 'NULL'."""
-    return F.coalesce(F.format_string(fmt, value), F.lit("NULL"))
+    """FORMAT(fmt, value); NULL for a NULL value (``format_string`` would print one)."""
+    return F.when(value.isNotNull(), F.format_string(fmt, value))
 
 
 def _metric_rows(one_row: DataFrame, metrics: dict[str, Column]) -> DataFrame:

@@ -14,6 +14,7 @@ executor re-reads a stored table instead of recomputing the audit.
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 from functools import cached_property
@@ -71,7 +72,6 @@ class AuditPipeline:
         vectors: DataFrame | None = None,
         profile_embedder=None,
         financial_embedder=None,
-        pair_cap: int | None = None,
         grid_scale: float = clusters.GRID_SCALE,
         rule_specs: list | None = None,
         z_forms: dict | None = None,
@@ -80,7 +80,6 @@ class AuditPipeline:
         bucket_stages: bool = False,
         buckets: int | None = None,
         store: set[str] | None = None,
-        id_mode: str = "rownum",
     ):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir (test tables) or raw (raw-schema DataFrame)")
@@ -90,12 +89,10 @@ class AuditPipeline:
         self._vectors = vectors
         self.profile_embedder = profile_embedder
         self.financial_embedder = financial_embedder
-        self.pair_cap = pair_cap
         self.grid_scale = grid_scale
         self.rule_specs = rule_specs or rules.default_rules()
         self.z_forms = z_forms
         self.materialize = materialize
-        self.id_mode = id_mode
         self.store = store  # with materialize: only these stages (None: every reusable stage)
         self.stage_root = stage_root
         # Optionally store the stages joined on application_id bucketed alike
@@ -105,6 +102,7 @@ class AuditPipeline:
         self.bucket_stages = bucket_stages
         self.buckets = buckets if buckets is not None else int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         self._run_id = uuid.uuid4().hex[:12]
+        self._own_root = False
 
     def _stage(self, df: DataFrame, name: str, partition_by=(), bucket_by: str | None = None,
                stage: str | None = None) -> DataFrame:
@@ -113,12 +111,29 @@ class AuditPipeline:
         if self.stage_root is None:
             # one folder per pipeline run under the shared checkpoint folder
             self.stage_root = os.path.join(ensure_checkpoint_dir(self.spark), "lendlens-stages", self._run_id)
+            self._own_root = True
+            atexit.register(self.close)
         return sinks.stage_table(
             self.spark, df, name, self.stage_root, partition_by,
             bucket_by=bucket_by if self.bucket_stages else None,
             buckets=self.buckets if (bucket_by and self.bucket_stages) else 0, table_prefix=f"lendlens_{self._run_id}",
         )
 
+    def close(self) -> None:
+        """Remove the stage tables of this run (also done when the program ends)."""
+        if self._own_root:
+            try:
+                sinks.remove_path(self.spark, self.stage_root)
+            except Exception:  # the session has ended; the shared folder's owner cleans up
+                return
+            self._own_root = False
+
+    def __enter__(self) -> AuditPipeline:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
     # ---- ingest ---------------------------------------------------------------
     @cached_property
     def raw(self) -> DataFrame:
@@ -127,7 +142,7 @@ class AuditPipeline:
     @cached_property
     def cleaned(self) -> DataFrame:
         # the adapter's key is a dense row id; raw CSV rows carry a content hash
-        return features.clean_applications(self.raw, hashed_key=self._raw is not None, id_mode=self.id_mode)
+        return features.clean_applications(self.raw, hashed_key=self._raw is not None)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -163,7 +178,7 @@ class AuditPipeline:
     @cached_property
     def pairs(self) -> DataFrame:
         """T6."""
-        df = pairs.similar_pairs(self.embedded, cap=self.pair_cap, vector_dim=self.financial_dim)
+        df = pairs.similar_pairs(self.embedded, vector_dim=self.financial_dim)
         return self._stage(df, "vector_similar_pairs", stage="pairs")
 
     @cached_property

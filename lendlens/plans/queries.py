@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import round_doubles
 from ..operators import assess, clusters, embed, pairs, report, rules, stats
 from . import oracle as O
+from . import oracle_values as V
 from .pipeline import AuditPipeline, stages_to_store
 
 ROUND_DIGITS = 9
@@ -38,7 +39,7 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "scan_clean_applications": ("cleaned",), "feature_bands": ("features",), "amortized_dti": ("features",),
     "profile_text": ("profiles",), "financial_text": ("profiles",), "hash_embedding": ("profiles",),
     "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded",), "similar_pairs": ("pairs",),
-    "similar_pairs_capped": ("embedded",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
+    "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
     "centroid_distance": ("clusters",), "sigma_outliers": ("clusters",), "cluster_disparity": ("clusters",),
     "rule_violations": ("violations",), "lender_stats": ("lender_stats",), "two_proportion_z": ("lender_stats",),
     "disparate_impact": ("statistics",), "evidence_score": ("statistics",), "statistical_analysis": ("statistics",),
@@ -236,9 +237,6 @@ register(Query("cosine_distance_pairs",
                "AND abs(base_loan_amount - similar_loan_amount) / greatest(base_loan_amount, similar_loan_amount) "
                "< CAST(0.1 AS DOUBLE) AND abs(base_dti - similar_dti) < CAST(0.05 AS DOUBLE)", ["band_pairs"]))
 register(Query("similar_pairs", lambda p: p.pairs, pairs.PAIR_COLUMNS, "pairs", ["pairs"]))
-register(Query("similar_pairs_capped",
-               lambda p: pairs.similar_pairs(p.embedded, cap=pairs.BLOCK_CAP, vector_dim=p.financial_dim),
-               pairs.PAIR_COLUMNS, "pairs_capped", ["pairs_capped"]))
 
 
 def _evidence(p: AuditPipeline) -> DataFrame:
@@ -304,8 +302,8 @@ register(Query("statistical_analysis", lambda p: _sel(p.statistics, STATISTICS_C
 register(Query("final_assessment", lambda p: _sel(p.assessment, ASSESSMENT_COLUMNS), ASSESSMENT_COLUMNS,
                "assessment", ["assessment"]))
 register(Query("explanations",
-               lambda p: _sel(p.assessment.where(F.col("ai_enhanced_explanation") != ""), ["application_id", "ai_enhanced_explanation"]),
-               ["application_id", "ai_enhanced_explanation"], "assessment WHERE ai_enhanced_explanation <> ''", ["assessment"]))
+               lambda p: _sel(p.assessment, ["application_id", "ai_enhanced_explanation"]),
+               ["application_id", "ai_enhanced_explanation"], "assessment", ["assessment"]))
 register(Query("lender_risk_summary", lambda p: _sel(p.summary, SUMMARY_COLUMNS), SUMMARY_COLUMNS, "summary", ["summary"]))
 register(Query("validation", lambda p: _sel(p.validation, VALIDATION_COLUMNS), VALIDATION_COLUMNS, "validation", ["validation"]))
 register(Query("performance_metrics", lambda p: p.metrics, METRIC_COLUMNS, "metrics", ["metrics"]))
@@ -316,8 +314,8 @@ register(Query("dashboard", lambda p: p.dashboard(), DASHBOARD_COLUMNS, "dashboa
 _SUM_COLS = ["status", "confirmation", "ai_summary"]
 register(Query(
     "final_summary", lambda p: p.run_summary(with_timestamp=False), _SUM_COLS, "(SELECT 1) one", ["assessment", "pairs", "clusters"],
-    [f"{O.sq(report.SUMMARY_STATUS)} AS status", f"{O.sq(report.SUMMARY_CONFIRMATION)} AS confirmation",
-     f"printf({O.sq(report.SUMMARY_FORMAT)}, (SELECT count(*) FROM assessment), (SELECT count(*) FROM pairs), "
+    [f"{O.sq(V.SUMMARY_STATUS)} AS status", f"{O.sq(V.SUMMARY_CONFIRMATION)} AS confirmation",
+     f"printf({O.sq(V.SUMMARY_FORMAT)}, (SELECT count(*) FROM assessment), (SELECT count(*) FROM pairs), "
      "(SELECT count(DISTINCT cluster_id) FROM clusters WHERE cluster_id IS NOT NULL)) AS ai_summary"],
 ))
 

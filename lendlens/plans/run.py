@@ -22,13 +22,12 @@ from ..sources import read_raw_csv, write_table
 from .pipeline import AuditPipeline
 
 
-def run(spark: SparkSession, out: str, *, csv: str | None = None, tables: str | None = None,
-        pair_cap: int | None = None) -> dict[str, str]:
+def run(spark: SparkSession, out: str, *, csv: str | None = None, tables: str | None = None) -> dict[str, str]:
     configure(spark)
     if csv:
-        audit = AuditPipeline(spark, raw=read_raw_csv(spark, csv), materialize=True, pair_cap=pair_cap)
+        audit = AuditPipeline(spark, raw=read_raw_csv(spark, csv), materialize=True)
     else:
-        audit = AuditPipeline(spark, tables, materialize=True, pair_cap=pair_cap)
+        audit = AuditPipeline(spark, tables, materialize=True)
     outputs = {
         "hmda_audit_features": (audit.features.drop("source_key"), ("state_code",)),
         "application_profiles": (audit.profiles.drop("source_key"), ("state_code",)),
@@ -47,10 +46,12 @@ def run(spark: SparkSession, out: str, *, csv: str | None = None, tables: str |
         "mln_rules": (audit.rules_table(), ()),
     }
     written = {}
+    # stages that are stored anyway are read back from there, not computed again
     for name, (df, partition_by) in outputs.items():
         path = os.path.join(out, name)
         write_table(df, path, partition_by=partition_by)
         written[name] = path
+    audit.close()
     return written
 
 
@@ -60,10 +61,9 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--csv", help="raw application CSV path or glob")
     src.add_argument("--tables", help="folder with the star-schema test tables (adapter input)")
     ap.add_argument("--out", required=True, help="output folder for the stage tables")
-    ap.add_argument("--pair-cap", type=int, default=None, help="per-block sampling cap (default: none, exact)")
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("lendlens-audit").getOrCreate()
-    for name, path in run(spark, args.out, csv=args.csv, tables=args.tables, pair_cap=args.pair_cap).items():
+    for name, path in run(spark, args.out, csv=args.csv, tables=args.tables).items():
         print(f"{name}\t{path}")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,9 +16,6 @@ AUDIT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The per-block sampling cap keeps up to 5000 rows per group; let the
-    # optimizer plan it as a partial top-k (WindowGroupLimit) before the shuffle.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -34,7 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is. Only when it is unset (local tests) a scratch folder is created.
+    as is; a cluster without it is an error, since a folder of one machine is
+    not seen by the others. Only a local session gets a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -44,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        if sc is None or not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="lendlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None:

@@ -34,6 +34,7 @@ LOAN_PRODUCTS = [
     "FHA:Subordinate Lien",
 ]
 LENDERS_PER_SUPPLIERS = 5  # lenders = count(supplier) div 5
+UNITS = "race eth sex inc rs act ag db lt lp oc dw pr ls tp min mi ti dr".split()
 # ------------------------------------------------------------------------------
 
 
@@ -41,21 +42,9 @@ def _pick(values: list[str], u) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (u % len(values) + 1).cast("int"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a narrow scan over the cluster when it arrives in fewer
-    splits than there are cores (a single-row-group file is one task); a
-    scan that is already split is left alone."""
-    try:
-        parallelism = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the scan as is
-        return df
-    return df.repartition(parallelism) if splits < parallelism else df
-
-
 def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-schema rows (plus ``source_key``) for every order of ``sf_dir``."""
-    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # nation has a fixed 25 rows: a proven-small broadcast side.
     nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
@@ -69,9 +58,11 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         nation, customer.c_nationkey == nation.n_nationkey
     )
     k = F.col("o_orderkey")
+    # every unit is one column, computed once a row, that the branches below refer to
+    df = df.withColumns({f"_u_{salt}": md5_unit(k, salt) for salt in UNITS})
 
     def u(salt: str):
-        return md5_unit(k, salt)
+        return F.col(f"_u_{salt}")
 
     race_u = u("race")
     race = (

@@ -32,6 +32,12 @@ def create_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     write_table(df, path, mode="errorifexists", partition_by=partition_by)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def create_view(df: DataFrame, name: str) -> DataFrame:
     df.createOrReplaceTempView(name)
     return df

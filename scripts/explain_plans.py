@@ -35,7 +35,6 @@ def main() -> None:
     # each operator is planned on its stored inputs, as a registered query runs it
     ops = {
         "similar_pairs": P.similar_pairs(p.embedded, vector_dim=p.financial_dim),
-        "similar_pairs_capped": P.similar_pairs(p.embedded, cap=P.BLOCK_CAP, vector_dim=p.financial_dim),
         "grid_clusters": C.grid_clusters(p.embedded),
         "rule_violations": RU.evaluate_rules(p.embedded, p.clusters, p.evidence),
         "lender_statistics": p.lender_stats,

@@ -102,11 +102,20 @@ def test_number_within_hashed_key(spark):
     assert got.select("g", "k", "n").exceptAll(want.select("g", "k", "n")).count() == 0
 
 
-def test_key_mode_ids_are_unique_without_shuffle(spark, tmp_path):
-    lines = [raw_line(census_tract=str(i), lei="L1" if i % 3 else "L2") for i in range(30)]
+def test_identical_rows_get_different_ids(spark, tmp_path):
+    lines = [raw_line(census_tract=str(i % 3), lei="L1") for i in range(30)]
     raw = read_raw_csv(spark, write_csv(str(tmp_path), lines))
-    cleaned = FE.clean_applications(raw, hashed_key=True, id_mode="key")
-    ids = [r.application_id for r in cleaned.collect()]
-    assert len(ids) == 30 and len(set(ids)) == 30
-    plan = cleaned._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Window" not in plan
+    ids = {r.application_id for r in FE.clean_applications(raw, hashed_key=True).collect()}
+    assert ids == {f"L1_2024_{n}" for n in range(1, 31)}
+
+
+def test_offsets_over_many_runs_of_chunks(spark, monkeypatch):
+    from pyspark.sql import Window
+
+    from lendlens.operators import ids
+
+    monkeypatch.setattr(ids, "CHUNKS_PER_RUN", 3)
+    df = spark.range(500).select((F.col("id") % 2).alias("g"), (F.col("id") * 7).alias("k"))
+    got = number_within(df, "g", "k", "n", chunk_width=20)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("k")))
+    assert got.select("g", "k", "n").exceptAll(want.select("g", "k", "n")).count() == 0

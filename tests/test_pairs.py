@@ -101,32 +101,31 @@ def test_uncapped_equals_plain_formulation(spark):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_capped_keeps_at_most_cap_per_block(spark):
-    emb = synthetic(spark, n=400, seed=5)
-    cap = 50
-    capped = P.similar_pairs(emb, cap=cap, top_k=None, max_distance=2.0, income_tol=1.0, loan_tol=1.0, dti_tol=1.0)
-    counts = capped.groupBy("lei", "state_code").count().collect()
-    assert counts and max(r["count"] for r in counts) <= cap
-    # a cap above every block size changes nothing
-    big = P.similar_pairs(emb, cap=10 ** 6).select("base_app_id", "similar_app_id")
-    none = P.similar_pairs(emb).select("base_app_id", "similar_app_id")
-    assert big.exceptAll(none).count() == 0 and none.exceptAll(big).count() == 0
-
-
 def test_plan_has_no_cartesian_product(spark):
     emb = synthetic(spark, n=50)
     plan = P.similar_pairs(emb)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-def test_cell_factor_and_late_vectors_do_not_change_results(spark):
+def test_cell_factor_and_salts_do_not_change_results(spark):
     emb = synthetic(spark, n=400, seed=9)
     cols = ["base_app_id", "similar_app_id", "financial_similarity_distance"]
     ref = P.similar_pairs(emb).select(*cols)
-    for kwargs in ({"cell_factor": 4.0}, {"cell_factor": 1.0}, {"late_vectors": True}, {"vector_dim": 4},
-                   {"vector_dim": 4, "late_vectors": True, "cell_factor": 3.0}):
+    for kwargs in ({"cell_factor": 3.0}, {"cell_factor": 1.0}, {"vector_dim": 4}, {"heavy_cell": 3}):
         got = P.similar_pairs(emb, **kwargs).select(*cols)
         assert got.exceptAll(ref).count() == 0 and ref.exceptAll(got).count() == 0, kwargs
-    capped_ref = P.similar_pairs(emb, cap=100).select(*cols)
-    capped = P.similar_pairs(emb, cap=100, cell_factor=4.0, late_vectors=True).select(*cols)
-    assert capped.exceptAll(capped_ref).count() == 0 and capped_ref.exceptAll(capped).count() == 0
+
+
+def test_hot_cell_is_spread_over_tasks(spark):
+    """One lender and one cell: its base rows go to many keys, and the result is that of brute force."""
+    rows = [(f"H{i:04d}", "LH", "NY", "White", "Male", "Hispanic", i % 2 == 0, 100.0 + i * 1e-4, 200.0, 0.3,
+             [0.5, 0.4, 0.3, i / 4000]) for i in range(600)]
+    emb = spark.createDataFrame(rows, SCHEMA)
+    keys = ["lei", "state_code"]
+    cand = P.pair_candidates(emb, keys, 0.1, 0.1, 0.05, vector_col=None, heavy_cell=50)
+    per_salt = [r["count"] for r in cand.groupBy("_ci", "_cl", "_cd", "_salt").agg(F.count_distinct("base_app_id").alias("count")).collect()]
+    assert len(per_salt) >= 10 and max(per_salt) < 120
+    got = P.similar_pairs(emb, heavy_cell=50).select("base_app_id", "similar_app_id")
+    want = P.similar_pairs(emb, heavy_cell=10**9).select("base_app_id", "similar_app_id")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert P.similar_pairs(emb, top_k=None, heavy_cell=50).count() == 600 * 599 // 2

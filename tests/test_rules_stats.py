@@ -209,3 +209,18 @@ def test_cluster_min_size_and_outlier(spark):
     flagged = [r.application_id for r in out if r.is_cluster_outlier]
     assert flagged == ["b0"]
     assert out[0].cluster_size_category == "OPTIMAL_SIZE" and out[0].cluster_disparity_type == "NO_CLUSTER_DISPARITY"
+
+
+def test_undefined_metrics_are_null_in_the_dashboard(spark, small_pipeline):
+    from lendlens.operators import evaluate, report
+
+    none = small_pipeline.validation.limit(0)
+    metrics = evaluate.performance_metrics(none)
+    rows = report.dashboard(
+        spark, embedded=small_pipeline.embedded, pairs=small_pipeline.pairs, clusters=small_pipeline.clusters,
+        assessment=small_pipeline.assessment, summary=small_pipeline.summary, statistics=small_pipeline.statistics,
+        metrics=metrics, report=small_pipeline.report(nested_samples=False),
+    )
+    values = {r["metric_name"]: r["metric_value"] for r in rows.collect()}
+    assert values["AI-Enhanced F1-Score"] is None and values["AI-Enhanced AUC Score"] is None
+    assert values["AI-Enhanced Model Accuracy"] is None
