@@ -60,34 +60,28 @@ def hash_embedding_sparse(df: DataFrame, id_col: str, text_col: str, dim: int =
     return counts.select(id_col, "slot", (F.col("_count") / norm).alias("value"))
 
 
-def _hash_vectors(texts, dim: int):
-    """numpy helper behind :func:`hash_embedding` (same definition as the sparse form)."""
-    import hashlib
-    import re
-
-    import numpy as np
-
-    split = re.compile(r"[^a-z0-9]+")
-    out = []
-    for text in texts:
-        vec = np.zeros(dim)
-        for tok in split.split(text.lower()):
-            if tok:
-                digest = hashlib.md5(tok.encode("utf-8")).hexdigest()
-                vec[int(digest[:8], 16) % dim] += 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
-        n = float(np.sqrt((vec * vec).sum()))
-        out.append(vec / n if n > 0 else vec)
-    return out
+def hash_embedding(text: Column, dim: int = 64) -> Column:
+    """Dense ``array<double>`` form of the feature-hashing embedding: every slot sums the
+    signs of its tokens, and the vector is scaled to unit length. NULL text gives NULL."""
 
+    def mark(token: Column) -> Column:
+        slot, sign = _token_hash(token, dim)
+        return F.struct(slot.alias("slot"), sign.alias("sign"))
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Dense ``array<double>`` form of the feature-hashing embedding.
+    def counts(marks: Column) -> Column:
+        def of(slot: Column) -> Column:
+            own = F.filter(marks, lambda m: m["slot"] == slot)
+            return F.aggregate(own, dlit(0.0), lambda a, m: a + m["sign"])
 
-    A dense per-row vector needs a loop over tokens; Spark's higher-order
-    functions run it interpreted (tokens x dim steps per row), so this is an
-    Arrow-batched pandas UDF instead. NULL text gives NULL.
-    """
-    return python_embedder(lambda s: _hash_vectors(s, dim))(text)
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), of)
+
+    def unit(vector: Column) -> Column:
+        norm = F.sqrt(F.aggregate(vector, dlit(0.0), lambda a, x: a + x * x))
+        return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(vector))[0]
+
+    # each step is bound as a lambda variable, so it is computed once a row
+    marks = F.array(F.transform(tokens(text), mark))
+    return F.when(text.isNotNull(), F.transform(F.transform(marks, counts), unit)[0])
 
 
 def python_embedder(fn: Callable) -> Callable[[Column], Column]:

@@ -22,6 +22,8 @@ monotone in it, which is what the bounds use.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,14 +113,19 @@ def _cosine_unit(a: Column, b: Column) -> Column:
 
 
 def knn_join(queries: DataFrame, base: DataFrame, *, query_id: str, base_id: str, vector_col: str, k: int = 10,
-             nlist: int = 64, nprobe: int = 4, exact: bool = True, exclude_self: bool = True,
+             nlist: int | None = None, nprobe: int | None = 4, exact: bool = True, exclude_self: bool = True,
              seed: int = 42) -> DataFrame:
     """M5: the ``k`` nearest base rows (cosine) of every query row.
 
     Returns ``(query_id, neighbour_id, cosine_distance, neighbour_rank)``.
     ``exact=True`` guarantees the same result as a brute-force search;
-    ``exact=False`` is the approximate IVF search over ``nprobe`` cells.
+    ``exact=False`` is the approximate IVF search over ``nprobe`` cells (``None``:
+    all of them, which finds the same as brute force). ``nlist=None`` takes the
+    square root of the base rows, so a cell grows no faster than the cell count.
     """
+    if nlist is None:
+        nlist = max(1, math.isqrt(base.count()))
+    nprobe = nlist if nprobe is None else nprobe
     cells, centres, radii = ivf_index(base, base_id, vector_col, nlist, seed)
     dim = len(centres[0]) if centres else 0
     dists = _centre_distances(centres, dim)

@@ -39,6 +39,7 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "scan_clean_applications": ("cleaned",), "feature_bands": ("features",), "amortized_dti": ("features",),
     "profile_text": ("profiles",), "financial_text": ("profiles",), "hash_embedding": ("profiles",),
     "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded",), "similar_pairs": ("pairs",),
+    "text_embedding_assembly": ("profiles",), "text_similar_pairs": ("profiles", "profiles"),
     "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
     "centroid_distance": ("clusters",), "sigma_outliers": ("clusters",), "cluster_disparity": ("clusters",),
     "rule_violations": ("violations",), "lender_stats": ("lender_stats",), "two_proportion_z": ("lender_stats",),
@@ -47,7 +48,7 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "validation": ("validation",), "performance_metrics": ("metrics",),
     "top5_flagged_per_lender": ("assessment", "summary"), "compliance_report": ("report",),
     "dashboard": ("dashboard",), "final_summary": ("run_summary",), "export_nested": ("export",),
-    "knn_exact": (), "knn_ivf": (), "kmeans_assign": ("embedded",),
+    "knn_exact": (), "knn_ivf": (), "knn_ivf_all_cells": (), "kmeans_assign": ("embedded",),
 }
 
 
@@ -177,16 +178,10 @@ def _financial_text(p: AuditPipeline) -> DataFrame:
     return financial_texts(p.profiles)
 
 
-_fin_sql = (
-    "'Financial profile: Income $' || " + O.num0("coalesce(income, CAST(0 AS DOUBLE))") + " || 'K, ' || 'Loan $' || "
-    + O.num0("coalesce(loan_amount, CAST(0 AS DOUBLE))") + " || 'K, ' || 'DTI ' || "
-    + O.num3("coalesce(calculated_dti_ratio, CAST(0 AS DOUBLE))") + " || ', ' || 'Rate spread ' || "
-    + O.numt("coalesce(rate_spread_adj, CAST(0 AS DOUBLE))")
-)
 register(Query(
     "financial_text", _financial_text, ["application_id", "financial_text"],
     "profiles WHERE income IS NOT NULL AND loan_amount IS NOT NULL AND calculated_dti_ratio IS NOT NULL "
-    "AND rate_spread_adj IS NOT NULL", ["profiles"], ["application_id", f"{_fin_sql} AS financial_text"],
+    "AND rate_spread_adj IS NOT NULL", ["profiles"], ["application_id", f"{O.FINANCIAL_TEXT} AS financial_text"],
 ))
 
 
@@ -228,6 +223,28 @@ register(Query("embedding_assembly", _assembly, ASSEMBLY_COLUMNS, "embedded", ["
                + [f"profile_embedding[{i + 1}] AS p{i}" for i in range(3)]
                + [f"financial_embedding[{i + 1}] AS f{i}" for i in range(4)]))
 
+
+
+def _text_embedded(p: AuditPipeline) -> DataFrame:
+    return embed.embed_applications(p.profiles)
+
+
+def _text_assembly(p: AuditPipeline) -> DataFrame:
+    """Both text embeddings, re-assembled per application, as rows of their non-zero numbers."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_embedding").alias("v")) for k in ("profile", "financial")])
+    rows = _text_embedded(p).select("application_id", F.explode(kinds).alias("e"))
+    return rows.select("application_id", "e.kind", F.posexplode("e.v").alias("slot", "value")).where("value <> 0")
+
+
+register(Query("text_embedding_assembly", _text_assembly, ["application_id", "kind", "slot", "value"],
+               "(SELECT application_id, kind, unnest(range(64)) AS slot, unnest(v) AS value FROM "
+               "(SELECT application_id, 'profile' AS kind, profile_embedding AS v FROM text_embedded UNION ALL "
+               "SELECT application_id, 'financial', financial_embedding FROM text_embedded WHERE financial_embedding IS NOT NULL)) "
+               "WHERE value <> 0", ["text_embedded"], ["application_id", "kind", "CAST(slot AS INTEGER) AS slot", "value"]))
+register(Query("text_similar_pairs",
+               lambda p: pairs.similar_pairs(_text_embedded(p), max_distance=O.TEXT_DISTANCE, vector_dim=64),
+               pairs.PAIR_COLUMNS, "text_pairs", ["text_pairs"]))
+
 # --- pairs -------------------------------------------------------------------------
 _COS = ["base_app_id", "similar_app_id", "lei", "state_code", "financial_similarity_distance"]
 register(Query("cosine_distance_pairs",
@@ -355,12 +372,12 @@ def _vectors(p: AuditPipeline) -> DataFrame:
     return table_vectors(p.spark, p.sf_dir)
 
 
-def _knn(exact: bool):
+def _knn(exact: bool, nprobe: int | None = 2):
     def build(p: AuditPipeline) -> DataFrame:
         from ..operators.vector_index import knn_join
         v = _vectors(p)
         return knn_join(v, v, query_id="vec_id", base_id="vec_id", vector_col="vector", k=KNN_K,
-                        nlist=16, nprobe=2, exact=exact)
+                        nprobe=nprobe, exact=exact)
     return build
 
 
@@ -372,9 +389,10 @@ _KNN_FROM = f"""(
   JOIN (SELECT vec_id, {_UNIT} AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) y) b
     ON a.vec_id <> b.vec_id
 ) d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY cosine_distance, neighbour_id) <= {KNN_K}"""
-register(Query("knn_exact", _knn(True), _KNN_COLS, _KNN_FROM, [],
-               ["vec_id", "neighbour_id", "cosine_distance",
-                "CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine_distance, neighbour_id) AS INTEGER) AS neighbour_rank"]))
+_KNN_ITEMS = ["vec_id", "neighbour_id", "cosine_distance",
+              "CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine_distance, neighbour_id) AS INTEGER) AS neighbour_rank"]
+register(Query("knn_exact", _knn(True), _KNN_COLS, _KNN_FROM, [], _KNN_ITEMS))
+register(Query("knn_ivf_all_cells", _knn(False, None), _KNN_COLS, _KNN_FROM, [], _KNN_ITEMS))
 register(Query("knn_ivf", _knn(False), _KNN_COLS))
 
 
