@@ -45,7 +45,9 @@ NAMES = set(
     "recommended share sharing social widget widgets login search pagination pager skip teaser outbrain taboola".split()
 )
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-GOOD = set("article body content entry hentry main page post story text blog prose".split())
+GOOD = set("article body content entry hentry main post story text blog prose".split())
+#: Parts of layout names ("with-sidebar", "content-sidebar-wrap") that tell of what is around.
+AROUND = set("has with without no is wrap wrapper container layout grid".split())
 #: A start tag of the set ends an open element of the name.
 CLOSED_BY = {
     "p": BLOCKS - {"body", "html"},
@@ -71,12 +73,19 @@ _WANTED = {"class", "id", "role", "hidden", "style", "aria-hidden", "itemprop"}
 
 
 class Node:
-    __slots__ = ("name", "names", "attributes", "parent", "children")
+    __slots__ = ("name", "names", "junk", "holds", "attributes", "parent", "children")
 
     def __init__(self, name: str, attributes: dict[str, str], parent: Node | None):
         self.name, self.attributes, self.parent = name, attributes, parent
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        self.names = {x.lower() for x in _NAME_PARTS.findall(named)} if named != " " else set()
+        tokens = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
+        self.names: set[str] = set()
+        self.junk: set[str] = set()  # name parts that tell of no article
+        self.holds = False  # an article or main element lies inside
+        for token in tokens:
+            parts = {x.lower() for x in _NAME_PARTS.findall(token)}
+            self.names |= parts
+            if not parts & AROUND:
+                self.junk |= parts & NAMES
         self.children: list[Node | str] = []
 
 
@@ -137,6 +146,10 @@ def parse(source: str) -> Node:
             to = to.parent
         node = Node(name, _attributes(m[3]) if m[3] else {}, here)
         here.children.append(node)
+        if name in ("article", "main") and not node.junk & _NO_ARTICLE:
+            above = here
+            while above is not None and not above.holds:
+                above.holds, above = True, above.parent
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
             at = size if end is None else (source.find(">", end.end()) + 1 or size)
@@ -159,17 +172,19 @@ def _dropped(node: Node, in_article: bool) -> bool:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
         return True
-    if node.name in ("article", "main") and not node.names & {"comment", "comments", "reply", "ad", "ads", "advert", "teaser", "related"}:
-        return False
-    found = node.names & NAMES
-    if node.name in _TEXTUAL:
-        found -= {"header", "text", "body"}  # as in class="article-header" on a heading
-    return bool(found) and not (node.names & GOOD and found <= _LAYOUT)
+    if node.holds or node.name in ("article", "main"):
+        return bool(node.junk & _NO_ARTICLE) and not node.holds
+    found = set(node.junk)
+    if node.name in _TEXTUAL or node.names & _HEADED:
+        found -= {"header", "text", "body"}  # as in class="article-header"
+    return bool(found)
 
 
-#: Elements that hold text themselves, and names that may tell of the layout around the main part.
+#: Elements that hold text themselves, names whose header belongs to the article, and names
+#: of article elements that are none.
 _TEXTUAL = {"h1", "h2", "h3", "h4", "h5", "h6", "b", "i", "em", "strong", "span", "code", "p"}
-_LAYOUT = {"header", "share", "foot", "related"}
+_HEADED = {"article", "post", "entry", "story"}
+_NO_ARTICLE = set("comment comments reply replies ad ads advert advertisement sponsored promo teaser related".split())
 
 
 class Page:

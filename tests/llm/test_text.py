@@ -91,6 +91,13 @@ PAGES = [
     ('<div class="cookie-notice">We use cookies, ok?</div><main><section><p>A, b.</p></section><section><p>C</p></section><div class="ad">buy</div></main>', "A, b.\nC"),
     ('<script>var t="</p><p>no</p>";</script><p>yes</p><!-- <p>no</p> -->', "yes"),
     ("<table><tr><td>x<td>y</table>", "x\ny"),
+    (
+        '<div id="page" class="with-sidebar modal"><div class="page-header"><p>Site, name</p></div><main class="content"><div class="entry-header">'
+        '<h1>T</h1></div><p>Body, text.</p><div class="related-post"><p>More, to, read</p></div><article class="comment"><p>Nice, one</p></article>'
+        '</main><section id="comments"><article class="comment"><p>a, b, c, d, e</p></article></section></div>',
+        "T\nBody, text.",
+    ),
+    ('<div class="content-sidebar-wrap"><div class="content"><p>Kept, here.</p><p>And this</p></div><div class="sidebar"><p>gone</p></div></div>', "Kept, here.\nAnd this"),
     ('<div><p>Long enough, with commas, to be the text of the page.</p></div><div><a href="a">l1</a> <a href="b">l2, l3, l4, l5</a></div>', "Long enough, with commas, to be the text of the page."),
 ]
 
