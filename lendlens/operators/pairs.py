@@ -114,6 +114,7 @@ def pair_candidates(
     vector_dim: int | None = None,
     cell_factor: float = 4.0,
     heavy_cell: int = HEAVY_CELL,
+    both_directions: bool = False,
 ) -> DataFrame:
     """All (base, similar) pairs of a block whose three coordinates are within
     the given half-widths (log scale for income and loan), as an equi-join.
@@ -138,7 +139,9 @@ def pair_candidates(
         similar_src = similar_src.withColumn(name, F.explode(reach[name]))
     similar = _side(similar_src, "similar", block, vector_col, vector_dim)
     base, similar = _salted(base, similar, keys, heavy_cell)
-    return base.join(similar, [*keys, "_salt"]).where(F.col("base_app_id") < F.col("similar_app_id"))
+    apart = F.col("base_app_id") != F.col("similar_app_id")
+    order = apart if both_directions else F.col("base_app_id") < F.col("similar_app_id")
+    return base.join(similar, [*keys, "_salt"]).where(order)
 
 
 def _salted(base: DataFrame, similar: DataFrame, keys: list[str], heavy_cell: int) -> tuple[DataFrame, DataFrame]:
@@ -181,6 +184,7 @@ def similar_pairs(
     vector_dim: int | None = None,
     cell_factor: float = 4.0,
     heavy_cell: int = HEAVY_CELL,
+    both_directions: bool = False,
 ) -> DataFrame:
     """M4: financially similar pairs per block.
 
@@ -188,6 +192,9 @@ def similar_pairs(
     adapter's financial vector has 4 numbers); such vectors are compared with
     unrolled arithmetic instead of interpreted higher-order functions.
 
+    ``both_directions``: every application looks for partners among all others
+    of its block, not only among those with a larger id.
+
     All scalar predicates run before any vector arithmetic; they and the
     distance threshold are conjunctive filters ahead of the ranking, so the
     order does not change the result.
@@ -208,7 +215,8 @@ def similar_pairs(
     tight = (log_width(income_tol), log_width(loan_tol), dti_tol)
     cells = tuple(min(a, b) for a, b in zip(wide, tight))
     cand = pair_candidates(
-        apps, block, *cells, vector_col=None, cell_factor=cell_factor, heavy_cell=heavy_cell
+        apps, block, *cells, vector_col=None, cell_factor=cell_factor, heavy_cell=heavy_cell,
+        both_directions=both_directions,
     ).where(_band(band_low, band_high, band_dti))
 
     scored = cand.withColumns(

@@ -156,6 +156,19 @@ def rules_table(spark, rules: Sequence[RuleSpec] | None = None) -> DataFrame:
     return spark.createDataFrame(rows, RULES_SCHEMA)
 
 
+def rule_hits(violations: DataFrame, rules: Sequence[RuleSpec] | None = None) -> DataFrame:
+    """The rule catalogue with the number of applications that each rule hits."""
+    rules = rules or default_rules()
+    hits = F.filter(
+        F.array(*[F.when(F.col(r.column) > 0, F.lit(r.rule_id)) for r in rules if r.evaluated]), lambda x: x.isNotNull()
+    )
+    counts = violations.select(F.explode(hits).alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+    table = rules_table(violations.sparkSession, rules)
+    return table.join(counts, "rule_id", "left").select(
+        "rule_id", "rule_category", "weight", "description", F.coalesce("n", F.lit(0)).alias("n_applications")
+    )
+
+
 def pair_evidence(pairs: DataFrame, rules: Sequence[RuleSpec] | None = None) -> DataFrame:
     """One aggregate per base application with every pair-scoped fact.
 

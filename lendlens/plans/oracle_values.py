@@ -31,6 +31,24 @@ EXPLANATIONS = [('R001_ai_violation', 'AI-verified: Qualified applicant with sim
  ('R008_ai_violation', 'AI multi-dimensional analysis: Intersectional discrimination detected')]
 OUTLIER_EXPLANATION = 'AI clustering: Application is statistical outlier in embedding space'
 DISPARITY_EXPLANATION = ('AI cluster disparity: ', ' detected')
+RULES = [('R001', 'Core_Business', 8.0, 'High income applicants with similar approved profiles should be approved'),
+ ('R002', 'Core_Business', 7.5, 'High risk applicants with similar denied profiles should face scrutiny'),
+ ('R003',
+  'Fair_Lending_AI',
+  9.0,
+  'Financially similar applicants should have similar outcomes regardless of race - AI verified'),
+ ('R004',
+  'Fair_Lending_AI',
+  8.5,
+  'Financially similar applicants should have similar outcomes regardless of gender - AI verified'),
+ ('R005',
+  'Fair_Lending_AI',
+  8.0,
+  'Financially similar applicants should have similar outcomes regardless of ethnicity - AI verified'),
+ ('R006', 'AI_Pattern_Detection', 7.0, 'AI detected anomalous denials in minority areas'),
+ ('R007', 'AI_Pattern_Detection', 6.5, 'AI identified outliers in minority lending patterns'),
+ ('R008', 'AI_Intersectional', 6.0, 'AI detected intersectional discrimination patterns'),
+ ('R009', 'AI_Validation', 5.0, 'High confidence AI discrimination detection with statistical support')]
 
 # Report, dashboard and summary texts.
 VERIFIED_TYPES = [('ai_black_disparity_flag', 'AI-Verified Racial Discrimination (Black)'),

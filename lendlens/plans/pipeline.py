@@ -108,17 +108,26 @@ class AuditPipeline:
                stage: str | None = None) -> DataFrame:
         if not self.materialize or (self.store is not None and stage not in self.store):
             return df
-        if self.stage_root is None:
-            # one folder per pipeline run under the shared checkpoint folder
-            self.stage_root = os.path.join(ensure_checkpoint_dir(self.spark), "lendlens-stages", self._run_id)
-            self._own_root = True
-            atexit.register(self.close)
         return sinks.stage_table(
-            self.spark, df, name, self.stage_root, partition_by,
+            self.spark, df, name, self._root(), partition_by,
             bucket_by=bucket_by if self.bucket_stages else None,
             buckets=self.buckets if (bucket_by and self.bucket_stages) else 0, table_prefix=f"lendlens_{self._run_id}",
         )
 
+    def store_csv(self, df: DataFrame) -> str:
+        """Write header-led CSV files into this run's stage folder; returns their folder."""
+        path = os.path.join(self._root(), "csv")
+        df.write.mode("overwrite").option("header", True).csv(path)
+        return path
+
+    def _root(self) -> str:
+        """This run's folder under the shared checkpoint folder."""
+        if self.stage_root is None:
+            self.stage_root = os.path.join(ensure_checkpoint_dir(self.spark), "lendlens-stages", self._run_id)
+            self._own_root = True
+            atexit.register(self.close)
+        return self.stage_root
+
     def close(self) -> None:
         """Remove the stage tables of this run (also done when the program ends)."""
         if self._own_root:

@@ -40,7 +40,8 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "profile_text": ("profiles",), "financial_text": ("profiles",), "hash_embedding": ("profiles",),
     "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded",), "similar_pairs": ("pairs",),
     "text_embedding_assembly": ("profiles",), "text_similar_pairs": ("profiles", "profiles"),
-    "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
+    "similar_pairs_both_directions": ("embedded", "embedded"), "rule_catalogue": ("violations",),
+    "csv_applications": (), "report_nested_samples": ("report",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
     "centroid_distance": ("clusters",), "sigma_outliers": ("clusters",), "cluster_disparity": ("clusters",),
     "rule_violations": ("violations",), "lender_stats": ("lender_stats",), "two_proportion_z": ("lender_stats",),
     "disparate_impact": ("statistics",), "evidence_score": ("statistics",), "statistical_analysis": ("statistics",),
@@ -167,6 +168,18 @@ def _sel(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # --- ingest ----------------------------------------------------------------------
 register(Query("scan_clean_applications", lambda p: _sel(p.cleaned, CLEAN_COLUMNS), CLEAN_COLUMNS, "cleaned", ["cleaned"]))
+
+
+def _csv(p: AuditPipeline) -> DataFrame:
+    """The raw applications written as CSV files, scanned again and cleaned: the CSV input path."""
+    from ..operators.features import clean_applications
+    from ..sources.raw import RAW_COLUMNS, read_raw_csv
+
+    return clean_applications(read_raw_csv(p.spark, p.store_csv(p.raw.select(*RAW_COLUMNS))), hashed_key=True)
+
+
+_CSV_COLUMNS = [c for c in CLEAN_COLUMNS if c != "application_id"]
+register(Query("csv_applications", _csv, _CSV_COLUMNS, "cleaned", ["cleaned"]))
 register(Query("feature_bands", lambda p: _sel(p.features, BAND_COLUMNS), BAND_COLUMNS, "features", ["features"]))
 register(Query("amortized_dti", lambda p: _sel(p.features, DTI_COLUMNS), DTI_COLUMNS, "features", ["features"]))
 register(Query("profile_text", lambda p: _sel(p.profiles, ["application_id", "profile_text"]),
@@ -269,6 +282,10 @@ register(Query("pair_evidence", _evidence, EVIDENCE_COLUMNS, "evidence", ["evide
                 "_pair_R004 AS r004_pairs", "_pair_R005 AS r005_pairs", "min_distance", "has_race_pair",
                 "has_gender_pair"]))
 
+register(Query("similar_pairs_both_directions",
+               lambda p: pairs.similar_pairs(p.embedded, vector_dim=p.financial_dim, both_directions=True),
+               pairs.PAIR_COLUMNS, "both_pairs", ["both_pairs"]))
+
 # --- clusters ----------------------------------------------------------------------
 register(Query("grid_clusters", lambda p: p.clusters, clusters.CLUSTER_COLUMNS, "clusters", ["clusters"]))
 register(Query("centroid_distance", lambda p: _sel(p.clusters, ["application_id", "cluster_id", "distance_to_centroid"]),
@@ -280,6 +297,8 @@ register(Query("cluster_disparity", lambda p: _sel(p.clusters, DISPARITY_COLUMNS
 
 # --- rules, statistics ---------------------------------------------------------------
 register(Query("rule_violations", lambda p: p.violations, VIOLATION_COLUMNS, "violations", ["violations"]))
+register(Query("rule_catalogue", lambda p: rules.rule_hits(p.violations, p.rule_specs),
+               ["rule_id", "rule_category", "weight", "description", "n_applications"], "rule_hits", ["rule_hits"]))
 register(Query("lender_stats", lambda p: _sel(p.lender_stats, LENDER_STAT_COLUMNS), LENDER_STAT_COLUMNS,
                "lender_stats", ["lender_stats"]))
 
@@ -327,6 +346,16 @@ register(Query("performance_metrics", lambda p: p.metrics, METRIC_COLUMNS, "metr
 register(Query("top5_flagged_per_lender", lambda p: report.flagged_samples(p.assessment, p.summary), SAMPLE_COLUMNS,
                "samples", ["samples"], ["lei", "state_code", "CAST(sample_rank AS INTEGER) AS sample_rank"] + report.SAMPLE_FIELDS))
 register(Query("compliance_report", lambda p: p.report(nested_samples=False), REPORT_COLUMNS, "report", ["report"]))
+
+
+def _nested_samples(p: AuditPipeline) -> DataFrame:
+    nested = p.report(nested_samples=True)
+    rows = nested.select("lender_id", "state_code", F.explode("sample_ai_flagged_applications").alias("s"))
+    return rows.select("lender_id", "state_code", "s.*")
+
+
+register(Query("report_nested_samples", _nested_samples, ["lender_id", "state_code", *report.SAMPLE_FIELDS], "samples",
+               ["samples"], ["lei AS lender_id", "state_code", *report.SAMPLE_FIELDS]))
 register(Query("dashboard", lambda p: p.dashboard(), DASHBOARD_COLUMNS, "dashboard", ["dashboard"]))
 _SUM_COLS = ["status", "confirmation", "ai_summary"]
 register(Query(
