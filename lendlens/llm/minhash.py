@@ -33,7 +33,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: probability (1 - 0.8^4)^32 < 1e-7.
 REGISTERS, ROWS = 128, 4
 #: Words of the documents that one task verifies together.
-GROUP_WORDS = 2_000_000
+GROUP_WORDS = 400_000
+#: Documents whose arrivals are held at once: some thousand for each register filled.
+SLICE = 200
 _U = arrays.U64
 
 
@@ -111,10 +113,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_words", "a", "b", "bands"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        slices = (batch.slice(k, SLICE) for batch in batches for k in range(0, batch.num_rows, SLICE))
+        for batch in slices:
             n = batch.num_rows
-            if not n:
-                continue
             hashes, offsets = arrays.words(batch.column("text"))
             doc, value, weight = shingles(hashes, offsets)
             registers = prob_minhash(doc, value, weight, n)
@@ -189,7 +190,11 @@ def verified_links(nodes: DataFrame, texts: DataFrame, groups: DataFrame, simila
     candidate group. ``nodes``: node, n_words; ``texts``: node, text; ``groups``: id, root."""
     member = groups.join(nodes, F.col("id") == F.col("node")).select("node", "root", "n_words")
     blocks = member.groupBy("root").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum("n_words") / GROUP_WORDS)).cast("int").alias("blocks")
+        # two blocks meet in a task, so a block has half of its words
+        F.when(F.sum("n_words") <= GROUP_WORDS, 1)
+        .otherwise(F.ceil(2 * F.sum("n_words") / GROUP_WORDS))
+        .cast("int")
+        .alias("blocks")
     )
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
