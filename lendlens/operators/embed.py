@@ -60,28 +60,38 @@ def hash_embedding_sparse(df: DataFrame, id_col: str, text_col: str, dim: int =
     return counts.select(id_col, "slot", (F.col("_count") / norm).alias("value"))
 
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Dense ``array<double>`` form of the feature-hashing embedding: every slot sums the
-    signs of its tokens, and the vector is scaled to unit length. NULL text gives NULL."""
-
-    def mark(token: Column) -> Column:
-        slot, sign = _token_hash(token, dim)
-        return F.struct(slot.alias("slot"), sign.alias("sign"))
-
-    def counts(marks: Column) -> Column:
-        def of(slot: Column) -> Column:
-            own = F.filter(marks, lambda m: m["slot"] == slot)
-            return F.aggregate(own, dlit(0.0), lambda a, m: a + m["sign"])
+def _hash_vectors(texts, dim: int):
+    """The vectors of one Arrow batch: every distinct token is hashed once, and the signs
+    are summed by array operations (same definition as the sparse form)."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    split = re.compile(r"[^a-z0-9]+")
+    vocabulary: dict[str, int] = {}
+    ids, sizes = [], []
+    for text in texts:
+        found = [vocabulary.setdefault(t, len(vocabulary)) for t in split.split(text.lower()) if t]
+        ids.extend(found)
+        sizes.append(len(found))
+    digests = [hashlib.md5(t.encode("utf-8")).hexdigest() for t in vocabulary]
+    slot = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
+    sign = np.array([1.0 - 2.0 * (int(d[8], 16) % 2) for d in digests])
+    vectors = np.zeros((len(sizes), dim))
+    if ids:
+        at = np.array(ids)
+        np.add.at(vectors, (np.repeat(np.arange(len(sizes)), sizes), slot[at]), sign[at])
+    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return list(vectors / np.where(norms > 0, norms, 1.0))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), of)
 
-    def unit(vector: Column) -> Column:
-        norm = F.sqrt(F.aggregate(vector, dlit(0.0), lambda a, x: a + x * x))
-        return F.transform(F.array(norm), lambda n: F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(vector))[0]
-
-    # each step is bound as a lambda variable, so it is computed once a row
-    marks = F.array(F.transform(tokens(text), mark))
-    return F.when(text.isNotNull(), F.transform(F.transform(marks, counts), unit)[0])
+def hash_embedding(text: Column, dim: int = 64) -> Column:
+    """Dense ``array<double>`` form of the feature-hashing embedding. Summing by slot
+    within a row would cost tokens x dim interpreted steps in the JVM, so this is an
+    Arrow-batched UDF that hashes each distinct token of a batch once. NULL text
+    gives NULL."""
+    return python_embedder(lambda s: _hash_vectors(s, dim))(text)
 
 
 def python_embedder(fn: Callable) -> Callable[[Column], Column]:

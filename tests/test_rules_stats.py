@@ -214,12 +214,14 @@ def test_cluster_min_size_and_outlier(spark):
 def test_undefined_metrics_are_null_in_the_dashboard(spark, small_pipeline):
     from lendlens.operators import evaluate, report
 
-    none = small_pipeline.validation.limit(0)
-    metrics = evaluate.performance_metrics(none)
+    def empty(df):
+        return spark.createDataFrame([], df.schema)
+
+    names = ("embedded", "pairs", "clusters", "assessment", "summary", "statistics")
     rows = report.dashboard(
-        spark, embedded=small_pipeline.embedded, pairs=small_pipeline.pairs, clusters=small_pipeline.clusters,
-        assessment=small_pipeline.assessment, summary=small_pipeline.summary, statistics=small_pipeline.statistics,
-        metrics=metrics, report=small_pipeline.report(nested_samples=False),
+        spark, **{k: empty(getattr(small_pipeline, k)) for k in names},
+        metrics=evaluate.performance_metrics(empty(small_pipeline.validation)),
+        report=empty(small_pipeline.report(nested_samples=False)),
     )
     values = {r["metric_name"]: r["metric_value"] for r in rows.collect()}
     assert values["AI-Enhanced F1-Score"] is None and values["AI-Enhanced AUC Score"] is None
