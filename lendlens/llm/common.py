@@ -57,10 +57,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_stage(df_or_path: str, spark: SparkSession) -> None:
-    remove(spark, df_or_path)
-
-
 @atexit.register
 def _remove_folders() -> None:
     for spark, path in _folders:

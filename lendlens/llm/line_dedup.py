@@ -36,7 +36,8 @@ def _sequence() -> Column:
 
 def line_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """A row for each window of ``run`` lines: doc_id and text hash, the line
-    numbers, the window's fingerprint and its 128-bit hash."""
+    numbers, the window's fingerprint with the line it begins in, and the window's
+    128-bit hash."""
     lines = _sequence()
     grams = run - gram + 1
 
@@ -45,10 +46,13 @@ def line_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame
 
         def window(i: Column) -> Column:
             hashes = [F.get(s, i + k)["h"] for k in range(run)]
-            marks = [F.xxhash64(*hashes[k : k + gram]) for k in range(grams)]
+            # the smallest gram, leftmost among equals, and the line that it begins in
+            marks = [
+                F.struct(F.xxhash64(*hashes[k : k + gram]).alias("mark"), F.get(s, i + k)["i"].alias("line")) for k in range(grams)
+            ]
             return F.struct(
                 F.array(*[F.get(s, i + k)["i"] for k in range(run)]).alias("lines"),
-                (F.least(*marks) if grams > 1 else marks[0]).alias("mark"),
+                (F.least(*marks) if grams > 1 else marks[0]).alias("least"),
                 F.xxhash64(*hashes).alias("a"),
                 F.xxhash64(F.lit(run), *hashes[::-1]).alias("b"),
             )
@@ -63,7 +67,7 @@ def line_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame
             F.transform(F.array(lines), windows)[0].alias("w"),
         )
         .select("doc_id", "text_hash", F.explode("w").alias("w"))
-        .select("doc_id", "text_hash", "w.*")
+        .select("doc_id", "text_hash", "w.lines", F.col("w.least.mark").alias("mark"), F.col("w.least.line").alias("mark_line"), "w.a", "w.b")
     )
 
 
@@ -71,9 +75,10 @@ def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     """doc_id, text_hash and ``lines``, the numbers of the lines to delete. Rows of
     equal doc_id and text are one document."""
     windows = common.stage(line_windows(docs, run, gram).distinct(), "windows")
-    # positions of a document in which consecutive windows choose the same fingerprint count once each:
-    # a fingerprint is shared if two different windows or places have it
-    shared = windows.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("mark").alias("m"))
+    # neighbouring windows choose the same gram: a fingerprint is shared if it begins in two places
+    begins = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("mark_line"))
+    shared = windows.groupBy("mark").agg(F.min(begins).alias("first"), F.max(begins).alias("last"))
+    shared = shared.filter("first <> last").select(F.col("mark").alias("m"))
     near = windows.join(shared, F.col("mark") == F.col("m"), "left_semi")
     place = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("lines")[0].alias("line"))
     first = (

@@ -64,7 +64,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         return _anchors_long(data, offsets, gram, long, width)
     packed = ((gram >> _U(_PLACE_BITS)) << _U(_PLACE_BITS)) | np.arange(len(gram), dtype=_U)
     least = _sliding_least(packed, width)
-    return _runs(least, (least & _U((1 << _PLACE_BITS) - 1)).astype(np.int64), offsets, gram, long)
+    return _runs((least & _U((1 << _PLACE_BITS) - 1)).astype(np.int64), offsets, gram, long)
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,19 +78,15 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 def _anchors_long(data, offsets, gram, long, width) -> dict[str, np.ndarray]:
     """As :func:`anchors`, in parts that overlap by a window, for very long batches."""
-    step = (1 << _PLACE_BITS) - 4 * MATCH
-    least, place = [], []
+    step, places = (1 << _PLACE_BITS) - 4 * MATCH, []
     for begin in range(0, len(gram) - width + 1, step):
         part = gram[begin : begin + step + width - 1]
         packed = ((part >> _U(_PLACE_BITS)) << _U(_PLACE_BITS)) | np.arange(len(part), dtype=_U)
-        low = _sliding_least(packed, width)
-        at = (low & _U((1 << _PLACE_BITS) - 1)).astype(np.int64) + begin
-        least.append(at)
-        place.append(at)
-    return _runs(np.concatenate(least), np.concatenate(place), offsets, gram, long)
+        places.append((_sliding_least(packed, width) & _U((1 << _PLACE_BITS) - 1)).astype(np.int64) + begin)
+    return _runs(np.concatenate(places), offsets, gram, long)
 
 
-def _runs(least, place, offsets, gram, long) -> dict[str, np.ndarray]:
+def _runs(place, offsets, gram, long) -> dict[str, np.ndarray]:
     """Neighbouring windows with one anchor, within each text."""
     first, stop = offsets[:-1], np.maximum(offsets[1:] - MATCH + 1, offsets[:-1])
     starts = arrays.ranges(first, stop - first)
