@@ -8,6 +8,10 @@ fingerprints found twice or more select the positions to join; each is extended
 both ways to the windows it stands for, and every line of a window that also
 occurred earlier (by doc_id, then line) is deleted.
 
+With ``long_words`` the runs of fewer than RUN lines that hold more words than that
+are windows, too, each its own fingerprint: a passage that repeats as one to three
+long lines, or a document of so few lines, is found then.
+
 Shuffled are fingerprints and, for shared ones only, window hashes: fixed-size
 rows, combined map-side before they move, so a passage in a third of all
 documents is one small row a task. Both joins have one row a key on one side, so
@@ -23,22 +27,26 @@ from . import common
 
 #: Lines of the shortest run that is found, and lines of a fingerprint.
 RUN, GRAM = 4, 2
+#: A run of fewer lines counts if it has more words than this (``op7_long_line_dedup``).
+LONG_WORDS = 50
 
 
-def _sequence() -> Column:
-    """Line numbers and hashes of the lines with a word."""
-    lines = F.transform(
-        F.split(F.col("_text"), "\n"),
-        lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), (F.trim(F.translate(x, "\t\x0b\x0c\r", " ")) != "").alias("w")),
-    )
+def _sequence(count_words: bool = False) -> Column:
+    """Line numbers and hashes of the lines with a word; their words as ``n`` if asked for."""
+
+    def line(x: Column, i: Column) -> Column:
+        n = [F.regexp_count(x, F.lit(common.WORD_PATTERN)).alias("n")] if count_words else []
+        return F.struct(i.alias("i"), F.xxhash64(x).alias("h"), (F.trim(F.translate(x, "\t\x0b\x0c\r", " ")) != "").alias("w"), *n)
+
+    lines = F.transform(F.split(F.col("_text"), "\n"), line)
     return F.filter(lines, lambda x: x["w"])
 
 
-def line_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """A row for each window of ``run`` lines: doc_id and text hash, the line
-    numbers, the window's fingerprint with the line it begins in, and the window's
-    128-bit hash."""
-    lines = _sequence()
+def line_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM, long_words: int | None = None) -> DataFrame:
+    """A row for each window of ``run`` lines, and of fewer lines with more than
+    ``long_words`` words: doc_id and text hash, the line numbers, the window's
+    fingerprint with the line it begins in, and the window's 128-bit hash."""
+    lines = _sequence(long_words is not None)
     grams = run - gram + 1
 
     def windows(s: Column) -> Column:
@@ -57,7 +65,25 @@ def line_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame
                 F.xxhash64(F.lit(run), *hashes[::-1]).alias("b"),
             )
 
-        return F.coalesce(F.transform(at, window), F.array())
+        def long(size: int) -> Column:
+            """The windows of ``size`` lines with enough words; such a window is its own fingerprint."""
+            at = F.when(F.size(s) >= size, F.sequence(F.lit(0), F.size(s) - size))
+            enough = F.filter(at, lambda i: sum((F.get(s, i + k)["n"] for k in range(size)), F.lit(0)) > long_words)
+
+            def window(i: Column) -> Column:
+                hashes = [F.get(s, i + k)["h"] for k in range(size)]
+                b = F.xxhash64(F.lit(size), *hashes[::-1])
+                return F.struct(
+                    F.array(*[F.get(s, i + k)["i"] for k in range(size)]).alias("lines"),
+                    F.struct(b.alias("mark"), F.get(s, i)["i"].alias("line")).alias("least"),
+                    F.xxhash64(*hashes).alias("a"),
+                    b.alias("b"),
+                )
+
+            return F.coalesce(F.transform(enough, window), F.array())
+
+        found = F.coalesce(F.transform(at, window), F.array())
+        return found if long_words is None else F.concat(found, *[long(size) for size in range(1, run)])
 
     return (
         docs.select("doc_id", common.text_or_empty("text").alias("_text"))
@@ -71,10 +97,12 @@ def line_windows(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame
     )
 
 
-def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, long_words: int | None = None) -> DataFrame:
     """doc_id, text_hash and ``lines``, the numbers of the lines to delete. Rows of
     equal doc_id and text are one document."""
-    windows = common.stage(line_windows(docs, run, gram).distinct(), "windows")
+    windows = line_windows(docs, run, gram, long_words)
+    # repeated rows change nothing below, but cost room: with the long windows their shuffle costs more
+    windows = common.stage(windows.distinct() if long_words is None else windows, "windows")
     # neighbouring windows choose the same gram: a fingerprint is shared if it begins in two places
     begins = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("mark_line"))
     shared = windows.groupBy("mark").agg(F.min(begins).alias("first"), F.max(begins).alias("last"))
@@ -89,13 +117,13 @@ def repeated_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     )
     later = near.join(first, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).filter(place != F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines")
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines")
     )
 
 
-def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the lines of later repeated runs deleted from ``text``, and the
-    counts ``n_lines``, ``n_removed`` (lines) and ``n_runs`` (deleted runs of
+def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM, long_words: int | None = None) -> DataFrame:
+    """``docs`` with the lines of later repeated runs (of ``run`` lines, or of fewer
+    with more than ``long_words`` words) deleted from ``text``, and the counts ``n_lines``, ``n_removed`` (lines) and ``n_runs`` (deleted runs of
     neighbouring line numbers).
 
     Input: columns doc_id and text; others are kept, but for those named like a
@@ -103,7 +131,7 @@ def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     has no line with a word; lines without a word are never deleted; a null
     doc_id comes before all others; a document may lose all its lines.
     """
-    drop = repeated_lines(docs, run, gram).select(
+    drop = repeated_lines(docs, run, gram, long_words).select(
         F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lines").alias("_drop")
     )
     text = common.text_or_empty("text")
@@ -128,13 +156,22 @@ def delete_repeats(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFra
     )
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = delete_repeats(common.read(spark, sf_dir, "documents", ["doc_id", "text"]))
+def _counts(cut: DataFrame) -> DataFrame:
     return cut.select(
         "doc_id", "n_lines", "n_removed", "n_runs", F.sha2(common.text_or_empty("text"), 256).alias("kept_sha256")
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(delete_repeats(common.read(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def op7_long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op7_line_dedup``, and runs of one to three lines of more than LONG_WORDS words."""
+    docs = common.read(spark, sf_dir, "documents", ["doc_id", "text"])
+    return _counts(delete_repeats(docs, long_words=LONG_WORDS))
+
+
 OP7_SQL = f"""
 WITH lines AS (
   SELECT doc_id, i - 1 AS line, string_split(coalesce(text, ''), chr(10))[i] AS t
@@ -163,6 +200,40 @@ FROM edges GROUP BY doc_id
 """
 
 
+# the windows of one to RUN - 1 lines are those with more than LONG_WORDS words
+_SIZED = "\n  UNION ALL BY NAME ".join(
+    f"""SELECT doc_id, line, p, {m} AS size, list(t) OVER x AS w, sum(n) OVER x AS n FROM worded
+    WINDOW x AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)"""
+    for m in range(1, RUN + 1)
+)
+OP7_LONG_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, i - 1 AS line, string_split(coalesce(text, ''), chr(10))[i] AS t
+  FROM documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS u(i)
+), worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS p, len(regexp_extract_all(t, '{common.WORD_PATTERN}')) AS n
+  FROM lines WHERE regexp_matches(t, '[^\x20\x09-\x0D]')
+), windows AS (
+  {_SIZED}
+), later AS (
+  SELECT doc_id, p, size FROM (
+    SELECT doc_id, p, size, row_number() OVER (PARTITION BY w ORDER BY doc_id, line) AS k
+    FROM windows WHERE len(w) = size AND (size = {RUN} OR n > {LONG_WORDS})
+  ) WHERE k > 1
+), dropped AS (
+  SELECT DISTINCT x.doc_id, x.line FROM worded x JOIN later y
+  ON x.doc_id = y.doc_id AND x.p BETWEEN y.p AND y.p + y.size - 1
+), marked AS (
+  SELECT l.*, d.line IS NOT NULL AS gone FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.line = d.line
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line), false) AS starts FROM marked
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
+  sha256(coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (NOT gone), '')) AS kept_sha256
+FROM edges GROUP BY doc_id
+"""
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document, without the lines of later repeated runs;
     n_chars tells the new length."""
