@@ -112,9 +112,59 @@ def _cosine_unit(a: Column, b: Column) -> Column:
     return dlit(1.0) - dot(a, b)
 
 
+#: Queries on which the probes of a recall goal are measured: bounds the driver and the brute-force work.
+RECALL_SAMPLE = 400
+
+
+def probes_for_recall(queries: DataFrame, cells: DataFrame, centres: list[list[float]], recall: float, k: int,
+                      exclude_self: bool) -> int:
+    """The fewest cells to probe so that the mean share of true neighbours found, less two
+    standard errors, reaches ``recall`` on the sample: the RECALL_SAMPLE query rows
+    ``(_qid, _qunit)`` of smallest id hash, searched by brute force (linear in the base;
+    a partition hands on k rows a sampled query). Without true neighbours: one."""
+    import numpy as np
+
+    sample = queries.where(F.col("_qid").isNotNull()).orderBy(F.xxhash64("_qid"), "_qid").limit(RECALL_SAMPLE).collect()
+    if not sample or not centres:
+        return 1
+    ids, q = [r["_qid"] for r in sample], np.array([r["_qunit"] for r in sample], dtype=float)
+
+    def nearest(batches):
+        n = len(ids)
+        dist, cell = np.full((n, k), np.inf), np.full((n, k), -1)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d = 1.0 - q @ np.vstack(pdf["_unit"].to_numpy()).T
+            if exclude_self:
+                d[np.array(ids, dtype=object)[:, None] == pdf["_bid"].to_numpy(dtype=object)[None, :]] = np.inf
+            every = np.hstack([dist, d])
+            at = np.argsort(every, axis=1, kind="stable")[:, :k]
+            dist = np.take_along_axis(every, at, axis=1)
+            cell = np.take_along_axis(np.hstack([cell, np.tile(pdf["_cell"].to_numpy(), (n, 1))]), at, axis=1)
+        held = np.isfinite(dist)
+        yield pd.DataFrame({"q": np.nonzero(held)[0], "d": dist[held], "_cell": cell[held]})
+
+    w = Window.partitionBy("q").orderBy("d", "_cell")
+    found = cells.select("_bid", "_unit", "_cell").mapInPandas(nearest, "q long, d double, _cell int")
+    found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("q", "_cell").collect()
+    if not found:
+        return 1
+    c = np.array(centres, dtype=float)
+    order = np.argsort((c * c).sum(axis=1)[None, :] - 2.0 * q @ c.T, axis=1, kind="stable")
+    rank = np.argsort(order, axis=1)
+    hit, total = np.zeros((len(ids), len(centres))), np.zeros(len(ids))
+    for r in found:
+        hit[r["q"], rank[r["q"], r["_cell"]]] += 1
+        total[r["q"]] += 1
+    share = np.cumsum(hit[total > 0], axis=1) / total[total > 0][:, None]
+    low = share.mean(axis=0) - 2.0 * share.std(axis=0) / math.sqrt(len(share))
+    return int(np.argmax(low >= min(recall, 1.0) - 1e-12)) + 1
+
+
 def knn_join(queries: DataFrame, base: DataFrame, *, query_id: str, base_id: str, vector_col: str, k: int = 10,
              nlist: int | None = None, nprobe: int | None = 4, exact: bool = True, exclude_self: bool = True,
-             seed: int = 42) -> DataFrame:
+             seed: int = 42, recall: float | None = None) -> DataFrame:
     """M5: the ``k`` nearest base rows (cosine) of every query row.
 
     Returns ``(query_id, neighbour_id, cosine_distance, neighbour_rank)``.
@@ -122,6 +172,7 @@ def knn_join(queries: DataFrame, base: DataFrame, *, query_id: str, base_id: str
     ``exact=False`` is the approximate IVF search over ``nprobe`` cells (``None``:
     all of them, which finds the same as brute force). ``nlist=None`` takes the
     square root of the base rows, so a cell grows no faster than the cell count.
+    ``recall`` replaces ``nprobe`` by the cells that reach it (:func:`probes_for_recall`).
     """
     if nlist is None:
         nlist = max(1, math.isqrt(base.count()))
@@ -131,7 +182,10 @@ def knn_join(queries: DataFrame, base: DataFrame, *, query_id: str, base_id: str
     dists = _centre_distances(centres, dim)
     q = queries.where(F.col(vector_col).isNotNull()).select(
         F.col(query_id).alias("_qid"), normalize(F.col(vector_col)).alias("_qunit")
-    ).withColumn("_cdist", dists(F.col("_qunit")))
+    )
+    if recall is not None:
+        nprobe = probes_for_recall(q, cells, centres, recall, k, exclude_self)
+    q = q.withColumn("_cdist", dists(F.col("_qunit")))
     ranked_cells = F.transform(
         F.array_sort(F.transform(F.col("_cdist"), lambda d, i: F.struct(d.alias("d"), i.alias("cell")))),
         lambda s: s["cell"],

@@ -401,12 +401,12 @@ def _vectors(p: AuditPipeline) -> DataFrame:
     return table_vectors(p.spark, p.sf_dir)
 
 
-def _knn(exact: bool, nprobe: int | None = 2):
+def _knn(exact: bool, nprobe: int | None = 2, recall: float | None = None):
     def build(p: AuditPipeline) -> DataFrame:
         from ..operators.vector_index import knn_join
         v = _vectors(p)
         return knn_join(v, v, query_id="vec_id", base_id="vec_id", vector_col="vector", k=KNN_K,
-                        nprobe=nprobe, exact=exact)
+                        nprobe=nprobe, exact=exact, recall=recall)
     return build
 
 
@@ -422,7 +422,7 @@ _KNN_ITEMS = ["vec_id", "neighbour_id", "cosine_distance",
               "CAST(row_number() OVER (PARTITION BY vec_id ORDER BY cosine_distance, neighbour_id) AS INTEGER) AS neighbour_rank"]
 register(Query("knn_exact", _knn(True), _KNN_COLS, _KNN_FROM, [], _KNN_ITEMS))
 register(Query("knn_ivf_all_cells", _knn(False, None), _KNN_COLS, _KNN_FROM, [], _KNN_ITEMS))
-register(Query("knn_ivf", _knn(False), _KNN_COLS))
+register(Query("knn_ivf", _knn(False, recall=0.9), _KNN_COLS))
 
 
 def _kmeans(p: AuditPipeline) -> DataFrame:

@@ -2,9 +2,12 @@
 
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lendlens.operators.vector_index import kmeans_assign, knn_join
+from lendlens.plans import queries
+from lendlens.sources.adapter import table_vectors
 
 
 def vectors(spark, n=300, dim=8, seed=11):
@@ -58,3 +61,14 @@ def test_kmeans_assign_covers_rows(spark):
     out = kmeans_assign(df, "vec", "vid", k=6, seed=1)
     assert out.count() == 120
     assert out.select(F.countDistinct("kmeans_cluster")).first()[0] <= 6
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_registered_ivf_reaches_recall(spark, folder):
+    """knn_ivf finds 0.9 of the true neighbours on the given embeddings at both sizes."""
+    d = f"/root/testdata/{folder}"
+    got = queries.spark_query("knn_ivf")(spark, d).select("vec_id", "neighbour_id").collect()
+    want = brute([(r.vec_id, r.vector) for r in table_vectors(spark, d).collect()], queries.KNN_K)
+    recall = sum(r.neighbour_id in want[r.vec_id] for r in got) / (queries.KNN_K * len(want))
+    print(f"{folder} recall {recall:.4f}")
+    assert recall >= 0.9
