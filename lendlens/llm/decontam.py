@@ -29,7 +29,10 @@ from . import arrays, common
 PHRASE = 13
 #: Words of test items searched in one pass over the index: 8 bytes each and a list entry.
 BLOCK_WORDS = 500_000
-#: Proximity: the item's rarest terms, all within so many words of the rarest one.
+#: Proximity: the item's rarest terms (by documents of the whole index that hold them,
+#: equal ones in the item's order; terms that no document holds are passed over), all
+#: within so many words of the rarest one. An item with fewer such terms is near nothing,
+#: unless it has no more distinct words.
 NEAR_TERMS, NEAR_SPAN = 4, 26
 
 
@@ -93,6 +96,46 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
         yield block
 
 
+def near_terms(index: DataFrame, block: list[tuple[str, np.ndarray]]) -> list[np.ndarray]:
+    """For every item of a block its NEAR_TERMS rarest terms, rarest first, by the documents
+    that hold them, summed over all blocks of the index; empty if there are too few."""
+    terms = np.unique(np.concatenate([words for _, words in block])) if block else np.zeros(0, np.uint64)
+    packed = index.sparkSession.sparkContext.broadcast(terms.tobytes())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = np.frombuffer(packed.value, np.uint64)
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("starts", "<u4"), ("terms", "<u8"), ("lists", "<u4"), ("positions", "<u4"))}
+                lists = _Lists(row["terms"], row["lists"], row["positions"])
+                at, length = lists.find(terms)
+                held = np.flatnonzero(length)
+                place = lists.lists[at[held]]
+                where = lists.positions[arrays.ranges(place, length[held])]
+                doc = np.searchsorted(row["starts"], where, side="right")
+                owner = np.repeat(held, length[held])
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])  # positions ascend, so do documents
+                total += np.bincount(owner[new], minlength=len(terms))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["term", "docs"])
+
+    found = np.zeros(len(terms), np.int64)
+    if len(terms):
+        parts = index.select("starts", "terms", "lists", "positions").mapInArrow(count, "term bigint, docs bigint")
+        table = parts.groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()  # at most a row a term of the block
+        found[table["term"].to_numpy()] = table["docs"].to_numpy()
+    out = []
+    for _, words in block:
+        words = words[np.sort(np.unique(words, return_index=True)[1])]
+        docs = found[np.searchsorted(terms, words)]
+        known = np.flatnonzero(docs)
+        rare = known[np.argsort(docs[known], kind="stable")][:NEAR_TERMS]
+        out.append(words[rare] if len(rare) == min(NEAR_TERMS, len(words)) else words[:0])
+    return out
+
+
 class _Lists:
     """The posting lists of one block of documents."""
 
@@ -102,9 +145,10 @@ class _Lists:
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and length of each word's list; length 0 where there is none."""
         at = np.searchsorted(self.terms, words)
+        if not len(self.terms):  # a block of texts without words
+            return at, np.zeros(len(words), np.int64)
         at[at == len(self.terms)] = 0
-        known = self.terms[at] == words if len(self.terms) else np.zeros(len(words), bool)
-        return at, np.where(known, self.lists[at + 1] - self.lists[at], 0)
+        return at, np.where(self.terms[at] == words, self.lists[at + 1] - self.lists[at], 0)
 
     def get(self, at: int) -> np.ndarray:
         return self.positions[self.lists[at] : self.lists[at + 1]]
@@ -124,32 +168,29 @@ def _starts(lists: _Lists, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return found
 
 
-def _near(lists: _Lists, at: np.ndarray, length: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Documents in which the item's rarest terms all lie within NEAR_SPAN words of
-    the rarest one."""
-    none = np.zeros(0, np.int64)
-    _, first = np.unique(at, return_index=True)
-    if not len(first) or not length.all():
-        return none
-    rare = first[np.argsort(length[first], kind="stable")][:NEAR_TERMS]
-    found = lists.get(at[rare[0]]).astype(np.int64)
+def _near(lists: _Lists, terms: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Documents in which the terms all lie within NEAR_SPAN words of the first one."""
+    at, length = lists.find(terms)
+    if not len(terms) or not length.all():
+        return np.zeros(0, np.int64)
+    found = lists.get(at[0]).astype(np.int64)
     doc = np.searchsorted(starts, found, side="right") - 1
     low = np.maximum(found - NEAR_SPAN, starts[doc])
     high = np.minimum(found + NEAR_SPAN, starts[doc] + counts[doc] - 1)
-    for k in rare[1:]:
-        other = lists.get(at[k])
+    for k in at[1:]:
+        other = lists.get(k)
         held = np.searchsorted(other, low) < np.searchsorted(other, high, side="right")
         doc, low, high = doc[held], low[held], high[held]
     return np.unique(doc)
 
 
-def _search_block(row: dict, items: list[tuple[str, np.ndarray]]) -> tuple[list, list, list]:
+def _search_block(row: dict, items: list[tuple[str, np.ndarray]], rare: list[np.ndarray] | None) -> tuple[list, list, list]:
     """For every document of an index block: merged hit spans, items found, items near."""
     lists = _Lists(*(np.frombuffer(row[k], t) for k, t in (("terms", "<u8"), ("lists", "<u4"), ("positions", "<u4"))))
     starts, counts = (np.frombuffer(row[k], "<u4").astype(np.int64) for k in ("starts", "counts"))
     n = len(starts)
     begins, ends, found_items, near = [], [], [set() for _ in range(n)], [set() for _ in range(n)]
-    for item, words in items:
+    for k, (item, words) in enumerate(items):
         at, length = lists.find(words)
         size = min(PHRASE, len(words))
         present = np.concatenate([[0], np.cumsum(length > 0)])
@@ -160,7 +201,7 @@ def _search_block(row: dict, items: list[tuple[str, np.ndarray]]) -> tuple[list,
                 ends.append(found + size)
                 for d in np.unique(np.searchsorted(starts, found, side="right") - 1):
                     found_items[d].add(item)
-        for d in _near(lists, at, length, starts, counts):
+        for d in _near(lists, rare[k], starts, counts) if rare is not None else ():
             near[d].add(item)
     spans: list[list[dict]] = [[] for _ in range(n)]
     if begins:
@@ -178,24 +219,25 @@ def _search_block(row: dict, items: list[tuple[str, np.ndarray]]) -> tuple[list,
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def search(index: DataFrame, benchmark: DataFrame) -> DataFrame:
+def search(index: DataFrame, benchmark: DataFrame, proximity: bool = True) -> DataFrame:
     """A row for each indexed document: doc_id, text_hash, n_words, ``hits`` (merged
     spans of hit words), ``items`` (ids with an occurring phrase) and ``near`` (ids
-    whose rarest words all meet within NEAR_SPAN words, in any order)."""
+    whose rarest words all meet within NEAR_SPAN words, in any order; empty without
+    ``proximity``, which counts the items' terms over the whole index first)."""
     parts = []
     schema = f"doc_id bigint, text_hash bigint, n_words bigint, hits {SPANS}, items array<string>, near array<string>"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.string())]
     names = ["doc_id", "text_hash", "n_words", "hits", "items", "near"]
     for block in [*item_blocks(benchmark)] or [[]]:
-        packed = index.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+        packed = index.sparkSession.sparkContext.broadcast(pickle.dumps((block, near_terms(index, block) if proximity else None)))
 
         def look(batches: Iterator[pa.RecordBatch], packed=packed) -> Iterator[pa.RecordBatch]:
-            items = pickle.loads(packed.value)
+            items, rare = pickle.loads(packed.value)
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                     counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                    spans, found, near = _search_block(row, items)
+                    spans, found, near = _search_block(row, items, rare)
                     values = [row["doc_ids"], row["text_hashes"], counts, spans, found, near]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names
@@ -226,7 +268,7 @@ def _merged(name: str):
     )
 
 
-def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, proximity: bool = True) -> DataFrame:
     """:func:`search` over a fresh index, with ``n_hit``, ``n_items`` and
     ``contaminated`` (n_hit > 0 and 20 * n_hit >= n_words).
 
@@ -234,7 +276,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     left out; an empty benchmark hits nothing; rows of equal doc_id and text each
     give a row.
     """
-    found = search(build_index(docs), benchmark)
+    found = search(build_index(docs), benchmark, proximity)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
     return found.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long")}).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
@@ -243,7 +285,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents", ["doc_id", "text"])
-    found = judge(docs, common.read(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    found = judge(docs, common.read(spark, sf_dir, "benchmark", ["item_id", "text"]), proximity=False)
     return found.select(
         "doc_id",
         "n_words",
@@ -254,6 +296,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items near each document: their number and a hash of their ids."""
+    docs = common.read(spark, sf_dir, "documents", ["doc_id", "text"])
+    found = search(build_index(docs), common.read(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return found.select(
+        "doc_id",
+        F.size("near").cast("long").alias("n_near"),
+        F.sha2(F.array_join("near", ","), 256).alias("near_sha256"),
+    )
+
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP10_SQL = f"""
@@ -281,9 +334,33 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP10_NEAR_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS r, item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+own AS (SELECT r, w[i] AS t, min(i) AS i FROM b, unnest(generate_series(1, len(w))) AS u(i) GROUP BY r, w[i]),
+places AS (
+  SELECT doc_id, i, t FROM (SELECT doc_id, i, w[i] AS t FROM d, unnest(generate_series(1, len(w))) AS u(i))
+  WHERE t IN (SELECT t FROM own)
+), df AS (SELECT t, count(DISTINCT doc_id) AS n FROM places GROUP BY t),
+sizes AS (SELECT r, least({NEAR_TERMS}, count(*)) AS size FROM own GROUP BY r),
+ranked AS (SELECT r, t, row_number() OVER (PARTITION BY r ORDER BY n, i) AS k FROM own JOIN df USING (t)),
+terms AS (SELECT r, t, k, size FROM ranked JOIN sizes USING (r) WHERE k <= {NEAR_TERMS}),
+met AS (
+  SELECT p.doc_id, p.i, a.r, any_value(a.size) AS size, count(DISTINCT z.k) AS n
+  FROM terms a JOIN places p ON p.t = a.t JOIN terms z ON z.r = a.r
+  JOIN places q ON q.t = z.t AND q.doc_id = p.doc_id AND abs(q.i - p.i) <= {NEAR_SPAN}
+  WHERE a.k = 1 GROUP BY p.doc_id, p.i, a.r
+), near AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::varchar AS s FROM met JOIN b USING (r) WHERE n = size) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_near, 0) AS n_near, sha256(coalesce(ids, '')) AS near_sha256 FROM d LEFT JOIN near USING (doc_id)
+"""
+
+
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are not contaminated, unchanged."""
-    bad = judge(docs, common.read(spark, sf_dir, "benchmark", ["item_id", "text"])).filter("contaminated")
+    bad = judge(docs, common.read(spark, sf_dir, "benchmark", ["item_id", "text"]), proximity=False).filter("contaminated")
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = docs["doc_id"].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(common.text_or_empty("text")) == bad["_hash"])
     return docs.join(bad, same, "left_anti")

@@ -22,6 +22,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_decontamination": decontam.op10_decontamination,
+        "op10_proximity": decontam.op10_proximity,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_queries() -> dict[str, str]:
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op7_long_line_dedup": line_dedup.OP7_LONG_SQL,
         "op10_decontamination": decontam.OP10_SQL,
+        "op10_proximity": decontam.OP10_NEAR_SQL,
     }
