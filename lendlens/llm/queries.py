@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, line_dedup, minhash, pii, quality, sp_codec, suffix_dedup, token_files, url_filter
+from . import decontam, html_text, line_dedup, minhash, pii, quality, sharding, sp_codec, suffix_dedup, token_files, url_filter
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_decontamination": decontam.op10_decontamination,
         "op10_proximity": decontam.op10_proximity,
+        "op11_sharding": sharding.op11_sharding,
     }
 
 
