@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, line_dedup, minhash, pii, quality, sharding, sp_codec, suffix_dedup, token_files, url_filter, whitening
+from . import decontam, dialogue, html_text, line_dedup, minhash, pii, quality, sharding, sp_codec, suffix_dedup, token_files, url_filter, whitening
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontamination": decontam.op10_decontamination,
         "op10_proximity": decontam.op10_proximity,
         "op11_sharding": sharding.op11_sharding,
+        "op12_conversation_repair": dialogue.op12_conversation_repair,
         "op13_whitening": whitening.op13_whitening,
     }
 
@@ -34,4 +35,5 @@ def oracle_queries() -> dict[str, str]:
         "op7_long_line_dedup": line_dedup.OP7_LONG_SQL,
         "op10_decontamination": decontam.OP10_SQL,
         "op10_proximity": decontam.OP10_NEAR_SQL,
+        "op12_conversation_repair": dialogue.OP12_SQL,
     }
