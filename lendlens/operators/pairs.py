@@ -17,17 +17,21 @@ similar side is exploded to the cells a partner can be in (own cell, plus the
 neighbour it is close to, per coordinate: at most 8), and the pair search
 becomes an equi-join on ``(lei, state, cell_i, cell_l, cell_d)`` that splits
 even a hot block across many tasks. A cell that still holds more than
-``HEAVY_CELL`` rows is dealt out further: its base rows are spread over salts by
-their id, its similar rows are copied to every salt. A base row has one cell and
-one salt, so its top ``k`` is complete there. Every predicate is re-checked
-exactly on the joined rows, so the cells only prune (no pair is lost or added).
+``HEAVY_CELL`` rows would compare all its rows with each other: for a top ``k``
+it is searched leaf by leaf instead (:mod:`dense_pairs`), which looks at a number
+of pairs about linear in its rows. Without a top ``k`` all its pairs are the
+output, and it is dealt over salts: base rows by their id, similar rows copied to
+every salt. Every predicate is re-checked exactly on the joined rows, so cells and
+leaves only prune (no pair is lost or added).
 Vectors stay out of the cell join and are fetched by id for the pairs that
 passed the scalar predicates.
 """
 
 from __future__ import annotations
 
+import atexit
 import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +39,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, safe_divide
 from ..functions.vectors import dot, l2_norm
+from ..session import ensure_checkpoint_dir
+from ..sources import sinks
+from . import dense_pairs
 
 # ---- fixed values of the audit -------------------------------------------------
 MAX_DISTANCE = 0.05
@@ -51,7 +58,7 @@ STRENGTH_BANDS = [(0.01, "VERY_HIGH_SIMILARITY"), (0.03, "HIGH_SIMILARITY")]
 STRENGTH_DEFAULT = "MEDIUM_SIMILARITY"
 # ---------------------------------------------------------------------------------
 
-#: Rows of a cell that one task compares with their partners.
+#: Rows of a cell that are compared pair by pair with their partners.
 HEAVY_CELL = 2000
 
 _SLACK = 1.0 + 1e-6
@@ -144,6 +151,65 @@ def pair_candidates(
     return base.join(similar, [*keys, "_salt"]).where(order)
 
 
+def _store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back; removed when the program ends."""
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lendlens-stages/{uuid.uuid4().hex[:12]}"
+    atexit.register(_forget, spark, root)
+    return sinks.stage_table(spark, df, name, root)
+
+
+def _forget(spark, root: str) -> None:
+    try:
+        sinks.remove_path(spark, root)
+    except Exception:  # the session has ended; the shared folder's owner cleans up
+        return
+
+
+def top_candidates(
+    apps: DataFrame, block: Sequence[str], halves: tuple[float, float, float], limits: dense_pairs.Limits,
+    vector_col: str, vector_dim: int | None, cell_factor: float, heavy_cell: int,
+) -> DataFrame:
+    """Pairs that hold every base row's top ``k``: all of the cells with at most ``heavy_cell``
+    rows (their predicates are left to the caller), and the searched ones of the denser cells.
+
+    Counting the cells is a job of its own over four columns; where none is dense, which
+    the count tells, the plan is the plain cell join."""
+    dims = _dims(*halves)
+    own, reach = {}, {}
+    for name, value, half in dims:
+        own[name], reach[name] = _cells(value, half, cell_factor)
+    keys = [*block, "_ci", "_cl", "_cd"]
+    celled = apps.withColumns(own)
+    dense = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > heavy_cell)
+    dense = _store(dense, "dense_cells")
+    rows = dense.agg(F.sum("_rows")).first()[0]
+    copied = celled
+    for name, _, _ in dims:
+        copied = copied.withColumn(name, F.explode(reach[name]))
+    base, similar = _side(celled, "base", block, None), _side(copied, "similar", block, None)
+    order = F.col("base_app_id") != F.col("similar_app_id") if limits.both_directions else F.col("base_app_id") < F.col("similar_app_id")
+    if rows is None:
+        return base.join(similar, keys).where(order)
+    cells = dense.select(*keys)
+    sparse = base.join(cells, keys, "left_anti").join(similar, keys).where(order)
+    home = F.lit(True)
+    for name, column in own.items():
+        home = home & (column == F.col(name))
+    copies = copied.join(cells, keys, "left_semi").select(
+        *keys, home.alias("_own"), F.col("application_id").alias("_id"), F.col("income").alias("_income"),
+        F.col("loan_amount").alias("_loan"), F.col("calculated_dti_ratio").alias("_dti"),
+        l2_norm(F.col(vector_col), vector_dim).alias("_norm"), F.col(vector_col).alias("_vec"),
+    )
+    pieces = -(-int(rows * 3.4) // dense_pairs.PIECE_ROWS)
+    found = dense_pairs.top_pairs(copies, keys, limits, pieces, _store)
+    either = _side(celled, "base", block, None).drop("_ci", "_cl", "_cd")
+    other = _side(celled, "similar", block, None).drop("_ci", "_cl", "_cd", *block)
+    return sparse.select(*either.columns, *other.columns).unionByName(
+        found.join(either, "base_app_id").join(other, "similar_app_id")
+    )
+
+
 def _salted(base: DataFrame, similar: DataFrame, keys: list[str], heavy_cell: int) -> tuple[DataFrame, DataFrame]:
     """Add ``_salt``: in cells of more than ``heavy_cell`` base rows, base rows are dealt
     over ``rows / heavy_cell`` salts and similar rows copied to each of them."""
@@ -214,10 +280,17 @@ def similar_pairs(
     wide = (math.log(max(band_high, 1.0 / band_low)), math.log(max(band_high, 1.0 / band_low)), band_dti)
     tight = (log_width(income_tol), log_width(loan_tol), dti_tol)
     cells = tuple(min(a, b) for a, b in zip(wide, tight))
-    cand = pair_candidates(
-        apps, block, *cells, vector_col=None, cell_factor=cell_factor, heavy_cell=heavy_cell,
-        both_directions=both_directions,
-    ).where(_band(band_low, band_high, band_dti))
+    if top_k is None:
+        cand = pair_candidates(
+            apps, block, *cells, vector_col=None, cell_factor=cell_factor, heavy_cell=heavy_cell,
+            both_directions=both_directions,
+        )
+    else:
+        limits = dense_pairs.Limits(
+            max_distance, band_low, band_high, band_dti, income_tol, loan_tol, dti_tol, top_k, both_directions
+        )
+        cand = top_candidates(apps, block, cells, limits, vector_col, vector_dim, cell_factor, heavy_cell)
+    cand = cand.where(_band(band_low, band_high, band_dti))
 
     scored = cand.withColumns(
         {
