@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import md5_unit
 from .raw import RAW_COLUMNS, SOURCE_KEY
-from .tables import read_table
+from .tables import read_table, spread
 
 # ---- fixed values of the adapter (shared with the SQL oracle) ---------------
 STATE_BY_REGION = ["CA", "FL", "MI", "NY", "WA"]
@@ -44,7 +44,7 @@ def _pick(values: list[str], u) -> F.Column:
 
 def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw-schema rows (plus ``source_key``) for every order of ``sf_dir``."""
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     # nation has a fixed 25 rows: a proven-small broadcast side.
     nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
