@@ -29,9 +29,7 @@ passed the scalar predicates.
 
 from __future__ import annotations
 
-import atexit
 import math
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,7 +37,6 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, safe_divide
 from ..functions.vectors import dot, l2_norm
-from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from . import dense_pairs
 
@@ -151,21 +148,6 @@ def pair_candidates(
     return base.join(similar, [*keys, "_salt"]).where(order)
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back; removed when the program ends."""
-    spark = df.sparkSession
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lendlens-stages/{uuid.uuid4().hex[:12]}"
-    atexit.register(_forget, spark, root)
-    return sinks.stage_table(spark, df, name, root)
-
-
-def _forget(spark, root: str) -> None:
-    try:
-        sinks.remove_path(spark, root)
-    except Exception:  # the session has ended; the shared folder's owner cleans up
-        return
-
-
 def top_candidates(
     apps: DataFrame, block: Sequence[str], halves: tuple[float, float, float], limits: dense_pairs.Limits,
     vector_col: str, vector_dim: int | None, cell_factor: float, heavy_cell: int,
@@ -182,7 +164,7 @@ def top_candidates(
     keys = [*block, "_ci", "_cl", "_cd"]
     celled = apps.withColumns(own)
     dense = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > heavy_cell)
-    dense = _store(dense, "dense_cells")
+    dense = sinks.scratch_table(dense, "dense_cells")
     rows = dense.agg(F.sum("_rows")).first()[0]
     copied = celled
     for name, _, _ in dims:
@@ -202,7 +184,7 @@ def top_candidates(
         l2_norm(F.col(vector_col), vector_dim).alias("_norm"), F.col(vector_col).alias("_vec"),
     )
     pieces = -(-int(rows * 3.4) // dense_pairs.PIECE_ROWS)
-    found = dense_pairs.top_pairs(copies, keys, limits, pieces, _store)
+    found = dense_pairs.top_pairs(copies, keys, limits, pieces, sinks.scratch_table)
     either = _side(celled, "base", block, None).drop("_ci", "_cl", "_cd")
     other = _side(celled, "similar", block, None).drop("_ci", "_cl", "_cd", *block)
     return sparse.select(*either.columns, *other.columns).unionByName(

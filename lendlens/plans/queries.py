@@ -49,7 +49,7 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "validation": ("validation",), "performance_metrics": ("metrics",),
     "top5_flagged_per_lender": ("assessment", "summary"), "compliance_report": ("report",),
     "dashboard": ("dashboard",), "final_summary": ("run_summary",), "export_nested": ("export",),
-    "knn_exact": (), "knn_ivf": (), "knn_ivf_all_cells": (), "kmeans_assign": ("embedded",),
+    "knn_exact": (), "knn_ivf": (), "knn_ivf_all_cells": (), "knn_pq": (), "kmeans_assign": ("embedded",),
 }
 
 
@@ -425,6 +425,16 @@ register(Query("knn_ivf_all_cells", _knn(False, None), _KNN_COLS, _KNN_FROM, [],
 register(Query("knn_ivf", _knn(False, recall=0.9), _KNN_COLS))
 
 
+def _knn_pq(p: AuditPipeline) -> DataFrame:
+    """Every vector whose id is divisible by 20 asks all vectors."""
+    from ..operators.pq_index import pq_knn
+    v = _vectors(p)
+    return pq_knn(v.where(F.col("vec_id") % 20 == 0), v, query_id="vec_id", base_id="vec_id", vector_col="vector", k=KNN_K)
+
+
+register(Query("knn_pq", _knn_pq, _KNN_COLS))
+
+
 def _kmeans(p: AuditPipeline) -> DataFrame:
     from ..operators.vector_index import kmeans_assign
     return kmeans_assign(p.embedded.select("application_id", "profile_embedding"), "profile_embedding",

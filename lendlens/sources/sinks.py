@@ -6,7 +6,9 @@ when present) to ``mode("errorifexists")``; views to temp views.
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,3 +73,19 @@ def stage_table(spark: SparkSession, df: DataFrame, name: str, root: str | None
         return spark.table(table)
     write_table(df, path, partition_by=partition_by)
     return spark.read.parquet(path)
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a folder of its own under the shared checkpoint folder and read it back; the folder is
+    removed when the program ends."""
+    spark = df.sparkSession
+    root = os.path.join(ensure_checkpoint_dir(spark), "lendlens-stages", uuid.uuid4().hex[:12])
+    atexit.register(_forget, spark, root)
+    return stage_table(spark, df, name, root)
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    try:
+        remove_path(spark, root)
+    except Exception:  # the session has ended; the shared folder's owner cleans up
+        return
