@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit
 from ..functions.vectors import dot, normalize
+from .kmeans import kmeans
 
 
 def kmeans_model(df: DataFrame, vector_col: str, k: int = 50, seed: int = 42, standardize: bool = True,
@@ -53,11 +54,9 @@ def _as_features(df: DataFrame, vector_col: str) -> DataFrame:
     return df.where(F.col(vector_col).isNotNull()).withColumn("_features", array_to_vector(F.col(vector_col)))
 
 
-def kmeans_assign(df: DataFrame, vector_col: str, id_col: str, k: int = 50, seed: int = 42,
-                  standardize: bool = True) -> DataFrame:
-    """Fit the K-means model and return ``(id, kmeans_cluster)`` per row."""
-    model = kmeans_model(df, vector_col, k, seed, standardize)
-    return model.transform(_as_features(df, vector_col)).select(id_col, "kmeans_cluster")
+def kmeans_assign(df: DataFrame, vector_col: str, id_col: str, k: int = 50, standardize: bool = True) -> DataFrame:
+    """``(id, kmeans_cluster)`` per row by the fixed steps of :mod:`kmeans`, the same on every run."""
+    return kmeans(df, id_col, vector_col, k, standardize=standardize)
 
 
 def _centre_distances(centres, dim: int):

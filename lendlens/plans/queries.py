@@ -438,10 +438,10 @@ register(Query("knn_pq", _knn_pq, _KNN_COLS))
 def _kmeans(p: AuditPipeline) -> DataFrame:
     from ..operators.vector_index import kmeans_assign
     return kmeans_assign(p.embedded.select("application_id", "profile_embedding"), "profile_embedding",
-                         "application_id", k=50, seed=42, standardize=True)
+                         "application_id", k=50, standardize=True)
 
 
-register(Query("kmeans_assign", _kmeans, ["application_id", "kmeans_cluster"]))
+register(Query("kmeans_assign", _kmeans, ["application_id", "kmeans_cluster"], "km_assigned", ["km_assigned"]))
 
 
 # --- public API -----------------------------------------------------------------------------

@@ -58,7 +58,7 @@ def test_approximate_ivf_has_k_rows_per_query_and_good_recall(spark):
 
 def test_kmeans_assign_covers_rows(spark):
     df = vectors(spark, n=120)
-    out = kmeans_assign(df, "vec", "vid", k=6, seed=1)
+    out = kmeans_assign(df, "vec", "vid", k=6)
     assert out.count() == 120
     assert out.select(F.countDistinct("kmeans_cluster")).first()[0] <= 6
 
