@@ -253,11 +253,21 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each class. Repeated
-    rows of one doc_id are reduced to one; documents without id or words stay."""
+    """Pipeline stage: the document with the smallest doc_id of each class. Texts without
+    words have no shingles to compare; those that are equal but for white space are copies,
+    so of the copies that line dedup emptied one row stays. Repeated rows of one doc_id are
+    reduced to one; documents without id stay."""
     found = common.stage(near_duplicates(docs), "classes")
     later = found.filter("class_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(later, docs["doc_id"] == later["_id"], "left_anti")
+    wordless = found.filter("n_words = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    seen = F.regexp_replace(common.text_or_empty("text"), r"[\x20\x09-\x0D]", "")
+    bare = docs.select(F.col("doc_id").cast("long").alias("_id"), F.md5(F.encode(seen, "UTF-8")).alias("_seen")).join(wordless, "_id")
+    first = bare.groupBy("_seen").agg(F.min("_id").alias("_first"))
+    # an id may stand for several texts: it goes only if none of them comes first
+    repeats = bare.join(first, "_seen").groupBy("_id").agg(F.min(F.col("_id") - F.col("_first")).alias("_d")).filter("_d > 0").select("_id")
+    repeats = repeats.join(found.filter("n_words > 0").select(F.col("doc_id").alias("_id")), "_id", "left_anti")
+    gone = later.union(repeats)
+    kept = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
     if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     known = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
