@@ -120,6 +120,12 @@ class AuditPipeline:
         df.write.mode("overwrite").option("header", True).csv(path)
         return path
 
+    def store_lines(self, df: DataFrame) -> str:
+        """Write one text column as lines into this run's stage folder; returns their folder."""
+        path = os.path.join(self._root(), "lines")
+        df.write.mode("overwrite").text(path)
+        return path
+
     def _root(self) -> str:
         """This run's folder under the shared checkpoint folder."""
         if self.stage_root is None:

@@ -41,7 +41,7 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded",), "similar_pairs": ("pairs",),
     "text_embedding_assembly": ("profiles",), "text_similar_pairs": ("profiles", "profiles"),
     "similar_pairs_both_directions": ("embedded", "embedded"), "rule_catalogue": ("violations",),
-    "csv_applications": (), "report_nested_samples": ("report",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
+    "csv_applications": (), "csv_rejects": (), "report_nested_samples": ("report",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
     "centroid_distance": ("clusters",), "sigma_outliers": ("clusters",), "cluster_disparity": ("clusters",),
     "rule_violations": ("violations",), "lender_stats": ("lender_stats",), "two_proportion_z": ("lender_stats",),
     "disparate_impact": ("statistics",), "evidence_score": ("statistics",), "statistical_analysis": ("statistics",),
@@ -180,6 +180,28 @@ def _csv(p: AuditPipeline) -> DataFrame:
 
 _CSV_COLUMNS = [c for c in CLEAN_COLUMNS if c != "application_id"]
 register(Query("csv_applications", _csv, _CSV_COLUMNS, "cleaned", ["cleaned"]))
+
+
+def _csv_rejects(p: AuditPipeline) -> DataFrame:
+    """Counts by reason of a CSV scan with planted faults: by order key modulo 50, rows cut short (7), with a field
+    too many (21), with text for the loan amount (13) or for the action (33)."""
+    from ..sources.raw import RAW_COLUMNS, SOURCE_KEY, reject_counts, scan_raw_csv
+
+    def fault(n: int):
+        return F.col(SOURCE_KEY) % 50 == n
+
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in RAW_COLUMNS]
+    cells[RAW_COLUMNS.index("loan_amount")] = F.when(fault(13), "twelve").otherwise(cells[RAW_COLUMNS.index("loan_amount")])
+    cells[RAW_COLUMNS.index("action_taken")] = F.when(fault(33), "x1").otherwise(cells[RAW_COLUMNS.index("action_taken")])
+    whole = F.concat_ws(",", *cells)
+    line = F.when(fault(7), F.concat_ws(",", *cells[:-5])).when(fault(21), F.concat(whole, F.lit(",9"))).otherwise(whole)
+    path = p.store_lines(p.raw.select(line.alias("value")))
+    return reject_counts(*scan_raw_csv(p.spark, path, header=False))
+
+
+register(Query("csv_rejects", _csv_rejects, ["reason", "n_rows"], """(
+  SELECT CASE WHEN source_key % 50 IN (7, 21) THEN 'columns' WHEN source_key % 50 IN (13, 33) THEN 'value'
+    ELSE 'accepted' END AS reason, count(*) AS n_rows FROM raw GROUP BY 1) x""", ["raw"]))
 register(Query("feature_bands", lambda p: _sel(p.features, BAND_COLUMNS), BAND_COLUMNS, "features", ["features"]))
 register(Query("amortized_dti", lambda p: _sel(p.features, DTI_COLUMNS), DTI_COLUMNS, "features", ["features"]))
 register(Query("profile_text", lambda p: _sel(p.profiles, ["application_id", "profile_text"]),
