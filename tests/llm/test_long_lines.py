@@ -1,4 +1,9 @@
-"""Line dedup of passages that repeat as one to three long lines, against brute force."""
+"""Line dedup against brute force: passages that repeat as one to three long lines,
+random sequences of few lines, and what the winnowing stores."""
+
+import random
+
+import pytest
 
 from lendlens.llm import line_dedup
 from .conftest import words
@@ -40,10 +45,38 @@ def test_long_lines(spark):
     docs = spark.createDataFrame(rows + [rows[1]] * 3, "doc_id bigint, text string")  # repeated rows are one document
     want = brute(rows, line_dedup.RUN, line_dedup.LONG_WORDS)
     assert {k: sorted(v) for k, v in want.items() if v} == {2: [0], 3: [1, 2], 6: [1, 2, 4], 7: [0, 2], 9: [0, 1, 2, 3]}
-    got = rows_of(line_dedup.delete_repeats(docs, long_words=line_dedup.LONG_WORDS))
+    got = rows_of(line_dedup.delete_repeats(docs))
     assert len(got) == len(rows) + 3
     for r in got:
         lines, gone = (dict(rows)[r["doc_id"]] or "").split("\n"), want[r["doc_id"]]
         assert (r["text"] or "") == "\n".join(x for i, x in enumerate(lines) if i not in gone)
         assert (r["n_lines"], r["n_removed"]) == (len(lines), len(gone))
         assert r["n_runs"] == sum(i - 1 not in gone for i in gone)
+
+
+@pytest.mark.parametrize(("run", "gram", "long_words"), [(4, 2, 50), (3, 1, 8), (2, 2, 12), (5, 3, 20), (4, 2, 1)])
+def test_random_lines(spark, run, gram, long_words):
+    """Few different lines of 1 to 30 words, so that runs repeat, overlap and tie in length."""
+    rng = random.Random(run * 100 + long_words)
+    pool = [" ".join(words(n, 200 + k)) for k, n in enumerate([1, 1, 2, 5, 5, 9, 17, 17, 30, 30])] + ["", " "]
+    rows = [(k, "\n".join(rng.choices(pool, k=rng.randrange(12)))) for k in range(60)]
+    want = brute(rows, run, long_words)
+    got = rows_of(line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), run, gram, long_words))
+    assert {r["doc_id"]: set(r["lines"]) for r in got} == {k: v for k, v in want.items() if v} and len(got) > 5
+
+
+def test_without_long_runs(spark):
+    """None leaves the lines alone to decide."""
+    text = "\n".join(" ".join(words(40, 300 + k)) for k in range(3))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + "\nend"), (4, text + "\nend")], "doc_id bigint, text string")
+    got = rows_of(line_dedup.repeated_lines(docs, long_words=None))
+    assert [(r["doc_id"], r["lines"]) for r in got] == [(4, [0, 1, 2, 3])]
+
+
+def test_selected_positions(spark):
+    """Of short lines only the window minima are stored, about two thirds of all
+    windows at most, and neighbouring windows share them."""
+    text = "\n".join(" ".join(words(3, 400 + k)) for k in range(200))
+    found = rows_of(line_dedup.fingerprints(spark.createDataFrame([(1, text)], "doc_id bigint, text string")))
+    assert len(found) < 130 and sum(len(r["spans"]) for r in found) == 197
+    assert all(r["lines"][r["at"]] == r["line"] for r in found)

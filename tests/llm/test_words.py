@@ -61,17 +61,20 @@ def test_quality_held_out_labels(spark):
     assert n.get((1, False), 0) <= 0.01 * n[(1, True)] and n.get((0, True), 0) <= 0.1 * n[(0, False)]
 
 
-def brute_lines(rows, run):
-    """Deleted line numbers by (doc_id, text): windows of lines with a word that occurred earlier."""
+def brute_lines(rows, run=line_dedup.RUN, long_words=line_dedup.LONG_WORDS):
+    """Deleted line numbers by (doc_id, text): runs of lines with a word that occurred
+    earlier, of ``run`` lines or of fewer with more than ``long_words`` words."""
     first, out = {}, {}
     for k, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         lines = (text or "").split("\n")
         at = [i for i, x in enumerate(lines) if x.strip(" \t\x0b\x0c\r")]
         gone = set()
-        for i in range(len(at) - run + 1):
-            w = tuple(lines[j] for j in at[i : i + run])
-            if first.setdefault(w, (k, text, i)) != (k, text, i):
-                gone.update(at[i : i + run])
+        for size in range(1, run + 1):
+            for i in range(len(at) - size + 1):
+                w = tuple(lines[j] for j in at[i : i + size])
+                if size == run or sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in w) > long_words:
+                    if first.setdefault(w, (k, text, i)) != (k, text, i):
+                        gone.update(at[i : i + size])
         out[k, text] = gone
     return out
 
@@ -80,7 +83,7 @@ def test_line_dedup(spark, docs, texts):
     rows = [(None, texts[1]), *texts.items()]
     more = [(50, "a\nb\nc\nd\na\nb\nc\nd\ne"), (51, "z\n\na\nb\n \nc\nd\ne\nq"), (52, "p\n" * 9), (53, "p\np\np")]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
-    want = brute_lines(rows + more, line_dedup.RUN)
+    want = brute_lines(rows + more)
     got = rows_of(line_dedup.delete_repeats(both.withColumn("n_lines", F.lit(1)).withColumn("_drop", F.lit(2))))
     assert len(got) == both.count()
     source = dict(rows + more)
