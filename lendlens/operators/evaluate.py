@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, safe_divide
@@ -70,3 +70,37 @@ def performance_metrics(validated: DataFrame) -> DataFrame:
         ((recall + specificity) / dlit(2.0)).alias("ai_auc_approximation"),
         F.lit(ENHANCEMENT_NOTE).alias("ai_enhancement_benefit"),
     )
+
+
+def roc_area(rows: DataFrame, score: str, truth: str, digits: int = 6) -> DataFrame:
+    """The area under the ROC curve of ``score`` against the boolean ``truth``, from rank
+    sums: the share of (true, false) pairs in which the true row has the higher score, ties
+    counting half. One row: positives, negatives, distinct_scores, roc_area (null without both kinds).
+
+    Rows with a null score or truth don't count; scores are ranked at ``digits`` decimals; NaN ranks highest.
+    Rows become counts a score, combined before they move; the scores are dealt by range, so
+    the ranks need prefix counts inside a range and one offset a range, never a window over all scores.
+    """
+    c = F.col
+    value = F.round(c(score).cast("double"), digits)
+    counts = rows.where(c(score).isNotNull() & c(truth).isNotNull()).groupBy(value.alias("_s")).agg(
+        F.count_if(c(truth)).alias("_p"), F.count_if(~c(truth)).alias("_n"))
+    # the ranges are numbered once, in the job that also sums them up: no second pass could number them otherwise
+    dealt = counts.repartitionByRange("_s").withColumn("_r", F.spark_partition_id())
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_r").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    big = "decimal(38,0)"  # products of two counts, summed, pass 64 bits
+    ranges = dealt.withColumn("_below", below).groupBy("_r").agg(
+        F.sum("_p").alias("_p"), F.sum("_n").alias("_n"), F.count("*").alias("_k"),
+        F.sum((c("_p").cast("decimal(19,0)") * (2 * c("_below") + c("_n")).cast("decimal(19,0)")).cast(big)).alias("_twice"),
+    )
+    # one row a range from here on
+    offset = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = ranges.withColumn("_o", offset).agg(
+        F.coalesce(F.sum("_p"), F.lit(0)).alias("positives"), F.coalesce(F.sum("_n"), F.lit(0)).alias("negatives"),
+        F.coalesce(F.sum("_k"), F.lit(0)).alias("distinct_scores"),
+        F.sum((c("_twice") + 2 * c("_p").cast("decimal(19,0)") * c("_o").cast("decimal(19,0)")).cast(big)).alias("_twice"),
+    )
+    pairs = c("positives").cast("double") * c("negatives").cast("double")
+    return whole.select(
+        "positives", "negatives", "distinct_scores", safe_divide(c("_twice").cast("double"), dlit(2.0) * pairs).alias("roc_area")
+    )

@@ -50,6 +50,7 @@ class RuleSpec:
     pair: Column | None = None
     pair_mode: str = "count"  # "count" | "exists"
     evidence: str | None = None  # "pair" | "cluster": which evidence backs the rule
+    reads: tuple[str, ...] = ()  # columns ``row`` needs beyond those of the violation table (see layers.py)
 
     @property
     def evaluated(self) -> bool:
@@ -199,6 +200,18 @@ VIOLATION_BASE = [
 ]
 
 
+VIOLATION_TOTALS = ("total_ai_violation_score", "ai_confidence_level", "ai_violation_severity")
+
+
+def severity() -> Column:
+    """The band of the total score."""
+    cases = None
+    for bound, label in SEVERITY_BANDS:
+        cond = F.col("total_ai_violation_score") >= dlit(bound)
+        cases = F.when(cond, label) if cases is None else cases.when(cond, label)
+    return cases.otherwise(SEVERITY_DEFAULT)
+
+
 def evaluate_rules(
     embedded: DataFrame,
     clusters: DataFrame,
@@ -215,7 +228,8 @@ def evaluate_rules(
     rules = [r for r in (rules or default_rules()) if r.evaluated]
     c = F.col
     apps = embedded.select("application_id", "lei", "state_code", "race_category", "ethnicity_category",
-                           "gender_category", "approved", "calculated_dti_ratio")
+                           "gender_category", "approved", "calculated_dti_ratio",
+                           *sorted({name for r in rules for name in r.reads if name in embedded.columns}))
     clus = clusters.select("application_id", "cluster_id", "is_cluster_outlier", "cluster_disparity_type",
                            "distance_to_centroid")
     joined = apps.join(clus, "application_id", "left").join(evidence, "application_id", "left")
@@ -261,10 +275,5 @@ def evaluate_rules(
         .otherwise(NO_EVIDENCE)
     )
     scored = scored.withColumn("total_ai_violation_score", total)
-    severity = None
-    for bound, label in SEVERITY_BANDS:
-        cond = c("total_ai_violation_score") >= dlit(bound)
-        severity = F.when(cond, label) if severity is None else severity.when(cond, label)
-    out = scored.withColumns({"ai_confidence_level": level, "ai_violation_severity": severity.otherwise(SEVERITY_DEFAULT)})
-    return out.select(*VIOLATION_BASE, *[r.column for r in rules], "total_ai_violation_score",
-                      "ai_confidence_level", "ai_violation_severity", *carry)
+    out = scored.withColumns({"ai_confidence_level": level, "ai_violation_severity": severity()})
+    return out.select(*VIOLATION_BASE, *[r.column for r in rules], *VIOLATION_TOTALS, *carry)

@@ -20,8 +20,9 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import assess, clusters, embed, evaluate, features, lenders, pairs, report, rules, stats
+from ..operators import assess, clusters, embed, evaluate, features, layers, lenders, pairs, report, rules, stats
 from ..session import ensure_checkpoint_dir
 from ..sources import adapter, sinks
 
@@ -36,9 +37,11 @@ STAGE_INPUTS: dict[str, tuple[str, ...]] = {
     "statistics": ("lender_stats",), "assessment": ("violations", "statistics"), "summary": ("assessment",),
     "validation": ("summary", "statistics"), "metrics": ("validation",), "report": ("assessment", "summary", "summary"),
     "dashboard": ("embedded", "pairs", "clusters", "assessment", "summary", "statistics", "metrics", "report"),
+    "layered": ("embedded", "clusters", "pairs"), "layered_violations": ("layered", "layered"),
+    "roc": ("assessment", "validation", "validation", "metrics"),
     "export": ("assessment",), "run_summary": ("assessment", "pairs", "clusters"),
 }
-STORABLE = ("embedded", "pairs", "clusters", "violations", "statistics", "assessment", "summary")
+STORABLE = ("embedded", "pairs", "clusters", "violations", "layered", "statistics", "assessment", "summary")
 
 
 def stages_to_store(targets: tuple[str, ...] | list[str]) -> set[str]:
@@ -248,6 +251,28 @@ class AuditPipeline:
         """T13."""
         return evaluate.performance_metrics(self.validation)
 
+    @cached_property
+    def layered_violations(self) -> DataFrame:
+        """T8 with R002 and R009, which the published script documents but never evaluates."""
+        specs = self.rule_specs if any(r.reads for r in self.rule_specs) else layers.layered_rules()
+        return layers.evaluate_layers(
+            self.embedded, self.clusters, self.pairs, specs,
+            statistics=lambda v: stats.statistical_tests(stats.lender_statistics(v), self.z_forms),
+            store=lambda v: self._stage(v, "layered_violations", stage="layered"),
+        )
+
+    @cached_property
+    def roc(self) -> DataFrame:
+        """Areas under the ROC curve of the risk scores against T12's truth, for applications and
+        for lender/states, next to the published balanced accuracy."""
+        truth = self.validation.select("lei", "state_code", "ai_verified_discriminatory_lender", "avg_ai_mln_risk_score")
+        apps = self.assessment.select("lei", "state_code", "ai_enhanced_mln_risk_score").join(truth, ["lei", "state_code"])
+        target = "ai_verified_discriminatory_lender"
+        areas = evaluate.roc_area(apps, "ai_enhanced_mln_risk_score", target).withColumn("level", F.lit("application")).unionByName(
+            evaluate.roc_area(truth, "avg_ai_mln_risk_score", target).withColumn("level", F.lit("lender")))
+        balanced = self.metrics.select("ai_auc_approximation").scalar()
+        return areas.withColumn("balanced_accuracy", balanced)
+
     def report(self, nested_samples: bool = True, as_of=None, ordered: bool = False) -> DataFrame:
         """T14 (``ordered``: tier 1 before 2, then mean risk descending)."""
         df = report.compliance_report(self.assessment, self.summary, nested_samples=nested_samples, as_of=as_of)

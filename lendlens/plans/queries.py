@@ -49,6 +49,7 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "validation": ("validation",), "performance_metrics": ("metrics",),
     "top5_flagged_per_lender": ("assessment", "summary"), "compliance_report": ("report",),
     "dashboard": ("dashboard",), "final_summary": ("run_summary",), "export_nested": ("export",),
+    "layered_rules": ("layered_violations",), "roc_area": ("roc",),
     "knn_exact": (), "knn_ivf": (), "knn_ivf_all_cells": (), "knn_pq": (), "kmeans_assign": ("embedded",),
 }
 
@@ -158,7 +159,8 @@ DOUBLE_COLUMNS = set(
     avg_racial_ai_validation_score avg_gender_ai_validation_score ai_recall_sensitivity ai_precision ai_specificity
     ai_accuracy ai_f1_score ai_auc_approximation ai_business_logic_violation ai_vector_racial_discrimination
     ai_vector_gender_discrimination ai_vector_ethnic_discrimination ai_cluster_minority_area_violation
-    ai_cluster_outlier_violation ai_intersectional_violation total_ai_weighted_violations distance cosine_distance""".split()
+    ai_cluster_outlier_violation ai_intersectional_violation total_ai_weighted_violations distance cosine_distance
+    R002_ai_violation R009_ai_violation roc_area balanced_accuracy""".split()
 )
 
 
@@ -321,6 +323,9 @@ register(Query("cluster_disparity", lambda p: _sel(p.clusters, DISPARITY_COLUMNS
 register(Query("rule_violations", lambda p: p.violations, VIOLATION_COLUMNS, "violations", ["violations"]))
 register(Query("rule_catalogue", lambda p: rules.rule_hits(p.violations, p.rule_specs),
                ["rule_id", "rule_category", "weight", "description", "n_applications"], "rule_hits", ["rule_hits"]))
+_LAYERED = ["application_id", "lei", "state_code", "approved", "R002_ai_violation", "R009_ai_violation",
+            "total_ai_violation_score", "ai_confidence_level", "ai_violation_severity"]
+register(Query("layered_rules", lambda p: p.layered_violations, _LAYERED, "layered", ["layered"]))
 register(Query("lender_stats", lambda p: _sel(p.lender_stats, LENDER_STAT_COLUMNS), LENDER_STAT_COLUMNS,
                "lender_stats", ["lender_stats"]))
 
@@ -365,6 +370,8 @@ register(Query("explanations",
 register(Query("lender_risk_summary", lambda p: _sel(p.summary, SUMMARY_COLUMNS), SUMMARY_COLUMNS, "summary", ["summary"]))
 register(Query("validation", lambda p: _sel(p.validation, VALIDATION_COLUMNS), VALIDATION_COLUMNS, "validation", ["validation"]))
 register(Query("performance_metrics", lambda p: p.metrics, METRIC_COLUMNS, "metrics", ["metrics"]))
+_ROC_COLS = ["level", "positives", "negatives", "distinct_scores", "roc_area", "balanced_accuracy"]
+register(Query("roc_area", lambda p: p.roc, _ROC_COLS, "roc", ["roc"]))
 register(Query("top5_flagged_per_lender", lambda p: report.flagged_samples(p.assessment, p.summary), SAMPLE_COLUMNS,
                "samples", ["samples"], ["lei", "state_code", "CAST(sample_rank AS INTEGER) AS sample_rank"] + report.SAMPLE_FIELDS))
 register(Query("compliance_report", lambda p: p.report(nested_samples=False), REPORT_COLUMNS, "report", ["report"]))
