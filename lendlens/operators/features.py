@@ -42,6 +42,13 @@ def clean_applications(
 
     ``hashed_key=True`` when ``order_key`` is a content hash (CSV input) rather
     than a dense row id (see :func:`lendlens.operators.ids.number_within`).
+    """
+    cleaned = clean_rows(raw, states, order_key)
+    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width, hashed_key=hashed_key)
+
+
+def clean_rows(raw: DataFrame, states: Sequence[str] = AUDIT_STATES, order_key: str = "source_key") -> DataFrame:
+    """The valid rows without an id yet.
 
     Sentinel checks are case-sensitive where the audit's are (``rate_spread``
     row filter), case-insensitive where it upper-cases; numbers that still do
@@ -57,7 +64,7 @@ def clean_applications(
     )
     income_ok = ~F.col("income").isin(*SENTINELS) & F.col("income").isNotNull()
     spread_ok = ~F.upper(F.col("rate_spread")).isin(*SENTINELS)
-    cleaned = kept.select(
+    return kept.select(
         "lei", "activity_year", "state_code", "county_code", "census_tract",
         F.when(F.col("applicant_ethnicity_1").isin(*VALID_ETHNICITY), F.col("applicant_ethnicity_1")).alias("applicant_ethnicity_1"),
         F.when(F.col("applicant_race_1").isin(*VALID_RACE), F.col("applicant_race_1")).alias("applicant_race_1"),
@@ -77,7 +84,6 @@ def clean_applications(
         "action_taken", "denial_reason_1", "denial_reason_2", "denial_reason_3",
         order_key,
     )
-    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width, hashed_key=hashed_key)
 
 
 def amortized_dti(

@@ -117,9 +117,13 @@ class AuditPipeline:
             buckets=self.buckets if (bucket_by and self.bucket_stages) else 0, table_prefix=f"lendlens_{self._run_id}",
         )
 
-    def store_csv(self, df: DataFrame) -> str:
+    def stage_path(self, name: str) -> str:
+        """Where this run keeps a table of its own."""
+        return os.path.join(self._root(), name)
+
+    def store_csv(self, df: DataFrame, name: str = "csv") -> str:
         """Write header-led CSV files into this run's stage folder; returns their folder."""
-        path = os.path.join(self._root(), "csv")
+        path = self.stage_path(name)
         df.write.mode("overwrite").option("header", True).csv(path)
         return path
 

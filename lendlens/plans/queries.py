@@ -41,7 +41,7 @@ QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded",), "similar_pairs": ("pairs",),
     "text_embedding_assembly": ("profiles",), "text_similar_pairs": ("profiles", "profiles"),
     "similar_pairs_both_directions": ("embedded", "embedded"), "rule_catalogue": ("violations",),
-    "csv_applications": (), "csv_rejects": (), "report_nested_samples": ("report",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
+    "csv_applications": (), "csv_rejects": (), "stable_ids": (), "report_nested_samples": ("report",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
     "centroid_distance": ("clusters",), "sigma_outliers": ("clusters",), "cluster_disparity": ("clusters",),
     "rule_violations": ("violations",), "lender_stats": ("lender_stats",), "two_proportion_z": ("lender_stats",),
     "disparate_impact": ("statistics",), "evidence_score": ("statistics",), "statistical_analysis": ("statistics",),
@@ -184,6 +184,28 @@ _CSV_COLUMNS = [c for c in CLEAN_COLUMNS if c != "application_id"]
 register(Query("csv_applications", _csv, _CSV_COLUMNS, "cleaned", ["cleaned"]))
 
 
+_FIRST_LOAD = "source_key % 3 <> 0"  # the rows whose files arrive first
+STABLE_COLUMNS = [*CLEAN_COLUMNS, "first_load"]
+
+
+def _stable_ids(p: AuditPipeline) -> DataFrame:
+    """Two loads of CSV files: two thirds of the applications first, then those files and the others. The result is
+    the second load, with the ids that the first one gave."""
+    from ..operators.features import clean_rows
+    from ..operators.register import load_applications
+    from ..sources.raw import RAW_COLUMNS, SOURCE_KEY, read_raw_csv
+
+    first = p.store_csv(p.raw.where(_FIRST_LOAD).select(*RAW_COLUMNS), "csv_first")
+    added = p.store_csv(p.raw.where(f"NOT ({_FIRST_LOAD})").select(*RAW_COLUMNS), "csv_added")
+    for files in ([first], [first, added]):
+        rows = clean_rows(read_raw_csv(p.spark, files)).drop(SOURCE_KEY)
+        loaded = load_applications(rows, p.stage_path("id_register"))
+    return loaded
+
+
+register(Query("stable_ids", _stable_ids, STABLE_COLUMNS, "stable_ids", ["stable_ids"]))
+
+
 def _csv_rejects(p: AuditPipeline) -> DataFrame:
     """Counts by reason of a CSV scan with planted faults: by order key modulo 50, rows cut short (7), with a field
     too many (21), with text for the loan amount (13) or for the action (33)."""
