@@ -9,8 +9,8 @@ from each other; :func:`merge_all` therefore runs the same agenda for all
 distinct words of an Arrow batch at once, one merge a word and round.
 
 Encoding and decoding are one pass over the texts, without shuffle; memory is that
-of one batch. Every ``check_every``-th document (by hash) of each batch is held
-against the sentencepiece library, and a difference stops the job.
+of one batch. All distinct words of each batch, and every ``check_every``-th document
+(by hash) as a whole, are held against the sentencepiece library; a difference stops the job.
 """
 
 from __future__ import annotations
@@ -190,8 +190,10 @@ def merge_all(symbols: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary)
     return result, np.append(0, ends)
 
 
-def encode_batch(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of every text, one text after the other, and the texts' offsets."""
+def encode_batch(column: pa.Array, vocabulary: Vocabulary, verify: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of every text, one text after the other, and the texts' offsets.
+
+    ``verify`` holds the ids of every distinct word against the library."""
     data, offsets = arrays.column_bytes(column)
     sign = SPACE.encode()
     if (data == sign[0]).any() and sign in (whole := data.tobytes()):  # a space sign in the text counts as a space
@@ -232,12 +234,26 @@ def encode_batch(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray,
         longer[to[:-1][known]] = merged[known]
         longer[arrays.ranges(to[:-1][wide], size[wide])] = vocabulary.byte[np.frombuffer(b"".join(encoded), np.uint8)]
         merged, at = longer, to[at]
+    if verify:
+        _check_words(raw, np.append(0, np.cumsum(sizes)), merged, at, vocabulary)
     tokens = np.diff(at)[kind]
     ids = merged[arrays.ranges(at[:-1][kind], tokens)]
     upto = np.append(0, np.cumsum(tokens))
     return ids, upto[np.searchsorted(starts, offsets)]
 
 
+def _check_words(raw: np.ndarray, offsets: np.ndarray, ids: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> None:
+    """Words (bytes and ids) against the library, which takes them as one text with a
+    line a word: a new line starts a word, as it does in :func:`encode_batch`."""
+    text = np.insert(raw, offsets[:-1], 10).tobytes().decode()
+    lead, two = (encode_batch(pa.array([t]), vocabulary)[0] for t in ("\n", "\n\n"))
+    line = two[len(lead) :]
+    between = np.repeat(at[1:-1], len(line))
+    own = np.concatenate([lead, np.insert(ids, between, np.tile(line, len(at) - 2))]).tolist()
+    if own != vocabulary.library.encode(text, num_threads=1) or decode(own, vocabulary) != vocabulary.library.decode(own):
+        raise ValueError("ids or text differ from the sentencepiece library's")
+
+
 def decode(ids: list[int], vocabulary: Vocabulary) -> str:
     """The text of a list of ids: pieces with space signs as spaces, byte pieces as
     UTF-8 (a byte that is none gives U+FFFD), without the space put in front."""
@@ -282,9 +298,9 @@ def encode(docs: DataFrame, model: str, check_every: int = 64) -> DataFrame:
 
 
 def checked(column: pa.Array, vocabulary: Vocabulary, check_every: int) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`encode_batch`, with every ``check_every``-th text (by its checksum) held
-    against the library."""
-    ids, at = encode_batch(column, vocabulary)
+    """:func:`encode_batch` with all distinct words held against the library, and every
+    ``check_every``-th whole text (by its checksum) as well; 0 checks nothing."""
+    ids, at = encode_batch(column, vocabulary, verify=check_every > 0)
     for k in range(len(column)) if check_every else ():
         text = column[k].as_py()
         if zlib.crc32(text.encode()) % check_every == 0:

@@ -146,6 +146,19 @@ def test_sentencepiece_equals_library(texts):
         assert own == vocabulary.library.encode(text) and sp_codec.decode(own, vocabulary) == vocabulary.library.decode(own)
 
 
+def test_every_distinct_word_is_checked(texts):
+    vocabulary = sp_codec.Vocabulary(sp_codec.default_model())
+    every = EDGE + random_texts("ab e\n\t  \u2581é日🙂\x00\x01<s>'123 .ththeee\u200b", 300, 60) + [t or "" for t in texts.values()]
+    plain, checked = (sp_codec.encode_batch(pa.array(every), vocabulary, verify=v) for v in (False, True))
+    assert all((a == b).all() for a, b in zip(plain, checked, strict=True))
+    for some in ([], [""], ["", ""], ["\n"], [" "], ["a"]):
+        sp_codec.encode_batch(pa.array(some, pa.string()), vocabulary, verify=True)
+    word = pa.array(["many plain words and one thing"])
+    vocabulary.merge = lambda left, right, what=0: np.full(len(left), sp_codec._NONE, np.int32)  # merges nothing
+    with pytest.raises(ValueError, match="library"):
+        sp_codec.encode_batch(word, vocabulary, verify=True)
+
+
 def test_agenda_equals_rounds():
     vocabulary = sp_codec.vocabulary_of(sp_codec.default_model())
     for text in random_texts("thean ", 200, 30):
