@@ -73,9 +73,10 @@ def build_index(docs: DataFrame) -> DataFrame:
     return common.stage(rows.mapInArrow(post, schema), "postings")
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, np.ndarray]]]:
     """The test items (id as text, word hashes) in blocks of bounded size. Items
-    without words are left out; rows of equal item_id are separate phrases of one item."""
+    without words are left out; rows of equal item_id are separate phrases of one item,
+    and so are rows without an id."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +85,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(parts, pa.binary())], names=["item_id", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), common.text_or_empty("text").alias("text"))
-    rows = rows.filter("item_id IS NOT NULL").mapInArrow(hashed, "item_id string, words binary")
+    rows = rows.mapInArrow(hashed, "item_id string, words binary")
     block, size = [], 0
     for row in rows.filter("length(words) > 0").toLocalIterator():
         block.append((row["item_id"], np.frombuffer(row["words"], "<u8")))
@@ -201,7 +202,7 @@ def _search_block(row: dict, items: list[tuple[str, np.ndarray]], rare: list[np.
                 ends.append(found + size)
                 for d in np.unique(np.searchsorted(starts, found, side="right") - 1):
                     found_items[d].add(item)
-        for d in _near(lists, rare[k], starts, counts) if rare is not None else ():
+        for d in _near(lists, rare[k], starts, counts) if rare is not None and item is not None else ():
             near[d].add(item)
     spans: list[list[dict]] = [[] for _ in range(n)]
     if begins:
@@ -213,7 +214,8 @@ def _search_block(row: dict, items: list[tuple[str, np.ndarray]], rare: list[np.
         for x, y in zip(b[new], e[last], strict=True):
             d = int(np.searchsorted(starts, x, side="right") - 1)
             spans[d].append({"start": int(x - starts[d]), "end": int(y - starts[d])})
-    return spans, [sorted(x) for x in found_items], [sorted(x) for x in near]
+    ids = lambda x: sorted(x - {None}) + [None] * (None in x)
+    return spans, [ids(x) for x in found_items], [ids(x) for x in near]
 
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -221,7 +223,8 @@ SPANS = "array<struct<start:bigint,end:bigint>>"
 
 def search(index: DataFrame, benchmark: DataFrame, proximity: bool = True) -> DataFrame:
     """A row for each indexed document: doc_id, text_hash, n_words, ``hits`` (merged
-    spans of hit words), ``items`` (ids with an occurring phrase) and ``near`` (ids
+    spans of hit words), ``items`` (ids with an occurring phrase, last a null for
+    items without an id) and ``near`` (ids, nulls left out,
     whose rarest words all meet within NEAR_SPAN words, in any order; empty without
     ``proximity``, which counts the items' terms over the whole index first)."""
     parts = []
@@ -272,9 +275,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, proximity: bool = True) -> Data
     """:func:`search` over a fresh index, with ``n_hit``, ``n_items`` and
     ``contaminated`` (n_hit > 0 and 20 * n_hit >= n_words).
 
-    A null or empty text has no words; a null item_id or an item without words is
-    left out; an empty benchmark hits nothing; rows of equal doc_id and text each
-    give a row.
+    A null or empty text has no words; items without an item_id hit words and count as
+    one item, which has no id to list; an item without words is left out; an empty
+    benchmark hits nothing; rows of equal doc_id and text each give a row.
     """
     found = search(build_index(docs), benchmark, proximity)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))

@@ -163,8 +163,9 @@ def brute_hits(texts, items):
                 for j in range(len(w) - n + 1):
                     if w[j : j + n] == p[i : i + n]:
                         hit.update(range(j, j + n))
-                        found.add(str(item))
-        out[k] = (len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w))
+                        found.add(item)
+        ids = sorted(str(x) for x in found if x is not None) + [None] * (None in found)
+        out[k] = (len(w), len(hit), ids, bool(hit) and 20 * len(hit) >= len(w))
     return out
 
 
@@ -174,15 +175,18 @@ def test_decontamination(spark, docs, texts, monkeypatch, block):
     six, twelve = plain_words(texts[6]), plain_words(texts[12])
     items = [(1, " ".join(six[10:40])), (2, "One, TWO three!"), (3, " ".join(twelve[5:18])), (4, None), (5, " .. "), (None, "w1x")]
     items += [(6, " ".join(six[20:30] + ["zzz"])), (7, "nothing like this is found anywhere"), (1, " ".join(six[38:55])), (10, six[3])]
+    items += [(None, " ".join(twelve[30:50])), (None, " ".join(twelve[40:60]))]  # without an id: one item
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     small = {k: t for k, t in texts.items() if k != 40}
     got = rows_of(decontam.judge(docs.filter("doc_id <> 40 OR doc_id IS NULL"), bench))
-    want = brute_hits(small, [x for x in items if x[0] is not None])
+    want = brute_hits(small, items)
+    assert any(None in w[2] for w in want.values())
     assert len(got) == docs.count() - 1
     for r in got:
         k = r["doc_id"] or 1
         assert (r["n_words"], r["n_hit"], r["items"], r["contaminated"]) == want[k], k
-        assert not set(r["items"]) - {"2", "10"} - set(r["near"])
+        assert r["n_items"] == len(r["items"]) and None not in r["near"]
+        assert not set(r["items"]) - {"2", "10", None} - set(r["near"])
     left = decontam.build_index(docs.limit(0))
     assert decontam.search(left, bench).count() == 0
     none = rows_of(decontam.judge(docs.filter("doc_id = 6"), bench.limit(0)))
