@@ -6,15 +6,15 @@ indexes. Spark has no persistent vector index; the index becomes a join plan:
 
 1. a K-means coarse quantiser (``nlist`` centres, ``pyspark.ml``) is trained
    on the unit-normalised base vectors; every base row gets its cell;
-2. each query row computes its distance to the ``nlist`` centres (an
-   Arrow-batched pandas UDF doing one matrix product per batch; the centre
-   matrix is bounded by the ``nlist`` parameter) and probes its ``nprobe``
-   nearest cells: an equi-join on the cell id, exact distances, top-k per
-   query (a partial top-k before the shuffle);
+2. base rows lie in pieces of neighbouring cells and queries in blocks, both of
+   bounded size. Each query row computes its distance to the ``nlist`` centres
+   (the centre matrix is bounded by the ``nlist`` parameter), and goes to the
+   pieces that hold its ``nprobe`` nearest cells; a task takes one block and one
+   piece, and hands on the k nearest rows of every query, not its pairs;
 3. ``exact=True`` adds a second round that makes the result exact: a cell
    whose lower bound ``|q - c| - radius(c)`` is below the query's current
-   k-th distance may still hold a closer row, so exactly those cells are
-   joined too and the top-k is recomputed. Nothing is capped.
+   k-th distance may still hold a closer row, so all of those cells are
+   searched and the top-k is taken from them. Nothing is capped.
 
 Distances are cosine (``1 - cos``); on unit vectors the Euclidean distance is
 monotone in it, which is what the bounds use.
@@ -24,12 +24,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit
-from ..functions.vectors import dot, normalize
+from ..functions.vectors import normalize
+from ..sources.sinks import scratch_table
 from .kmeans import kmeans
 
 
@@ -59,22 +63,6 @@ def kmeans_assign(df: DataFrame, vector_col: str, id_col: str, k: int = 50, stan
     return kmeans(df, id_col, vector_col, k, standardize=standardize)
 
 
-def _centre_distances(centres, dim: int):
-    """pandas UDF: Euclidean distance of each unit vector to every centre."""
-    import numpy as np
-
-    cm = np.asarray(centres, dtype=float)
-    c_sq = (cm * cm).sum(axis=1)
-
-    @F.pandas_udf("array<double>")
-    def dists(vecs: pd.Series) -> pd.Series:
-        x = np.vstack([np.asarray(v, dtype=float) for v in vecs]) if len(vecs) else np.zeros((0, dim))
-        d2 = (x * x).sum(axis=1)[:, None] - 2.0 * x @ cm.T + c_sq[None, :]
-        return pd.Series(list(np.sqrt(np.maximum(d2, 0.0))))
-
-    return dists
-
-
 def ivf_index(base: DataFrame, id_col: str, vector_col: str, nlist: int = 64, seed: int = 42):
     """Train the coarse quantiser and assign every base row to a cell.
 
@@ -107,10 +95,6 @@ def ivf_index(base: DataFrame, id_col: str, vector_col: str, nlist: int = 64, se
     return cells, centres, radii
 
 
-def _cosine_unit(a: Column, b: Column) -> Column:
-    return dlit(1.0) - dot(a, b)
-
-
 #: Queries on which the probes of a recall goal are measured: bounds the driver and the brute-force work.
 RECALL_SAMPLE = 400
 
@@ -121,8 +105,6 @@ def probes_for_recall(queries: DataFrame, cells: DataFrame, centres: list[list[f
     standard errors, reaches ``recall`` on the sample: the RECALL_SAMPLE query rows
     ``(_qid, _qunit)`` of smallest id hash, searched by brute force (linear in the base;
     a partition hands on k rows a sampled query). Without true neighbours: one."""
-    import numpy as np
-
     sample = queries.where(F.col("_qid").isNotNull()).orderBy(F.xxhash64("_qid"), "_qid").limit(RECALL_SAMPLE).collect()
     if not sample or not centres:
         return 1
@@ -177,48 +159,200 @@ def knn_join(queries: DataFrame, base: DataFrame, *, query_id: str, base_id: str
         nlist = max(1, math.isqrt(base.count()))
     nprobe = nlist if nprobe is None else nprobe
     cells, centres, radii = ivf_index(base, base_id, vector_col, nlist, seed)
-    dim = len(centres[0]) if centres else 0
-    dists = _centre_distances(centres, dim)
     q = queries.where(F.col(vector_col).isNotNull()).select(
         F.col(query_id).alias("_qid"), normalize(F.col(vector_col)).alias("_qunit")
     )
     if recall is not None:
         nprobe = probes_for_recall(q, cells, centres, recall, k, exclude_self)
-    q = q.withColumn("_cdist", dists(F.col("_qunit")))
-    ranked_cells = F.transform(
-        F.array_sort(F.transform(F.col("_cdist"), lambda d, i: F.struct(d.alias("d"), i.alias("cell")))),
-        lambda s: s["cell"],
-    )
-    probes = q.select("_qid", "_qunit", "_cdist", F.explode(F.slice(ranked_cells, 1, nprobe)).alias("_cell"))
-
-    def score(probe_rows: DataFrame) -> DataFrame:
-        j = probe_rows.join(cells, "_cell")
-        if exclude_self:
-            j = j.where(F.col("_qid") != F.col("_bid"))
-        return j.select("_qid", "_bid", _cosine_unit(F.col("_qunit"), F.col("_unit")).alias("cosine_distance"))
+    if exclude_self:  # an unknown id is neither another row's nor its own
+        q, cells = q.where(F.col("_qid").isNotNull()), cells.where(F.col("_bid").isNotNull())
+    if not centres:
+        return _named(q.join(cells, F.lit(False)).select("_qid", "_bid", F.lit(0.0).alias("cosine_distance"),
+                                                         F.lit(1).alias("neighbour_rank")), query_id)
+    # rows in pieces of neighbouring cells, queries in blocks: both bounded, and written
+    # once, so that a row keeps its piece whatever is computed again
+    parts = lambda df: _parts(df.count())
+    n_pieces, n_blocks = parts(cells), parts(q)
+    pieces = cells.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(n_pieces, "_cell", "_n").drop("_n")
+    pieces = scratch_table(pieces.withColumn("_piece", F.spark_partition_id()), "knn_pieces")
+    blocks = scratch_table(q.repartition(n_blocks).withColumn("_block", F.spark_partition_id()), "knn_blocks")
+    held = [(r["_piece"], r["_cell"]) for r in pieces.select("_piece", "_cell").distinct().collect()]
 
     def top(scored: DataFrame) -> DataFrame:
         w = Window.partitionBy("_qid").orderBy("cosine_distance", "_bid")
         return scored.withColumn("neighbour_rank", F.row_number().over(w)).where(F.col("neighbour_rank") <= k)
 
-    first = top(score(probes))
-    if exact:
+    first = top(_search(blocks, pieces, n_blocks, held, Probes(centres, nprobe), k, exclude_self))
+    if exact and nprobe < len(centres):
         # k-th distance per query (Euclidean on unit vectors: sqrt(2 * cosine distance));
         # a query with fewer than k hits must look everywhere (bound = +inf).
         kth = first.groupBy("_qid").agg(
             F.max("cosine_distance").alias("_dk_cos"), F.count(F.lit(1)).alias("_found")
         ).select("_qid", F.when(F.col("_found") >= k, F.sqrt(dlit(2.0) * F.greatest(F.col("_dk_cos"), dlit(0.0))))
                  .otherwise(dlit(float("inf"))).alias("_dk"))
-        probed = probes.select("_qid", "_cell").withColumn("_probed", F.lit(True))
-        all_cells = q.select("_qid", "_qunit", F.posexplode("_cdist").alias("_cell", "_cd"))
-        extra = (
-            all_cells.join(kth, "_qid").join(radii, "_cell")
-            .join(probed, ["_qid", "_cell"], "left_anti")
-            .where(F.col("_cd") - F.col("_radius") <= F.col("_dk") + dlit(1e-12))
-            .select("_qid", "_qunit", "_cell")
-        )
-        second = score(extra)
-        first = top(first.select("_qid", "_bid", "cosine_distance").unionByName(second))
-    return first.select(
-        F.col("_qid").alias(query_id), F.col("_bid").alias("neighbour_id"), "cosine_distance", "neighbour_rank"
+        bounded = blocks.join(kth, blocks["_qid"].eqNullSafe(kth["_qid"]), "left").select(
+            blocks["_qid"], "_qunit", "_block", F.coalesce("_dk", dlit(float("inf"))).alias("_dk"))
+        radius = {r["_cell"]: r["_radius"] for r in radii.collect()}  # nlist numbers
+        every = Probes(centres, nprobe, [radius.get(i, 0.0) for i in range(len(centres))])
+        first = top(_search(bounded, pieces, n_blocks, held, every, k, exclude_self))
+    return _named(first, query_id)
+
+
+def _named(found: DataFrame, query_id: str) -> DataFrame:
+    return found.select(F.col("_qid").alias(query_id), F.col("_bid").alias("neighbour_id"), "cosine_distance", "neighbour_rank")
+
+
+#: Rows of a piece or block at most (about), and above which there are several; query rows and
+#: distances of one matrix product.
+PART_ROWS, SPLIT_ROWS, PARTS = 32_768, 1024, 4
+TILE_ROWS, TILE_CELLS = 256, 1 << 22
+#: Above the rounding of a matrix product of unit vectors.
+_SLACK = 1e-9
+
+
+def _parts(rows: int) -> int:
+    """Pieces of a table: a few for a small one (so that cores have work), then by its rows."""
+    return max(1, min(PARTS, -(-rows // SPLIT_ROWS)), -(-rows // PART_ROWS))
+
+
+class Probes:
+    """Which cells a query searches: the ``nprobe`` nearest centres, or, with the cells'
+    radii, those that may hold a row within the query's distance ``_dk``."""
+
+    def __init__(self, centres: list[list[float]], nprobe: int, radii: list[float] | None = None):
+        self.centres, self.nprobe, self.radii = centres, nprobe, radii
+
+    def cells(self, q, bound):
+        """(queries x cells) booleans, and each query's nearest cell."""
+        c = np.asarray(self.centres, dtype=float)
+        with np.errstate(invalid="ignore"):
+            far = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2.0 * q @ c.T + (c * c).sum(axis=1)[None, :], 0.0))
+        if self.radii is not None:  # written so that a distance that is no number prunes nothing
+            return ~(far - np.asarray(self.radii)[None, :] > bound[:, None] + 1e-6), far.argmin(axis=1)
+        if self.nprobe >= len(c):
+            return np.ones(far.shape, bool), far.argmin(axis=1)
+        wanted = np.zeros(far.shape, bool)
+        np.put_along_axis(wanted, np.argsort(far, axis=1, kind="stable")[:, : self.nprobe], True, axis=1)
+        return wanted, far.argmin(axis=1)
+
+
+def _matrix(column):
+    """An Arrow column of equally long lists as a matrix."""
+    column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=float).reshape(len(column), -1)
+
+
+def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude_self: bool):
+    """(query place, base place, distance) of every query's ``k`` nearest rows (ties: lower rank)
+    among those of its ``wanted`` cells. Matrix products pick the rows that can be among them; their
+    distances are summed from left to right, as SQL does, and ranked exactly."""
+    order = np.lexsort((base_rank, cell))
+    base, base_rank, cell = base[order], base_rank[order], cell[order]
+    # of equal vectors of a cell only the first can count: k, and as many as the own id has rows
+    copies = int(np.unique(base_rank, return_counts=True)[1].max()) if exclude_self and len(base) else 0
+    same = np.unique(np.ascontiguousarray(base).view(np.int64).reshape(len(base), -1), axis=0, return_inverse=True)[1].ravel()
+    grouped = np.lexsort((base_rank, same, cell))
+    new = np.ones(len(grouped), bool)
+    new[1:] = (same[grouped][1:] != same[grouped][:-1]) | (cell[grouped][1:] != cell[grouped][:-1])
+    place = np.arange(len(grouped)) - np.maximum.accumulate(np.where(new, np.arange(len(grouped)), 0))
+    kept = np.sort(grouped[place < k + copies])
+    order, base, base_rank, cell = order[kept], base[kept], base_rank[kept], cell[kept]
+    numbers, begin = np.unique(cell, return_index=True)
+    sizes = np.diff(np.append(begin, len(cell)))
+    by_rank = np.argsort(base_rank, kind="stable")
+    sorted_rank = base_rank[by_rank]
+    out = []
+    queries = np.argsort(near, kind="stable")  # queries near one another want the same cells
+    for at in range(0, len(queries), TILE_ROWS):
+        tile = queries[at : at + TILE_ROWS]
+        want = wanted[tile][:, numbers]
+        some = want.any(axis=0)
+        columns = np.flatnonzero(np.repeat(some, sizes))
+        if not len(columns):
+            continue
+        rows = len(columns) if len(tile) * len(columns) <= TILE_CELLS else max(1, TILE_CELLS // len(tile))
+        for start in range(0, len(columns), rows):
+            part = columns[start : start + rows]
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = 1.0 - q[tile] @ base[part].T
+            d[np.isnan(d)] = np.inf  # ranked last, below
+            use = np.repeat(want[:, some], sizes[some], axis=1)[:, start : start + rows]
+            if exclude_self:
+                low, high = (np.searchsorted(sorted_rank, q_rank[tile], side=s) for s in ("left", "right"))
+                for i in np.flatnonzero(high > low):
+                    own = by_rank[low[i] : high[i]]
+                    pos = np.searchsorted(part, own)
+                    hit = pos < len(part)
+                    pos = pos[hit][part[pos[hit]] == own[hit]]
+                    use[i, pos] = False
+            score = np.where(use, d, np.inf)
+            if len(part) > k:
+                limit = np.partition(score, k - 1, axis=1)[:, k - 1]
+                use &= score <= limit[:, None] + _SLACK
+            a, b = np.nonzero(use)
+            if not len(a):
+                continue
+            v, w = q[tile[a]], base[part[b]]
+            with np.errstate(invalid="ignore", over="ignore"):
+                total = v[:, 0] * w[:, 0] if v.shape[1] else np.zeros(len(a))
+                for j in range(1, v.shape[1]):
+                    total = total + v[:, j] * w[:, j]
+            out.append((tile[a], part[b], 1.0 - total))
+            if start + rows >= len(columns) or len(out) > 64:
+                out = [_best(out, base_rank, k)]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    a, b, d = _best(out, base_rank, k)
+    return a, order[b], d
+
+
+def _best(found, rank, k: int):
+    """The first ``k`` of every query by distance (what is no number last) and rank."""
+    a, b, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    o = np.lexsort((rank[b], d, a))
+    a, b, d = a[o], b[o], d[o]
+    first = np.arange(len(a)) - np.searchsorted(a, a, side="left") < k
+    return a[first], b[first], d[first]
+
+
+def _search(blocks: DataFrame, pieces: DataFrame, n_blocks: int, held: list[tuple[int, int]], probes: Probes, k: int,
+            exclude_self: bool) -> DataFrame:
+    """``(_qid, _bid, cosine_distance)``: for every query row and piece its ``k`` nearest rows. A
+    task holds one block of queries and one piece; a query goes to the pieces of its cells only."""
+    n_cells, n_pieces = len(probes.centres), max((p for p, _ in held), default=0) + 1
+    where = np.zeros((n_cells, n_pieces), bool)
+    for piece, cell in held:
+        where[cell, piece] = True
+
+    @F.arrow_udf("array<int>")
+    def asked(vectors: pa.Array, bound: pa.Array) -> pa.Array:
+        if not len(vectors):
+            return pa.array([], pa.list_(pa.int32()))
+        wanted, _ = probes.cells(_matrix(pa.chunked_array([vectors])), bound.to_numpy(zero_copy_only=False))
+        sent = (wanted.astype(np.float32) @ where.astype(np.float32)) > 0
+        ends = np.append(0, np.cumsum(sent.sum(axis=1)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(sent)[1], pa.int32()))
+
+    bound = F.col("_dk") if "_dk" in blocks.columns else dlit(0.0)
+    ask = blocks.select("_qid", "_qunit", "_block", bound.alias("_dk"))
+    ask = ask.withColumn("_piece", F.explode(asked("_qunit", "_dk")))
+    dealt = pieces.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    id_types = blocks.schema["_qid"].dataType.simpleString(), pieces.schema["_bid"].dataType.simpleString()
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["_qid", "_bid", "cosine_distance"]
+        kinds = [left.schema.field("_qid").type, right.schema.field("_bid").type, pa.float64()]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names=names)
+        ids = pa.concat_arrays([c.cast(right.schema.field("_bid").type) for t, n in ((left, "_qid"), (right, "_bid")) for c in t[n].chunks])
+        rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        q = _matrix(left["_qunit"])
+        wanted, near = probes.cells(q, left["_dk"].to_numpy())
+        a, b, d = nearest_rows(q, rank[: len(q)], wanted, near, _matrix(right["_unit"]), rank[len(q) :],
+                               right["_cell"].to_numpy().astype(np.int64), k, exclude_self)
+        return pa.table([left["_qid"].take(pa.array(a)), right["_bid"].take(pa.array(b)), pa.array(d)], names=names)
+
+    return ask.groupBy("_block", "_piece").cogroup(dealt.groupBy("_block", "_piece")).applyInArrow(
+        nearest, f"_qid {id_types[0]}, _bid {id_types[1]}, cosine_distance double"
     )

@@ -72,3 +72,50 @@ def test_registered_ivf_reaches_recall(spark, folder):
     recall = sum(r.neighbour_id in want[r.vec_id] for r in got) / (queries.KNN_K * len(want))
     print(f"{folder} recall {recall:.4f}")
     assert recall >= 0.9
+
+
+def test_searches_hand_on_k_rows_a_query_and_piece_not_pairs(spark, monkeypatch):
+    """Copies, repeated ids, an unknown id, a vector of length zero: all cells, the exact search and brute force
+    agree by SQL's ranking, and the tasks return at most k rows for each query row and piece."""
+    from lendlens.operators import vector_index
+
+    rnd = np.random.default_rng(5)
+    some = [[float(x) for x in rnd.normal(size=6)] for _ in range(300)]
+    rows = [(i, v) for i, v in enumerate(some)] + [(1000 + i, some[7]) for i in range(40)]
+    rows += [(3, some[50]), (3, some[3]), (None, some[9]), (2000, [0.0] * 6), (2001, None)]
+    df = spark.createDataFrame(rows, "vid long, vec array<double>")
+    monkeypatch.setattr(vector_index, "SPLIT_ROWS", 100)
+    searched = []
+    inner = vector_index._search
+    monkeypatch.setattr(vector_index, "_search", lambda *a: searched.append(inner(*a)) or searched[-1])
+
+    def normal(v):
+        n = float(np.sqrt(sum(x * x for x in v)))
+        return [x / n for x in v] if n > 0 else v
+
+    held = [(i, normal(v)) for i, v in rows if i is not None and v is not None]
+
+    def distance(v, w):
+        total = 0.0
+        for x, y in zip(v, w):
+            total += x * y
+        return 1.0 - total
+
+    want = {}
+    for q, v in held:
+        want.setdefault(q, []).extend((distance(v, w), b) for b, w in held if b != q)
+    want = {q: [round(d, 12) for d, _ in sorted(x)[:4]] for q, x in want.items()}
+    ids = {}
+    for q, v in held:
+        ids.setdefault(q, []).extend((distance(v, w), b) for b, w in held if b != q)
+    ids = {q: [b for _, b in sorted(x)[:4]] for q, x in ids.items()}
+    for more in ({"exact": True, "nprobe": 1}, {"exact": False, "nprobe": None}):
+        out = knn_join(df, df, query_id="vid", base_id="vid", vector_col="vec", k=4, nlist=9, **more).collect()
+        got, near = {}, {}
+        for r in sorted(out, key=lambda r: (r.vid, r.neighbour_rank)):
+            got.setdefault(r.vid, []).append(round(r.cosine_distance, 12))
+            near.setdefault(r.vid, []).append(r.neighbour_id)
+        assert got == want and near == ids
+    for found in searched:
+        assert found.count() <= 4 * 4 * len(held)
+        assert "CoGroup" in found._jdf.queryExecution().toString()
