@@ -35,6 +35,7 @@ LOAN_PRODUCTS = [
 ]
 LENDERS_PER_SUPPLIERS = 5  # lenders = count(supplier) div 5
 UNITS = "race eth sex inc rs act ag db lt lp oc dw pr ls tp min mi ti dr".split()
+FILTER_UNITS = "race act inc rs".split()
 # ------------------------------------------------------------------------------
 
 
@@ -58,8 +59,10 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         nation, customer.c_nationkey == nation.n_nationkey
     )
     k = F.col("o_orderkey")
-    # every unit is one column, computed once a row, that the branches below refer to
-    df = df.withColumns({f"_u_{salt}": md5_unit(k, salt) for salt in UNITS})
+    # every unit is one column, computed once a row, that the branches below refer to; those that row
+    # filters read are generated, or the filters would move below and compute them anew in each branch
+    df = df.withColumns({f"_u_{salt}": md5_unit(k, salt) for salt in UNITS if salt not in FILTER_UNITS})
+    df = df.select("*", F.inline(F.array(F.struct(*(md5_unit(k, salt).alias(f"_u_{salt}") for salt in FILTER_UNITS)))))
 
     def u(salt: str):
         return F.col(f"_u_{salt}")
