@@ -51,15 +51,15 @@ def _q(i: int) -> str:
     return f"quantized_dim{i + 1}"
 
 
-def lead_columns(vector_col: str = "profile_embedding", dims: int = GRID_DIMS) -> dict[str, Column]:
+def lead_columns(vector_col: str = "profile_embedding", dims: int = GRID_DIMS, name: str | None = None) -> dict[str, Column]:
     """Scalar copies of a vector's length and first ``dims`` coordinates.
 
     Stored next to the vector, they let the grid read a few doubles per row
     instead of the whole array (parquet cannot prune array elements; a text
-    embedding has hundreds of them)."""
-    v = F.col(vector_col)
-    cols = {f"{vector_col}_size": F.size(v)}
-    cols.update({f"{vector_col}_{i}": F.get(v, i) for i in range(dims)})
+    embedding has hundreds of them). ``name``: what they are named after, if not the column."""
+    v, name = F.col(vector_col), name or vector_col
+    cols = {f"{name}_size": F.size(v)}
+    cols.update({f"{name}_{i}": F.get(v, i) for i in range(dims)})
     return cols
 
 

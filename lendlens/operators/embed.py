@@ -13,9 +13,16 @@ Here an embedder is any of:
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+import itertools
+import re
+from collections import defaultdict
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +46,7 @@ def _token_hash(t: Column, dim: int) -> tuple[Column, Column]:
     return slot, sign
 
 
-def hash_embedding_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+def hash_embedding_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = 64, unique_ids: bool = False) -> DataFrame:
     """Feature-hashing embedding as sparse rows ``(id, slot, value)``.
 
     Token ``t`` adds ``+1`` or ``-1`` (md5 hex digit 9 even/odd) to slot
@@ -47,7 +54,14 @@ def hash_embedding_sparse(df: DataFrame, id_col: str, text_col: str, dim: int =
     are not emitted. Tokens are exploded and summed with a (partial + final)
     aggregate on ``(id, slot)``; the norm is a window over one document's
     non-zero slots (at most ``dim`` rows). All of it runs in generated code.
+
+    ``unique_ids``: every row has an id of its own, so a row's text is the whole
+    document and its vector needs no shuffle (:func:`hash_embedding`); otherwise
+    the texts of equal ids are one document.
     """
+    if unique_ids:
+        each = df.select(id_col, F.posexplode(hash_embedding(F.col(text_col), dim)).alias("slot", "value"))
+        return each.where(F.col("value") != 0)
     tok = df.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("_t"))
     slot, sign = _token_hash(F.col("_t"), dim)
     counts = (
@@ -60,38 +74,43 @@ def hash_embedding_sparse(df: DataFrame, id_col: str, text_col: str, dim: int =
     return counts.select(id_col, "slot", (F.col("_count") / norm).alias("value"))
 
 
-def _hash_vectors(texts, dim: int):
+_SPLIT = re.compile(r"[^a-z0-9]+")
+
+
+def _hash_matrix(texts: list[str], dim: int) -> np.ndarray:
     """The vectors of one Arrow batch: every distinct token is hashed once, and the signs
     are summed by array operations (same definition as the sparse form)."""
-    import hashlib
-    import re
-
-    import numpy as np
-
-    split = re.compile(r"[^a-z0-9]+")
-    vocabulary: dict[str, int] = {}
-    ids, sizes = [], []
-    for text in texts:
-        found = [vocabulary.setdefault(t, len(vocabulary)) for t in split.split(text.lower()) if t]
-        ids.extend(found)
-        sizes.append(len(found))
-    digests = [hashlib.md5(t.encode("utf-8")).hexdigest() for t in vocabulary]
-    slot = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
-    sign = np.array([1.0 - 2.0 * (int(d[8], 16) % 2) for d in digests])
-    vectors = np.zeros((len(sizes), dim))
-    if ids:
-        at = np.array(ids)
-        np.add.at(vectors, (np.repeat(np.arange(len(sizes)), sizes), slot[at]), sign[at])
+    vocabulary: dict[str, int] = defaultdict(itertools.count().__next__)
+    number = vocabulary.__getitem__
+    found = [_SPLIT.split(text.lower()) for text in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    at = np.fromiter(map(number, itertools.chain.from_iterable(found)), np.int64, int(sizes.sum()))
+    digests = [hashlib.md5(t.encode("utf-8")).digest() for t in vocabulary]
+    slot = np.array([int.from_bytes(d[:4], "big") % dim for d in digests], dtype=np.int64)
+    # the ninth hex digit is the upper half of the fifth byte; no token is empty
+    sign = np.array([(1.0 - 2.0 * ((d[4] >> 4) % 2)) if t else 0.0 for t, d in zip(vocabulary, digests, strict=True)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    vectors = np.bincount(row * dim + slot[at], weights=sign[at], minlength=len(sizes) * dim).reshape(len(sizes), dim)
     norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    return list(vectors / np.where(norms > 0, norms, 1.0))
+    return vectors / np.where(norms > 0, norms, 1.0)
 
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Dense ``array<double>`` form of the feature-hashing embedding. Summing by slot
     within a row would cost tokens x dim interpreted steps in the JVM, so this is an
-    Arrow-batched UDF that hashes each distinct token of a batch once. NULL text
-    gives NULL."""
-    return python_embedder(lambda s: _hash_vectors(s, dim))(text)
+    Arrow UDF that hashes each distinct token of a batch once. NULL text gives NULL."""
+
+    @F.arrow_udf("array<double>")
+    def _embed(texts: pa.Array) -> pa.Array:
+        present = texts.is_valid()
+        if not len(texts) or not pc.any(present).as_py():
+            return pa.nulls(len(texts), pa.list_(pa.float64()))
+        flat = _hash_matrix(texts.drop_null().to_pylist(), dim).ravel()
+        ends = np.append(0, np.cumsum(present.to_numpy(zero_copy_only=False))) * dim
+        mask = pc.invert(present) if texts.null_count else None
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat), mask=mask)
+
+    return _embed(text)
 
 
 def python_embedder(fn: Callable) -> Callable[[Column], Column]:
@@ -136,6 +155,11 @@ def _has_financials() -> Column:
     )
 
 
+def _has_text() -> Column:
+    """Neither null nor blank, in one look at the text (it is put together for this, if it isn't stored)."""
+    return F.coalesce(F.trim(F.col("profile_text")), F.lit("")) != ""
+
+
 def embed_applications(
     profiles: DataFrame,
     profile_embedder: Callable[[Column], Column] | None = None,
@@ -153,7 +177,7 @@ def embed_applications(
 
     prof = profile_embedder or (lambda t: hash_embedding(t, dim))
     fin = financial_embedder or (lambda t: hash_embedding(t, dim))
-    kept = profiles.where(F.col("profile_text").isNotNull() & (F.trim(F.col("profile_text")) != ""))
+    kept = profiles.where(_has_text())
     return kept.withColumns(
         {
             "profile_embedding": prof(F.col("profile_text")),
@@ -166,6 +190,7 @@ def attach_table_vectors(
     profiles: DataFrame,
     vectors: DataFrame,
     key_col: str = "source_key",
+    scalars: Callable[[str], dict[str, Column]] | None = None,
 ) -> DataFrame:
     """T3 from a vector table (adapter): profile vector = ``vectors[key mod E]``.
 
@@ -173,17 +198,23 @@ def attach_table_vectors(
     ``E`` (the vector count) is a scalar subquery, not a cross join; the
     lookup is an equi-join on ``vec_id`` that AQE broadcasts only when the
     vector table is measured small. The financial embedding is the numeric
-    :func:`financial_vector`.
+    :func:`financial_vector`. ``scalars`` names columns derived from a vector column
+    (:func:`clusters.lead_columns`); they are derived before the lookup, so a reader of
+    them alone moves no vectors.
     """
     n_vectors = vectors.select(F.count(F.lit(1)).cast("bigint")).scalar()
-    kept = profiles.where(F.col("profile_text").isNotNull() & (F.trim(F.col("profile_text")) != ""))
+    kept = profiles.where(_has_text())
     keyed = kept.withColumn("_vec_id", F.col(key_col) % n_vectors)
-    joined = keyed.join(vectors.withColumnRenamed("vec_id", "_vec_id"), "_vec_id", "left")
+    derived = scalars("vector") if scalars else {}
+    known = F.col("vector").isNotNull()
+    held = vectors.select(F.col("vec_id").alias("_vec_id"), "vector", known.alias("_known"), *(c.alias(n) for n, c in derived.items()))
+    joined = keyed.join(held, "_vec_id", "left")
     missing = F.raise_error(F.concat(F.lit("no vector with id "), F.col("_vec_id").cast("string")))
     return joined.withColumns(
         {
             # ids that are not 0..E-1 must not lose applications
-            "profile_embedding": F.when(F.col("vector").isNotNull(), F.col("vector")).otherwise(missing),
+            "profile_embedding": F.when(F.col("_known"), F.col("vector")).otherwise(missing),
+            **{n: F.when(F.col("_known"), F.col(n)).otherwise(missing) for n in derived},
             "financial_embedding": F.when(_has_financials(), financial_vector()),
         }
-    ).select(*EMBEDDING_COLUMNS)
+    ).select(*EMBEDDING_COLUMNS, *derived)

@@ -31,7 +31,7 @@ from ..sources import adapter, sinks
 # DAG): the pair self-join reads the applications on both sides, the clusters
 # aggregate and join back to them, the report filters and joins the summary.
 STAGE_INPUTS: dict[str, tuple[str, ...]] = {
-    "cleaned": (), "features": ("cleaned",), "profiles": ("features",), "embedded": ("profiles",),
+    "cleaned": (), "features": ("cleaned",), "profiles": ("features",), "embedded": ("profiles",), "text_embedded": ("profiles",),
     "pairs": ("embedded", "embedded"), "evidence": ("pairs",), "clusters": ("embedded", "embedded"),
     "violations": ("embedded", "clusters", "evidence"), "lender_stats": ("violations",),
     "statistics": ("lender_stats",), "assessment": ("violations", "statistics"), "summary": ("assessment",),
@@ -41,7 +41,7 @@ STAGE_INPUTS: dict[str, tuple[str, ...]] = {
     "roc": ("assessment", "validation", "validation", "metrics"),
     "export": ("assessment",), "run_summary": ("assessment", "pairs", "clusters"),
 }
-STORABLE = ("embedded", "pairs", "clusters", "violations", "layered", "statistics", "assessment", "summary")
+STORABLE = ("embedded", "text_embedded", "pairs", "clusters", "violations", "layered", "statistics", "assessment", "summary")
 
 
 def stages_to_store(targets: tuple[str, ...] | list[str]) -> set[str]:
@@ -182,14 +182,24 @@ class AuditPipeline:
         use_table = self.profile_embedder is None and (self._vectors is not None or self.sf_dir is not None)
         if use_table:
             vectors = self._vectors if self._vectors is not None else adapter.table_vectors(self.spark, self.sf_dir)
-            df = embed.attach_table_vectors(self.profiles, vectors)
+            # scalar copies of the vector length and lead coordinates: the grid
+            # clusters then read a few doubles per row, not the whole vector
+            df = embed.attach_table_vectors(self.profiles, vectors, scalars=lambda v: clusters.lead_columns(v, name="profile_embedding"))
         else:
             df = embed.embed_applications(self.profiles, self.profile_embedder, self.financial_embedder)
-        # scalar copies of the vector length and lead coordinates: the grid
-        # clusters then read a few doubles per row, not the whole vector
-        df = df.withColumns(clusters.lead_columns("profile_embedding"))
+            df = df.withColumns(clusters.lead_columns("profile_embedding"))
+        if self.store is not None and "embedded" in self.store:
+            # stored for one query: its stages read the scalars, not the texts and vectors
+            df = df.drop("profile_text", "profile_embedding")
         return self._stage(df, "application_embeddings", bucket_by="application_id", stage="embedded")
 
+    @cached_property
+    def text_embedded(self) -> DataFrame:
+        """T3 with both texts embedded by feature hashing, for the pair search: its sides, cells and vectors
+        each read the applications."""
+        df = embed.embed_applications(self.profiles).drop("profile_text", "profile_embedding")
+        return self._stage(df, "text_embeddings", stage="text_embedded")
+
     @property
     def financial_dim(self) -> int | None:
         """Known length of the financial vectors (the numeric adapter vector)."""

@@ -38,8 +38,8 @@ class Query:
 QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "scan_clean_applications": ("cleaned",), "feature_bands": ("features",), "amortized_dti": ("features",),
     "profile_text": ("profiles",), "financial_text": ("profiles",), "hash_embedding": ("profiles",),
-    "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded",), "similar_pairs": ("pairs",),
-    "text_embedding_assembly": ("profiles",), "text_similar_pairs": ("profiles", "profiles"),
+    "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded", "embedded"), "similar_pairs": ("pairs",),
+    "text_embedding_assembly": ("profiles",), "text_similar_pairs": ("text_embedded", "text_embedded"),
     "similar_pairs_both_directions": ("embedded", "embedded"), "rule_catalogue": ("violations",),
     "csv_applications": (), "csv_rejects": (), "stable_ids": (), "report_nested_samples": ("report",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
     "centroid_distance": ("clusters",), "sigma_outliers": ("clusters",), "cluster_disparity": ("clusters",),
@@ -245,7 +245,7 @@ register(Query(
 
 
 def _hash_embedding(p: AuditPipeline) -> DataFrame:
-    return embed.hash_embedding_sparse(p.profiles, "application_id", "profile_text", dim=64)
+    return embed.hash_embedding_sparse(p.profiles, "application_id", "profile_text", dim=64, unique_ids=True)
 
 
 _HASH_SQL_FROM = """(
@@ -284,14 +284,10 @@ register(Query("embedding_assembly", _assembly, ASSEMBLY_COLUMNS, "embedded", ["
 
 
 
-def _text_embedded(p: AuditPipeline) -> DataFrame:
-    return embed.embed_applications(p.profiles)
-
-
 def _text_assembly(p: AuditPipeline) -> DataFrame:
     """Both text embeddings, re-assembled per application, as rows of their non-zero numbers."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_embedding").alias("v")) for k in ("profile", "financial")])
-    rows = _text_embedded(p).select("application_id", F.explode(kinds).alias("e"))
+    rows = embed.embed_applications(p.profiles).select("application_id", F.explode(kinds).alias("e"))
     return rows.select("application_id", "e.kind", F.posexplode("e.v").alias("slot", "value")).where("value <> 0")
 
 
@@ -301,7 +297,7 @@ register(Query("text_embedding_assembly", _text_assembly, ["application_id", "ki
                "SELECT application_id, 'financial', financial_embedding FROM text_embedded WHERE financial_embedding IS NOT NULL)) "
                "WHERE value <> 0", ["text_embedded"], ["application_id", "kind", "CAST(slot AS INTEGER) AS slot", "value"]))
 register(Query("text_similar_pairs",
-               lambda p: pairs.similar_pairs(_text_embedded(p), max_distance=O.TEXT_DISTANCE, vector_dim=64),
+               lambda p: pairs.similar_pairs(p.text_embedded, max_distance=O.TEXT_DISTANCE, vector_dim=64),
                pairs.PAIR_COLUMNS, "text_pairs", ["text_pairs"]))
 
 # --- pairs -------------------------------------------------------------------------
