@@ -31,7 +31,7 @@ from ..sources import adapter, sinks
 # DAG): the pair self-join reads the applications on both sides, the clusters
 # aggregate and join back to them, the report filters and joins the summary.
 STAGE_INPUTS: dict[str, tuple[str, ...]] = {
-    "cleaned": (), "features": ("cleaned",), "profiles": ("features",), "embedded": ("profiles",), "text_embedded": ("profiles",),
+    "cleaned": (), "features": ("cleaned",), "profiles": ("features",), "embedded": ("profiles",), "text_embedded": ("profiles",), "financial": ("embedded",),
     "pairs": ("embedded", "embedded"), "evidence": ("pairs",), "clusters": ("embedded", "embedded"),
     "violations": ("embedded", "clusters", "evidence"), "lender_stats": ("violations",),
     "statistics": ("lender_stats",), "assessment": ("violations", "statistics"), "summary": ("assessment",),
@@ -41,7 +41,7 @@ STAGE_INPUTS: dict[str, tuple[str, ...]] = {
     "roc": ("assessment", "validation", "validation", "metrics"),
     "export": ("assessment",), "run_summary": ("assessment", "pairs", "clusters"),
 }
-STORABLE = ("embedded", "text_embedded", "pairs", "clusters", "violations", "layered", "statistics", "assessment", "summary")
+STORABLE = ("embedded", "text_embedded", "financial", "pairs", "clusters", "violations", "layered", "statistics", "assessment", "summary")
 
 
 def stages_to_store(targets: tuple[str, ...] | list[str]) -> set[str]:
@@ -200,6 +200,12 @@ class AuditPipeline:
         df = embed.embed_applications(self.profiles).drop("profile_text", "profile_embedding")
         return self._stage(df, "text_embeddings", stage="text_embedded")
 
+    @cached_property
+    def financial(self) -> DataFrame:
+        """The applications with their financial vector only: no look at the profile vectors."""
+        lead = clusters.lead_columns("profile_embedding")
+        return self._stage(self.embedded.drop("profile_text", "profile_embedding", *lead), "financial_embeddings", stage="financial")
+
     @property
     def financial_dim(self) -> int | None:
         """Known length of the financial vectors (the numeric adapter vector)."""

@@ -38,7 +38,7 @@ class Query:
 QUERY_STAGES: dict[str, tuple[str, ...]] = {
     "scan_clean_applications": ("cleaned",), "feature_bands": ("features",), "amortized_dti": ("features",),
     "profile_text": ("profiles",), "financial_text": ("profiles",), "hash_embedding": ("profiles",),
-    "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("embedded", "embedded"), "similar_pairs": ("pairs",),
+    "embedding_assembly": ("embedded",), "cosine_distance_pairs": ("financial", "financial"), "similar_pairs": ("pairs",),
     "text_embedding_assembly": ("profiles",), "text_similar_pairs": ("text_embedded", "text_embedded"),
     "similar_pairs_both_directions": ("embedded", "embedded"), "rule_catalogue": ("violations",),
     "csv_applications": (), "csv_rejects": (), "stable_ids": (), "report_nested_samples": ("report",), "pair_evidence": ("evidence",), "grid_clusters": ("clusters",),
@@ -303,7 +303,7 @@ register(Query("text_similar_pairs",
 # --- pairs -------------------------------------------------------------------------
 _COS = ["base_app_id", "similar_app_id", "lei", "state_code", "financial_similarity_distance"]
 register(Query("cosine_distance_pairs",
-               lambda p: _sel(pairs.cosine_distance_pairs(p.embedded, vector_dim=p.financial_dim), _COS), _COS,
+               lambda p: _sel(pairs.cosine_distance_pairs(p.financial, vector_dim=p.financial_dim), _COS), _COS,
                "band_pairs WHERE financial_similarity_distance < CAST(0.05 AS DOUBLE) "
                "AND abs(base_income - similar_income) / greatest(base_income, similar_income) < CAST(0.1 AS DOUBLE) "
                "AND abs(base_loan_amount - similar_loan_amount) / greatest(base_loan_amount, similar_loan_amount) "

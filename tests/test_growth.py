@@ -65,6 +65,6 @@ def test_stored_applications_hold_no_texts_and_vectors(spark, name):
     assert not {"profile_text", "profile_embedding"} & set(stored.columns) and stored.count() > 0
 
 
-@pytest.mark.parametrize("name,stage", [("text_similar_pairs", "text_embedded"), ("cosine_distance_pairs", "embedded")])
+@pytest.mark.parametrize("name,stage", [("text_similar_pairs", "text_embedded"), ("cosine_distance_pairs", "financial")])
 def test_pair_searches_read_stored_applications(name, stage):
     assert stage in stages_to_store(queries.QUERY_STAGES[name])
