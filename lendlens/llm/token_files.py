@@ -30,6 +30,8 @@ from . import arrays, common
 
 #: Ids after which a segment is closed, and remembered pre-tokens a worker.
 SEGMENT_IDS, REMEMBERED = 1 << 18, 1 << 20
+#: Code points that are split and encoded at once (a longer text alone).
+CHUNK_POINTS = 1 << 19
 #: Every so many-th one bit has its position sampled for select.
 SAMPLE = 64
 MAGIC = b"EFIDS001"
@@ -283,6 +285,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """doc_ids and texts of the rows in order, of at most CHUNK_POINTS code points or one text: the
+    arrays of an encoding take many times the text's size, in every worker of an executor."""
+    for batch in batches:
+        doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        begin, points = 0, 0
+        for k, text in enumerate(texts):
+            if k > begin and points + len(text) > CHUNK_POINTS:
+                yield doc_ids[begin:k], texts[begin:k]
+                begin, points = k, 0
+            points += len(text)
+        if texts:
+            yield doc_ids[begin:], texts[begin:]
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None:
     """Write the ids of every whole text, each followed by ``end_id``, as segments in
     ascending doc_id (then text hash) order; rows without doc_id come first. A null
@@ -305,13 +322,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, at = encoder.encode_batch(batch.column("text").to_pylist())
+        for doc_ids, texts in chunks(batches):
+            ids, at = encoder.encode_batch(texts)
             ended = np.insert(ids, at[1:], end_id)
             counts = np.diff(at) + 1
-            doc_ids = batch.column("doc_id").to_pylist()
             # close after the document that fills a segment
             upto = np.append(0, np.cumsum(counts))
             begin = 0

@@ -68,3 +68,18 @@ def test_stored_applications_hold_no_texts_and_vectors(spark, name):
 @pytest.mark.parametrize("name,stage", [("text_similar_pairs", "text_embedded"), ("cosine_distance_pairs", "financial")])
 def test_pair_searches_read_stored_applications(name, stage):
     assert stage in stages_to_store(queries.QUERY_STAGES[name])
+
+
+def test_token_encoding_takes_bounded_chunks_of_a_batch(monkeypatch):
+    """One Arrow batch may hold megabytes: its rows are encoded in chunks, in order and none lost."""
+    import pyarrow as pa
+
+    from lendlens.llm import token_files
+
+    monkeypatch.setattr(token_files, "CHUNK_POINTS", 10)
+    texts = ["", "abcd", "efghij", "k", "x" * 25, "", "yz", "Zürich", "abc"]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *range(1, 9)], pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    found = list(token_files.chunks(iter([batch, batch.slice(0, 0), batch.slice(0, 2)])))
+    assert [x for ids, _ in found for x in ids] == [None, *range(1, 9), None, 1]
+    assert [t for _, part in found for t in part] == texts + texts[:2]
+    assert all(len(part) == 1 or sum(map(len, part)) <= 10 for _, part in found) and len(found) == 6
