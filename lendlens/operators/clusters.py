@@ -129,6 +129,7 @@ def grid_clusters(
             F.count_if(c("approved") & female).alias("_female_approved"),
         )
         .where(c("cluster_size") >= min_size)
+        .withColumn("cluster_id", stable_hash64(cluster_key(dims)))  # once a cell, not once a row
     )
     # a hot cell's rows meet its statistics under SALTS keys; the statistics, one row a
     # cell, are copied to all of them
@@ -137,7 +138,6 @@ def grid_clusters(
     cells = cells.withColumn("_salt", F.pmod(F.xxhash64("application_id"), F.lit(SALTS)).cast("int"))
     assigned = cells.join(stats.select("*", salt), salted).withColumns(
         {
-            "cluster_id": stable_hash64(cluster_key(dims)),
             "distance_to_centroid": F.sqrt(
                 sum((F.pow(c(f"_x{i}") - c(f"_center{i}"), dlit(2.0)) for i in range(1, dims)),
                     F.pow(c("_x0") - c("_center0"), dlit(2.0)))

@@ -165,19 +165,21 @@ def embed_applications(
     profile_embedder: Callable[[Column], Column] | None = None,
     financial_embedder: Callable[[Column], Column] | None = None,
     dim: int = 64,
+    has_text: Column | None = None,
 ) -> DataFrame:
     """M2 / T3 with text embedders: both kinds embedded column-wise.
 
     Equivalent to embedding the union of profile and financial texts and
     joining the two kinds back: rows whose profile text is NULL or blank have
     no profile embedding and are dropped (semi-join); the financial embedding
-    is NULL where any financial number is missing (left join).
+    is NULL where any financial number is missing (left join). ``has_text`` tells such rows
+    from other columns than the text (:func:`features.has_profile_text`).
     """
     from .features import financial_text
 
     prof = profile_embedder or (lambda t: hash_embedding(t, dim))
     fin = financial_embedder or (lambda t: hash_embedding(t, dim))
-    kept = profiles.where(_has_text())
+    kept = profiles.where(_has_text() if has_text is None else has_text)
     return kept.withColumns(
         {
             "profile_embedding": prof(F.col("profile_text")),
@@ -191,6 +193,7 @@ def attach_table_vectors(
     vectors: DataFrame,
     key_col: str = "source_key",
     scalars: Callable[[str], dict[str, Column]] | None = None,
+    has_text: Column | None = None,
 ) -> DataFrame:
     """T3 from a vector table (adapter): profile vector = ``vectors[key mod E]``.
 
@@ -200,10 +203,10 @@ def attach_table_vectors(
     vector table is measured small. The financial embedding is the numeric
     :func:`financial_vector`. ``scalars`` names columns derived from a vector column
     (:func:`clusters.lead_columns`); they are derived before the lookup, so a reader of
-    them alone moves no vectors.
+    them alone moves no vectors. ``has_text`` as in :func:`embed_applications`.
     """
     n_vectors = vectors.select(F.count(F.lit(1)).cast("bigint")).scalar()
-    kept = profiles.where(_has_text())
+    kept = profiles.where(_has_text() if has_text is None else has_text)
     keyed = kept.withColumn("_vec_id", F.col(key_col) % n_vectors)
     derived = scalars("vector") if scalars else {}
     known = F.col("vector").isNotNull()

@@ -37,14 +37,15 @@ def clean_applications(
     order_key: str = "source_key",
     chunk_width: int = 4096,
     hashed_key: bool = False,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """State filter, validation with NULL-on-invalid, surrogate id.
 
     ``hashed_key=True`` when ``order_key`` is a content hash (CSV input) rather
-    than a dense row id (see :func:`lendlens.operators.ids.number_within`).
+    than a dense row id; ``sizes`` bounds the lenders' rows (see :func:`lendlens.operators.ids.number_within`).
     """
     cleaned = clean_rows(raw, states, order_key)
-    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width, hashed_key=hashed_key)
+    return application_ids(cleaned, order_key=order_key, chunk_width=chunk_width, hashed_key=hashed_key, sizes=sizes)
 
 
 def clean_rows(raw: DataFrame, states: Sequence[str] = AUDIT_STATES, order_key: str = "source_key") -> DataFrame:
@@ -164,6 +165,22 @@ def profile_text() -> Column:
     )
 
 
+#: The columns that D9 puts together; it is null where one of them is, and never blank.
+PROFILE_TEXT_PARTS = (
+    "race_category", "ethnicity_category", "gender_category", "income_category", "income", "loan_amount",
+    "calculated_dti_ratio", "area_minority_concentration", "relative_area_income", "loan_type", "loan_purpose",
+    "property_type", "occupancy_type",
+)
+
+
+def has_profile_text() -> Column:
+    """Whether D9's text is there, without putting it together."""
+    there = F.lit(True)
+    for part in PROFILE_TEXT_PARTS:
+        there = there & F.col(part).isNotNull()
+    return there
+
+
 def financial_text() -> Column:
     """The four financial numbers as text."""
     c = F.col

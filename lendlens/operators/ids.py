@@ -41,6 +41,7 @@ def number_within(
     hashed_key: bool = False,
     hashed_chunk_bits: int = 24,
     hot_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out_col`` = 1-based rank of ``order_key`` within ``partition_col``.
 
@@ -49,11 +50,14 @@ def number_within(
     hash) is chunked by its top ``hashed_chunk_bits`` bits, so the chunk count
     stays bounded (2^24 by default) however many rows there are; ``key div
     width`` would make one chunk per row there. Rows without a group or a key are
-    left out. Counting the groups of more than ``hot_rows`` rows is a job of its own.
+    left out. Counting the groups of more than ``hot_rows`` rows is a job of its own;
+    ``sizes``, rows of ``partition_col`` at least as many as ``df`` has, may be cheaper to
+    count (the numbers don't depend on which groups count as hot).
     """
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     kept = df.where(F.col(partition_col).isNotNull() & F.col(order_key).isNotNull())
-    hot = kept.groupBy(partition_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    counted = kept if sizes is None else sizes.where(F.col(partition_col).isNotNull())
+    hot = counted.groupBy(partition_col).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     hot = scratch_table(hot.select(partition_col), "hot_groups")
     if hot.isEmpty():
         return kept.withColumn(out_col, F.row_number().over(Window.partitionBy(partition_col).orderBy(order_key)).cast("bigint"))
@@ -88,11 +92,11 @@ def number_within(
 
 def application_ids(
     df: DataFrame, order_key: str = "source_key", chunk_width: int = 4096, out_col: str = "application_id",
-    hashed_key: bool = False,
+    hashed_key: bool = False, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``CONCAT(lei, '_', activity_year, '_', n)`` with applications numbered 1..n per
     lender; NULL when ``lei`` is NULL. Rows of equal key get different numbers."""
-    numbered = number_within(df, "lei", order_key, "_rownum", chunk_width, hashed_key=hashed_key)
+    numbered = number_within(df, "lei", order_key, "_rownum", chunk_width, hashed_key=hashed_key, sizes=sizes)
     return numbered.withColumn(
         out_col,
         F.concat(

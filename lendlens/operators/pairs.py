@@ -23,8 +23,9 @@ of pairs about linear in its rows. Without a top ``k`` all its pairs are the
 output, and it is dealt over salts: base rows by their id, similar rows copied to
 every salt. Every predicate is re-checked exactly on the joined rows, so cells and
 leaves only prune (no pair is lost or added).
-Vectors stay out of the cell join and are fetched by id for the pairs that
-passed the scalar predicates.
+Vectors of a known short length (``vector_dim``) go along with the cell join, so
+that only pairs within the distance are shuffled by their base id; longer ones stay
+out of it and are fetched by id for the pairs that passed the scalar predicates.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ STRENGTH_DEFAULT = "MEDIUM_SIMILARITY"
 
 #: Rows of a cell that are compared pair by pair with their partners.
 HEAVY_CELL = 2000
+#: Numbers of a vector up to which it goes along with the cell join.
+CARRIED_DIM = 8
 
 _SLACK = 1.0 + 1e-6
 _SIDE_COLS = ["application_id", "race_category", "gender_category", "ethnicity_category", "approved",
@@ -169,7 +172,9 @@ def top_candidates(
     copied = celled
     for name, _, _ in dims:
         copied = copied.withColumn(name, F.explode(reach[name]))
-    base, similar = _side(celled, "base", block, None), _side(copied, "similar", block, None)
+    # a short vector goes along, a long one is fetched by id
+    carried = vector_col if vector_dim is not None and vector_dim <= CARRIED_DIM else None
+    base, similar = _side(celled, "base", block, carried, vector_dim), _side(copied, "similar", block, carried, vector_dim)
     order = F.col("base_app_id") != F.col("similar_app_id") if limits.both_directions else F.col("base_app_id") < F.col("similar_app_id")
     if rows is None:
         return base.join(similar, keys).where(order)
@@ -185,8 +190,8 @@ def top_candidates(
     )
     pieces = -(-int(rows * 3.4) // dense_pairs.PIECE_ROWS)
     found = dense_pairs.top_pairs(copies, keys, limits, pieces, sinks.scratch_table)
-    either = _side(celled, "base", block, None).drop("_ci", "_cl", "_cd")
-    other = _side(celled, "similar", block, None).drop("_ci", "_cl", "_cd", *block)
+    either = _side(celled, "base", block, carried, vector_dim).drop("_ci", "_cl", "_cd")
+    other = _side(celled, "similar", block, carried, vector_dim).drop("_ci", "_cl", "_cd", *block)
     return sparse.select(*either.columns, *other.columns).unionByName(
         found.join(either, "base_app_id").join(other, "similar_app_id")
     )
@@ -285,12 +290,13 @@ def similar_pairs(
         & (F.coalesce(c("loan_amount_diff_ratio"), dlit(1.0)) < dlit(loan_tol))
         & (c("dti_abs_diff") < dlit(dti_tol))
     )
-    vecs = apps.select("application_id", c(vector_col).alias("_v"), l2_norm(c(vector_col), vector_dim).alias("_n"))
-    scored = (
-        # the base side last: the top k per base id then runs on its partitioning
-        scored.join(vecs.toDF("similar_app_id", "similar_vec", "similar_norm"), "similar_app_id")
-        .join(vecs.toDF("base_app_id", "base_vec", "base_norm"), "base_app_id")
-    )
+    if "base_vec" not in cand.columns:
+        vecs = apps.select("application_id", c(vector_col).alias("_v"), l2_norm(c(vector_col), vector_dim).alias("_n"))
+        scored = (
+            # the base side last: the top k per base id then runs on its partitioning
+            scored.join(vecs.toDF("similar_app_id", "similar_vec", "similar_norm"), "similar_app_id")
+            .join(vecs.toDF("base_app_id", "base_vec", "base_norm"), "base_app_id")
+        )
     dist = F.when(
         (c("base_norm") > 0) & (c("similar_norm") > 0),
         dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),

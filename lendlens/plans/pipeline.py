@@ -41,14 +41,14 @@ STAGE_INPUTS: dict[str, tuple[str, ...]] = {
     "roc": ("assessment", "validation", "validation", "metrics"),
     "export": ("assessment",), "run_summary": ("assessment", "pairs", "clusters"),
 }
+#: The way to the grid clusters, which read none of the financial columns.
+CLUSTER_STAGES = {"cleaned", "features", "profiles", "embedded", "clusters"}
+FINANCIAL_COLUMNS = ("financial_embedding", "income", "loan_amount", "calculated_dti_ratio", "rate_spread_adj")
 STORABLE = ("embedded", "text_embedded", "financial", "pairs", "clusters", "violations", "layered", "statistics", "assessment", "summary")
 
 
-def stages_to_store(targets: tuple[str, ...] | list[str]) -> set[str]:
-    """Storable stages read more than once when building ``targets``.
-
-    A stage read by one consumer only is cheaper to keep in the consumer's
-    plan than to write and read back."""
+def stages_needed(targets: tuple[str, ...] | list[str]) -> set[str]:
+    """All stages that building ``targets`` goes through."""
     reach: set[str] = set()
     todo = list(targets)
     while todo:
@@ -56,6 +56,15 @@ def stages_to_store(targets: tuple[str, ...] | list[str]) -> set[str]:
         if s not in reach:
             reach.add(s)
             todo.extend(STAGE_INPUTS[s])
+    return reach
+
+
+def stages_to_store(targets: tuple[str, ...] | list[str]) -> set[str]:
+    """Storable stages read more than once when building ``targets``.
+
+    A stage read by one consumer only is cheaper to keep in the consumer's
+    plan than to write and read back."""
+    reach = stages_needed(targets)
     reads = {s: 0 for s in reach}
     for consumer in reach:
         for dep in STAGE_INPUTS[consumer]:
@@ -83,6 +92,7 @@ class AuditPipeline:
         bucket_stages: bool = False,
         buckets: int | None = None,
         store: set[str] | None = None,
+        needed: set[str] | None = None,
     ):
         if raw is None and sf_dir is None:
             raise ValueError("give sf_dir (test tables) or raw (raw-schema DataFrame)")
@@ -97,6 +107,7 @@ class AuditPipeline:
         self.z_forms = z_forms
         self.materialize = materialize
         self.store = store  # with materialize: only these stages (None: every reusable stage)
+        self.needed = needed  # with store: the stages that the query goes through (None: any)
         self.stage_root = stage_root
         # Optionally store the stages joined on application_id bucketed alike
         # (co-located joins). The audit joins them on the id once, so bucketing
@@ -111,8 +122,9 @@ class AuditPipeline:
                stage: str | None = None) -> DataFrame:
         if not self.materialize or (self.store is not None and stage not in self.store):
             return df
+        # a table stored for one query is read whole: no folder a state, which would sort the rows first
         return sinks.stage_table(
-            self.spark, df, name, self._root(), partition_by,
+            self.spark, df, name, self._root(), partition_by if self.store is None else (),
             bucket_by=bucket_by if self.bucket_stages else None,
             buckets=self.buckets if (bucket_by and self.bucket_stages) else 0, table_prefix=f"lendlens_{self._run_id}",
         )
@@ -163,8 +175,11 @@ class AuditPipeline:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        # the adapter's key is a dense row id; raw CSV rows carry a content hash
-        return features.clean_applications(self.raw, hashed_key=self._raw is not None)
+        # the adapter's key is a dense row id (numbering leaves rows without one out); raw CSV rows carry a content hash
+        if self._raw is not None:
+            return features.clean_applications(self._raw, hashed_key=True)
+        raw = adapter.raw_applications(self.spark, self.sf_dir, keyed=True)
+        return features.clean_applications(raw, sizes=adapter.lender_rows(self.spark, self.sf_dir))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -184,20 +199,26 @@ class AuditPipeline:
             vectors = self._vectors if self._vectors is not None else adapter.table_vectors(self.spark, self.sf_dir)
             # scalar copies of the vector length and lead coordinates: the grid
             # clusters then read a few doubles per row, not the whole vector
-            df = embed.attach_table_vectors(self.profiles, vectors, scalars=lambda v: clusters.lead_columns(v, name="profile_embedding"))
+            df = embed.attach_table_vectors(
+                self.profiles, vectors, scalars=lambda v: clusters.lead_columns(v, name="profile_embedding"),
+                has_text=features.has_profile_text(),
+            )
         else:
-            df = embed.embed_applications(self.profiles, self.profile_embedder, self.financial_embedder)
+            df = embed.embed_applications(self.profiles, self.profile_embedder, self.financial_embedder,
+                                          has_text=features.has_profile_text())
             df = df.withColumns(clusters.lead_columns("profile_embedding"))
         if self.store is not None and "embedded" in self.store:
             # stored for one query: its stages read the scalars, not the texts and vectors
             df = df.drop("profile_text", "profile_embedding")
+            if self.needed is not None and self.needed <= CLUSTER_STAGES:
+                df = df.drop(*FINANCIAL_COLUMNS)
         return self._stage(df, "application_embeddings", bucket_by="application_id", stage="embedded")
 
     @cached_property
     def text_embedded(self) -> DataFrame:
         """T3 with both texts embedded by feature hashing, for the pair search: its sides, cells and vectors
         each read the applications."""
-        df = embed.embed_applications(self.profiles).drop("profile_text", "profile_embedding")
+        df = embed.embed_applications(self.profiles, has_text=features.has_profile_text()).drop("profile_text", "profile_embedding")
         return self._stage(df, "text_embeddings", stage="text_embedded")
 
     @cached_property
@@ -253,8 +274,12 @@ class AuditPipeline:
     @cached_property
     def assessment(self) -> DataFrame:
         """T10."""
-        return self._stage(assess.final_assessment(self.violations, self.statistics), "final_assessment", ("state_code",),
-                           stage="assessment")
+        df = assess.final_assessment(self.violations, self.statistics)
+        if not self.materialize or self.store is None or "assessment" not in self.store:
+            return self._stage(df, "final_assessment", ("state_code",), stage="assessment")
+        # stored for one query: the explanation is put together where it is read
+        stored = self._stage(df.drop("ai_enhanced_explanation"), "final_assessment", stage="assessment")
+        return stored.withColumn("ai_enhanced_explanation", assess.explanation()).select(*df.columns)
 
     @cached_property
     def summary(self) -> DataFrame:

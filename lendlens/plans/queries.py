@@ -19,7 +19,7 @@ from ..functions.exprs import round_doubles
 from ..operators import assess, clusters, embed, pairs, report, rules, stats
 from . import oracle as O
 from . import oracle_values as V
-from .pipeline import AuditPipeline, stages_to_store
+from .pipeline import AuditPipeline, stages_needed, stages_to_store
 
 ROUND_DIGITS = 9
 
@@ -59,8 +59,10 @@ def _pipe(spark: SparkSession, sf_dir: str, name: str | None = None) -> AuditPip
     once are stored once in a new folder under ``spark.checkpoint.dir``;
     nothing is shared between calls, so every query does all of its upstream
     work itself."""
-    store = stages_to_store(QUERY_STAGES[name]) if name in QUERY_STAGES else None
-    return AuditPipeline(spark, sf_dir, materialize=True, store=store)
+    if name not in QUERY_STAGES:
+        return AuditPipeline(spark, sf_dir, materialize=True)
+    stages = QUERY_STAGES[name]
+    return AuditPipeline(spark, sf_dir, materialize=True, store=stages_to_store(stages), needed=stages_needed(stages))
 
 
 REGISTRY: dict[str, Query] = {}

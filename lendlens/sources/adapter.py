@@ -36,6 +36,8 @@ LOAN_PRODUCTS = [
 LENDERS_PER_SUPPLIERS = 5  # lenders = count(supplier) div 5
 UNITS = "race eth sex inc rs act ag db lt lp oc dw pr ls tp min mi ti dr".split()
 FILTER_UNITS = "race act inc rs".split()
+#: Rate spreads from -1.00 to 2.99 as texts of two digits (an order without a key has the text "null").
+RATE_SPREADS = [f"{(n - 100) / 100:.2f}" for n in range(400)]
 # ------------------------------------------------------------------------------
 
 
@@ -43,18 +45,38 @@ def _pick(values: list[str], u) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (u % len(values) + 1).cast("int"))
 
 
-def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw-schema rows (plus ``source_key``) for every order of ``sf_dir``."""
-    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
-    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    # nation has a fixed 25 rows: a proven-small broadcast side.
-    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
-    n_lenders = (
+def _lender_count(spark: SparkSession, sf_dir: str) -> F.Column:
+    return (
         read_table(spark, sf_dir, "supplier")
         .select(F.greatest(F.floor(F.count("*") / LENDERS_PER_SUPPLIERS), F.lit(1)).cast("bigint"))
         .scalar()
     )
 
+
+def _lender(n_lenders: F.Column) -> F.Column:
+    return F.concat(F.lit("LEI"), F.lpad((F.col("o_custkey") % n_lenders).cast("string"), 4, "0")).alias("lei")
+
+
+def lender_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lei`` of every order: what bounds a lender's applications, told from two columns of one table."""
+    return read_table(spark, sf_dir, "orders").select(_lender(_lender_count(spark, sf_dir)))
+
+
+def raw_applications(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
+    """Raw-schema rows (plus ``source_key``) for every order of ``sf_dir``; ``keyed``: only those with a key.
+
+    Where the key is known, the loan's type, purpose, property and occupancy are known too, and are declared so:
+    a reader that only asks whether they are there doesn't compute them."""
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    if keyed:
+        orders = orders.where(F.col("o_orderkey").isNotNull())
+
+    def known(value: F.Column, other) -> F.Column:
+        return F.coalesce(value, F.lit(other)) if keyed else value
+
+    customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    # nation has a fixed 25 rows: a proven-small broadcast side.
+    nation = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
     df = orders.join(customer, orders.o_custkey == customer.c_custkey).join(
         nation, customer.c_nationkey == nation.n_nationkey
     )
@@ -84,14 +106,14 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     rs_u = u("rs")
     rate_spread = (
         F.when(rs_u < 30, F.lit("NA")).when(rs_u < 50, F.lit("Exempt"))
-        .otherwise(F.format_string("%.2f", (rs_u % 400).cast("double") / 100.0 - 1.0))
+        .otherwise(F.coalesce(F.get(F.array(*[F.lit(v) for v in RATE_SPREADS]), (rs_u % 400).cast("int")), F.lit("null")))
     )
     act_u = u("act")
     approve_below = F.when(race == 5, 850).when(race == 3, 520).otherwise(780)
     action = F.when(act_u < approve_below, 1).when(act_u < 960, 3).when(act_u < 980, 4).otherwise(6)
 
     out = df.select(
-        F.concat(F.lit("LEI"), F.lpad((F.col("o_custkey") % n_lenders).cast("string"), 4, "0")).alias("lei"),
+        _lender(_lender_count(spark, sf_dir)),
         F.lit(2024).alias("activity_year"),
         _pick(STATE_BY_REGION, F.col("n_regionkey")).alias("state_code"),
         F.col("n_nationkey").cast("string").alias("county_code"),
@@ -104,10 +126,10 @@ def raw_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_totalprice") / 1000.0).alias("loan_amount"),
         rate_spread.alias("rate_spread"),
         _pick(DTI_BUCKETS, u("db")).alias("debt_to_income_ratio"),
-        (1 + u("lt") % 4).cast("int").alias("loan_type"),
-        (1 + u("lp") % 5).cast("int").alias("loan_purpose"),
-        (1 + u("oc") % 3).cast("int").alias("occupancy_type"),
-        _pick(DWELLING_CATEGORIES, u("dw")).alias("derived_dwelling_category"),
+        known((1 + u("lt") % 4).cast("int"), 0).alias("loan_type"),
+        known((1 + u("lp") % 5).cast("int"), 0).alias("loan_purpose"),
+        known((1 + u("oc") % 3).cast("int"), 0).alias("occupancy_type"),
+        known(_pick(DWELLING_CATEGORIES, u("dw")), "").alias("derived_dwelling_category"),
         _pick(LOAN_PRODUCTS, u("pr")).alias("derived_loan_product_type"),
         (1 + u("ls") % 2).cast("int").alias("lien_status"),
         (1000 + u("tp") * 5).cast("int").alias("tract_population"),

@@ -5,11 +5,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lendlens.operators import embed
+from lendlens.operators import embed, features, pairs
 from lendlens.operators.ids import number_within
 from lendlens.plans import queries
 from lendlens.plans.pipeline import stages_to_store
-from lendlens.sources.adapter import raw_applications
+from lendlens.sources.adapter import lender_rows, raw_applications
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +83,41 @@ def test_token_encoding_takes_bounded_chunks_of_a_batch(monkeypatch):
     assert [x for ids, _ in found for x in ids] == [None, *range(1, 9), None, 1]
     assert [t for _, part in found for t in part] == texts + texts[:2]
     assert all(len(part) == 1 or sum(map(len, part)) <= 10 for _, part in found) and len(found) == 6
+
+
+def test_stored_applications_put_no_text_together(spark):
+    """Whether the profile text is there is told from its parts, and parts that a key implies aren't derived."""
+    plan = optimized(queries._pipe(spark, SF, "dashboard").profiles.where(features.has_profile_text()).select("application_id", "income"))
+    assert "Mortgage application" not in plan and "Multifamily" not in plan
+    rows = [("a", 1.0), (None, 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "race_category string, income double")
+    for name in features.PROFILE_TEXT_PARTS:
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(1.0))
+    df = df.withColumns({"rate_spread": F.lit(None).cast("double"), "approved": F.lit(None).cast("boolean"), "denial_reason_1": F.lit(1)})
+    got = df.select(features.has_profile_text().alias("there"), features.profile_text().isNotNull().alias("text")).collect()
+    assert [r.there for r in got] == [r.text for r in got] == [True, False, False]
+
+
+def test_lenders_are_sized_from_two_columns(spark):
+    """The bound on a lender's rows reads no customers and derives no digests; numbers don't depend on it."""
+    plan = optimized(lender_rows(spark, SF))
+    assert "md5" not in plan and "c_custkey" not in plan
+    df = spark.range(600).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    few, many = (df.where("g = 0"), df.unionAll(df))
+    plain = {r.k: r.n for r in number_within(df, "g", "k", "n", chunk_width=16).collect()}
+    for sizes in (few, many):
+        assert {r.k: r.n for r in number_within(df, "g", "k", "n", chunk_width=16, hot_rows=150, sizes=sizes).collect()} == plain
+
+
+def test_keyed_applications_are_the_raw_ones_with_a_key(spark):
+    raw, keyed = (raw_applications(spark, SF, keyed=k).where("source_key IS NOT NULL") for k in (False, True))
+    assert raw.exceptAll(keyed).count() == keyed.exceptAll(raw).count() == 0 and keyed.count() > 0
+
+
+def test_short_vectors_go_along_with_the_pair_join(spark):
+    """Pairs within the distance are found by one join; a long vector is fetched by id, with the same pairs."""
+    apps = queries._pipe(spark, SF, "similar_pairs").embedded
+    short, fetched = (pairs.similar_pairs(apps, vector_dim=d) for d in (embed.FINANCIAL_DIM, None))
+    assert optimized(short).count("Join") == 1 and optimized(fetched).count("Join") == 3
+    assert short.exceptAll(fetched).count() == fetched.exceptAll(short).count() == 0
