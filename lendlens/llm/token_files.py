@@ -16,6 +16,8 @@ operations and asks the library only for pre-tokens that it hasn't met lately.
 
 from __future__ import annotations
 
+import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,8 +32,15 @@ from . import arrays, common
 
 #: Ids after which a segment is closed, and remembered pre-tokens a worker.
 SEGMENT_IDS, REMEMBERED = 1 << 18, 1 << 20
-#: Code points that are split and encoded at once (a longer text alone).
-CHUNK_POINTS = 1 << 19
+#: Code points that are split and encoded at once (a longer text alone), and pre-tokens asked at once.
+CHUNK_POINTS, ASKED = 1 << 19, 1 << 13
+#: Bytes of a page and a row group of the written files; every row, a whole segment, is looked at.
+FILE_OPTIONS = {
+    "compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size": str(1 << 20),
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+    "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+    "parquet.enable.dictionary": "false",
+}
 #: Every so many-th one bit has its position sampled for select.
 SAMPLE = 64
 MAGIC = b"EFIDS001"
@@ -190,6 +199,8 @@ class PreTokens:
     sorted arrays; past REMEMBERED entries only the latest batch's are kept."""
 
     def __init__(self, path: str):
+        # a task has one core: the library's threads, one a core of the machine, would each hold memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -212,16 +223,26 @@ class PreTokens:
             return self.lookup(hashes, text_of)
         new = np.flatnonzero(~known)
         if len(new):
-            found = [e.ids for e in self.library.encode_batch_fast([text_of(i) for i in new], add_special_tokens=False)]
+            sizes, ids = self._ask(text_of, new)
             slots = len(self.offsets) - 1 + np.arange(len(new))
-            sizes = np.array([len(x) for x in found], np.int64)
-            self.ids = np.concatenate([self.ids, np.array([x for f in found for x in f], np.uint32)])
+            self.ids = np.concatenate([self.ids, ids])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
             self.hashes = np.insert(self.hashes, at[new], hashes[new])
             self.slots = np.insert(self.slots, at[new], slots)
             at = np.searchsorted(self.hashes, hashes)
         return self.slots[at]
 
+    def _ask(self, text_of, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and ids of new pre-tokens, a bounded number at once: the library's result holds many times a
+        pre-token's size (its texts, offsets and masks)."""
+        sizes, ids = [], []
+        for begin in range(0, len(new), ASKED):
+            part = [text_of(i) for i in new[begin : begin + ASKED]]
+            found = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(sizes), np.concatenate(ids)
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of every text, one after the other, and the texts' offsets. Texts with
         special tokens or code points past the known ones go to the library whole."""
@@ -341,7 +362,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -> None
         if held:
             yield close()
 
-    dealt.mapInArrow(segments, FILE_SCHEMA).write.option("compression", "zstd").parquet(folder)
+    dealt.mapInArrow(segments, FILE_SCHEMA).write.options(**FILE_OPTIONS).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

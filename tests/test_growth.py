@@ -121,3 +121,22 @@ def test_short_vectors_go_along_with_the_pair_join(spark):
     short, fetched = (pairs.similar_pairs(apps, vector_dim=d) for d in (embed.FINANCIAL_DIM, None))
     assert optimized(short).count("Join") == 1 and optimized(fetched).count("Join") == 3
     assert short.exceptAll(fetched).count() == fetched.exceptAll(short).count() == 0
+
+
+def test_new_pre_tokens_are_asked_in_bounded_parts(monkeypatch):
+    from lendlens.llm import token_files
+
+    monkeypatch.setattr(token_files, "ASKED", 3)
+    encoder = token_files.PreTokens(token_files.default_tokenizer())
+    whole, sizes = encoder.library, []
+
+    class Counted:
+        def encode_batch_fast(self, part, **kw):
+            sizes.append(len(part))
+            return whole.encode_batch_fast(part, **kw)
+
+    encoder.library = Counted()
+    text = "one two three four five six seven eightynine it's"
+    ids, at = encoder.encode_batch([text, ""])
+    assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(ids), len(ids)]
+    assert max(sizes) <= 3 and sum(sizes) >= 9
