@@ -155,6 +155,11 @@ def _has_financials() -> Column:
     )
 
 
+def numeric_vector() -> Column:
+    """The financial vector, null where one of the four numbers is missing."""
+    return F.when(_has_financials(), financial_vector())
+
+
 def _has_text() -> Column:
     """Neither null nor blank, in one look at the text (it is put together for this, if it isn't stored)."""
     return F.coalesce(F.trim(F.col("profile_text")), F.lit("")) != ""
@@ -218,6 +223,6 @@ def attach_table_vectors(
             # ids that are not 0..E-1 must not lose applications
             "profile_embedding": F.when(F.col("_known"), F.col("vector")).otherwise(missing),
             **{n: F.when(F.col("_known"), F.col(n)).otherwise(missing) for n in derived},
-            "financial_embedding": F.when(_has_financials(), financial_vector()),
+            "financial_embedding": numeric_vector(),
         }
     ).select(*EMBEDDING_COLUMNS, *derived)

@@ -21,8 +21,12 @@ even a hot block across many tasks. A cell that still holds more than
 it is searched leaf by leaf instead (:mod:`dense_pairs`), which looks at a number
 of pairs about linear in its rows. Without a top ``k`` all its pairs are the
 output, and it is dealt over salts: base rows by their id, similar rows copied to
-every salt. Every predicate is re-checked exactly on the joined rows, so cells and
-leaves only prune (no pair is lost or added).
+every salt. Copies cost more than comparisons while blocks are small, so for a top
+``k`` loan and DTI get cells only where a row's block holds more than ``CELL_ROWS`` rows
+on average over all rows. Every
+predicate is re-checked exactly on the joined rows, so cells and leaves only prune (no
+pair is lost or added). A base row stays in one cell, so its top ``k`` is found where
+the join left its pairs, without a shuffle of them.
 Vectors of a known short length (``vector_dim``) go along with the cell join, so
 that only pairs within the distance are shuffled by their base id; longer ones stay
 out of it and are fetched by id for the pairs that passed the scalar predicates.
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +63,8 @@ STRENGTH_DEFAULT = "MEDIUM_SIMILARITY"
 
 #: Rows of a cell that are compared pair by pair with their partners.
 HEAVY_CELL = 2000
+#: Rows of a row's block, on average, beyond which loan and DTI get cells as well as income.
+CELL_ROWS = {"_cl": 150, "_cd": 1500}
 #: Numbers of a vector up to which it goes along with the cell join.
 CARRIED_DIM = 8
 
@@ -102,12 +109,12 @@ def _dims(income_half: float, loan_half: float, dti_half: float) -> list[tuple[s
 
 
 def _side(apps: DataFrame, prefix: str, block: Sequence[str], vector_col: str | None,
-          dim: int | None = None) -> DataFrame:
+          dim: int | None = None, cells: Sequence[str] = ("_ci", "_cl", "_cd")) -> DataFrame:
     cols = [F.col(c).alias(c) for c in block]
     cols += [F.col(c).alias(f"{prefix}_{_SIDE_NAMES[c]}") for c in _SIDE_COLS]
     if vector_col is not None:
         cols += [F.col(vector_col).alias(f"{prefix}_vec"), l2_norm(F.col(vector_col), dim).alias(f"{prefix}_norm")]
-    cols += [F.col(c) for c in ("_ci", "_cl", "_cd")]
+    cols += [F.col(c) for c in cells]
     return apps.select(*cols)
 
 
@@ -154,32 +161,49 @@ def pair_candidates(
 def top_candidates(
     apps: DataFrame, block: Sequence[str], halves: tuple[float, float, float], limits: dense_pairs.Limits,
     vector_col: str, vector_dim: int | None, cell_factor: float, heavy_cell: int,
-) -> DataFrame:
-    """Pairs that hold every base row's top ``k``: all of the cells with at most ``heavy_cell``
-    rows (their predicates are left to the caller), and the searched ones of the denser cells.
+) -> list[tuple[DataFrame, list[str]]]:
+    """Pairs that hold every base row's top ``k``, with the columns that its pairs are together by: all of the cells
+    with at most ``heavy_cell`` rows (their predicates are left to the caller), and the searched ones of the denser
+    cells. A base row's pairs are all in one of the two.
+
+    Counting the blocks is a job of its own over two columns. Where none has more than ``heavy_cell`` rows, no cell
+    has; else the cells are counted as well, and where none is dense the plan is the plain cell join."""
+    # a short vector goes along, a long one is fetched by id
+    carried = vector_col if vector_dim is not None and vector_dim <= CARRIED_DIM else None
+
+    def side(rows: DataFrame, prefix: str, cells: Sequence[str]) -> DataFrame:
+        return _side(rows, prefix, block, carried, vector_dim, cells)
 
-    Counting the cells is a job of its own over four columns; where none is dense, which
-    the count tells, the plan is the plain cell join."""
-    dims = _dims(*halves)
+    c = F.col
+    order = c("base_app_id") != c("similar_app_id") if limits.both_directions else c("base_app_id") < c("similar_app_id")
+    # the cheapest predicates first, and the order of texts last; the caller checks the ratios themselves
+    near = F.abs(c("base_dti") - c("similar_dti")) < dlit(limits.dti_tol)
+    for name, tol in (("income", limits.income_tol), ("loan_amount", limits.loan_tol)):
+        a, b = c(f"base_{name}"), c(f"similar_{name}")
+        near = near & (F.abs(a - b) <= F.greatest(a, b) * dlit(tol * _SLACK))
+    order = near & order
+    n = c("_rows").cast("double")
+    sizes = apps.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max(n), F.sum(n * n) / F.sum(n)).first()
+    largest, mean = (x or 0.0 for x in sizes)
+    dims = [d for d in _dims(*halves) if mean > CELL_ROWS.get(d[0], -1)]
     own, reach = {}, {}
     for name, value, half in dims:
         own[name], reach[name] = _cells(value, half, cell_factor)
-    keys = [*block, "_ci", "_cl", "_cd"]
+    keys = [*block, *own]
     celled = apps.withColumns(own)
-    dense = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > heavy_cell)
-    dense = sinks.scratch_table(dense, "dense_cells")
-    rows = dense.agg(F.sum("_rows")).first()[0]
     copied = celled
-    for name, _, _ in dims:
+    for name in own:
         copied = copied.withColumn(name, F.explode(reach[name]))
-    # a short vector goes along, a long one is fetched by id
-    carried = vector_col if vector_dim is not None and vector_dim <= CARRIED_DIM else None
-    base, similar = _side(celled, "base", block, carried, vector_dim), _side(copied, "similar", block, carried, vector_dim)
-    order = F.col("base_app_id") != F.col("similar_app_id") if limits.both_directions else F.col("base_app_id") < F.col("similar_app_id")
+    base, similar = side(celled, "base", own), side(copied, "similar", own)
+    rows = None
+    if largest > heavy_cell:
+        dense = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(c("_n") > heavy_cell)
+        dense = sinks.scratch_table(dense, "dense_cells")
+        rows = dense.agg(F.sum("_n")).first()[0]
     if rows is None:
-        return base.join(similar, keys).where(order)
+        return [(base.join(similar, keys).where(order), keys)]
     cells = dense.select(*keys)
-    sparse = base.join(cells, keys, "left_anti").join(similar, keys).where(order)
+    sparse = base.join(cells, keys, "left_anti").join(similar.join(cells, keys, "left_anti"), keys).where(order)
     home = F.lit(True)
     for name, column in own.items():
         home = home & (column == F.col(name))
@@ -190,11 +214,8 @@ def top_candidates(
     )
     pieces = -(-int(rows * 3.4) // dense_pairs.PIECE_ROWS)
     found = dense_pairs.top_pairs(copies, keys, limits, pieces, sinks.scratch_table)
-    either = _side(celled, "base", block, carried, vector_dim).drop("_ci", "_cl", "_cd")
-    other = _side(celled, "similar", block, carried, vector_dim).drop("_ci", "_cl", "_cd", *block)
-    return sparse.select(*either.columns, *other.columns).unionByName(
-        found.join(either, "base_app_id").join(other, "similar_app_id")
-    )
+    either, other = side(apps, "base", ()), side(apps, "similar", ()).drop(*block)
+    return [(sparse, keys), (found.join(either, "base_app_id").join(other, "similar_app_id"), [])]
 
 
 def _salted(base: DataFrame, similar: DataFrame, keys: list[str], heavy_cell: int) -> tuple[DataFrame, DataFrame]:
@@ -272,46 +293,55 @@ def similar_pairs(
             apps, block, *cells, vector_col=None, cell_factor=cell_factor, heavy_cell=heavy_cell,
             both_directions=both_directions,
         )
+        parts = [(cand, [])]
     else:
         limits = dense_pairs.Limits(
             max_distance, band_low, band_high, band_dti, income_tol, loan_tol, dti_tol, top_k, both_directions
         )
-        cand = top_candidates(apps, block, cells, limits, vector_col, vector_dim, cell_factor, heavy_cell)
-    cand = cand.where(_band(band_low, band_high, band_dti))
-
-    scored = cand.withColumns(
-        {
-            "income_diff_ratio": safe_divide(F.abs(c("base_income") - c("similar_income")), F.greatest(c("base_income"), c("similar_income"))),
-            "loan_amount_diff_ratio": safe_divide(F.abs(c("base_loan_amount") - c("similar_loan_amount")), F.greatest(c("base_loan_amount"), c("similar_loan_amount"))),
-            "dti_abs_diff": F.abs(c("base_dti") - c("similar_dti")),
-        }
-    ).where(
-        (F.coalesce(c("income_diff_ratio"), dlit(1.0)) < dlit(income_tol))
-        & (F.coalesce(c("loan_amount_diff_ratio"), dlit(1.0)) < dlit(loan_tol))
-        & (c("dti_abs_diff") < dlit(dti_tol))
-    )
-    if "base_vec" not in cand.columns:
-        vecs = apps.select("application_id", c(vector_col).alias("_v"), l2_norm(c(vector_col), vector_dim).alias("_n"))
-        scored = (
-            # the base side last: the top k per base id then runs on its partitioning
-            scored.join(vecs.toDF("similar_app_id", "similar_vec", "similar_norm"), "similar_app_id")
-            .join(vecs.toDF("base_app_id", "base_vec", "base_norm"), "base_app_id")
+        parts = top_candidates(apps, block, cells, limits, vector_col, vector_dim, cell_factor, heavy_cell)
+
+    def scored(cand: DataFrame, together: list[str]) -> DataFrame:
+        cand = cand.where(_band(band_low, band_high, band_dti))
+        out = cand.withColumns(
+            {
+                "income_diff_ratio": safe_divide(F.abs(c("base_income") - c("similar_income")), F.greatest(c("base_income"), c("similar_income"))),
+                "loan_amount_diff_ratio": safe_divide(F.abs(c("base_loan_amount") - c("similar_loan_amount")), F.greatest(c("base_loan_amount"), c("similar_loan_amount"))),
+                "dti_abs_diff": F.abs(c("base_dti") - c("similar_dti")),
+            }
+        ).where(
+            (F.coalesce(c("income_diff_ratio"), dlit(1.0)) < dlit(income_tol))
+            & (F.coalesce(c("loan_amount_diff_ratio"), dlit(1.0)) < dlit(loan_tol))
+            & (c("dti_abs_diff") < dlit(dti_tol))
         )
-    dist = F.when(
-        (c("base_norm") > 0) & (c("similar_norm") > 0),
-        dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),
-    )
-    scored = scored.withColumn("financial_similarity_distance", dist).where(
-        c("financial_similarity_distance") < dlit(max_distance)
-    )
-    if top_k is not None:
-        # ids are spread evenly, so the top k of a base row needs no hot key
-        w = Window.partitionBy("base_app_id").orderBy(
-            "financial_similarity_distance", "income_diff_ratio", "loan_amount_diff_ratio", "dti_abs_diff", "similar_app_id"
+        if "base_vec" not in cand.columns:
+            vecs = apps.select("application_id", c(vector_col).alias("_v"), l2_norm(c(vector_col), vector_dim).alias("_n"))
+            out = (
+                # the base side last: the top k per base id then runs on its partitioning
+                out.join(vecs.toDF("similar_app_id", "similar_vec", "similar_norm"), "similar_app_id")
+                .join(vecs.toDF("base_app_id", "base_vec", "base_norm"), "base_app_id")
+            )
+            together = []
+        dist = F.when(
+            (c("base_norm") > 0) & (c("similar_norm") > 0),
+            dlit(1.0) - dot(c("base_vec"), c("similar_vec"), vector_dim) / (c("base_norm") * c("similar_norm")),
+        )
+        out = out.withColumn("financial_similarity_distance", dist).where(
+            c("financial_similarity_distance") < dlit(max_distance)
         )
-        scored = scored.withColumn("similarity_rank", F.row_number().over(w)).where(c("similarity_rank") <= top_k)
+        if top_k is not None:
+            # ids are spread evenly, so the top k of a base row needs no hot key
+            w = Window.partitionBy(*together, "base_app_id").orderBy(
+                "financial_similarity_distance", "income_diff_ratio", "loan_amount_diff_ratio", "dti_abs_diff", "similar_app_id"
+            )
+            out = out.withColumn("similarity_rank", F.row_number().over(w)).where(c("similarity_rank") <= top_k)
+        return _labelled(out).select(*PAIR_COLUMNS)
 
-    labelled = scored.withColumns(
+    return reduce(DataFrame.unionByName, [scored(*part) for part in parts])
+
+
+def _labelled(scored: DataFrame) -> DataFrame:
+    c = F.col
+    return scored.withColumns(
         {
             "demographic_difference_type": F.when(c("base_race") != c("similar_race"), RACE_DIFFERENCE)
             .when(c("base_gender") != c("similar_gender"), GENDER_DIFFERENCE)
@@ -323,7 +353,6 @@ def similar_pairs(
             .otherwise(STRENGTH_DEFAULT),
         }
     )
-    return labelled.select(*PAIR_COLUMNS)
 
 
 def cosine_distance_pairs(embedded: DataFrame, *, block: Sequence[str] = ("lei", "state_code"),

@@ -210,8 +210,12 @@ class AuditPipeline:
         if self.store is not None and "embedded" in self.store:
             # stored for one query: its stages read the scalars, not the texts and vectors
             df = df.drop("profile_text", "profile_embedding")
-            if self.needed is not None and self.needed <= CLUSTER_STAGES:
+            if self.needed is not None and "clusters" in self.needed and self.needed <= CLUSTER_STAGES:
                 df = df.drop(*FINANCIAL_COLUMNS)
+            elif use_table:
+                # the vector is put together from four stored numbers where it is read
+                df = self._stage(df.drop("financial_embedding"), "application_embeddings", stage="embedded")
+                return df.withColumn("financial_embedding", embed.numeric_vector())
         return self._stage(df, "application_embeddings", bucket_by="application_id", stage="embedded")
 
     @cached_property
@@ -274,7 +278,12 @@ class AuditPipeline:
     @cached_property
     def assessment(self) -> DataFrame:
         """T10."""
-        df = assess.final_assessment(self.violations, self.statistics)
+        statistics = self.statistics
+        if self.materialize and self.store is not None and "statistics" not in self.store:
+            # one row a lender and state: where the stored table is small, the violations aren't moved to meet it
+            statistics = statistics.select("lei", "state_code", *assess.STAT_COLUMNS)
+            statistics = sinks.stage_table(self.spark, statistics, "lender_statistics", self._root())
+        df = assess.final_assessment(self.violations, statistics)
         if not self.materialize or self.store is None or "assessment" not in self.store:
             return self._stage(df, "final_assessment", ("state_code",), stage="assessment")
         # stored for one query: the explanation is put together where it is read

@@ -5,11 +5,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lendlens.operators import embed, features, pairs
+from lendlens.functions.exprs import round_doubles
+from lendlens.operators import clusters, embed, features, pairs
 from lendlens.operators.ids import number_within
 from lendlens.plans import queries
 from lendlens.plans.pipeline import stages_to_store
 from lendlens.sources.adapter import lender_rows, raw_applications
+from tests.test_pairs import synthetic
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +142,49 @@ def test_new_pre_tokens_are_asked_in_bounded_parts(monkeypatch):
     ids, at = encoder.encode_batch([text, ""])
     assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids and at.tolist() == [0, len(ids), len(ids)]
     assert max(sizes) <= 3 and sum(sizes) >= 9
+
+
+@pytest.mark.parametrize("name", ["similar_pairs_both_directions", "similar_pairs"])
+def test_pair_queries_find_the_financial_columns(spark, name):
+    """The stored applications of a query without clusters keep what the pair search reads."""
+    assert queries.spark_query(name)(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("dim", [4, None])
+@pytest.mark.parametrize("both", [False, True])
+def test_fewer_cells_lose_no_pair(spark, monkeypatch, dim, both):
+    """Blocks of several sizes: cells for income alone, with loan, with DTI, and cells that are searched."""
+    emb = synthetic(spark, 500, 5).withColumn("lei", F.when(F.col("income") > 150, "L9").otherwise(F.col("lei"))).cache()
+
+    def rows(cell_rows, **kw):
+        monkeypatch.setattr(pairs, "CELL_ROWS", cell_rows)
+        return sorted(tuple(r) for r in pairs.similar_pairs(emb, vector_dim=dim, both_directions=both, **kw).collect())
+
+    want = rows({"_cl": 0, "_cd": 0})
+    for cell_rows, kw in (({"_cl": 0, "_cd": 10**6}, {}), ({"_cl": 10**6, "_cd": 10**6}, {}), ({"_cl": 0, "_cd": 10**6}, {"heavy_cell": 9})):
+        assert want and want == rows(cell_rows, **kw)
+
+
+def test_top_pairs_are_found_without_moving_the_pairs(spark):
+    apps = queries._pipe(spark, SF, "similar_pairs").embedded
+    plan = pairs.similar_pairs(apps, vector_dim=embed.FINANCIAL_DIM)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("hashpartitioning(base_app_id" in line for line in exchanges)
+
+
+def test_kept_cells_go_to_all_tasks_or_meet_under_salted_keys(spark, monkeypatch):
+    """The applications aren't moved to meet a small table of cells; a large one gives the same rows."""
+    apps = queries._pipe(spark, SF, "grid_clusters").embedded
+    few = clusters.grid_clusters(apps, min_size=2)
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString() and few.count() > 0
+    monkeypatch.setattr(clusters, "FEW_CELLS", 0)
+    many = clusters.grid_clusters(apps, min_size=2)
+    assert "_salt" in optimized(many)
+    key = lambda df: sorted(tuple(map(str, r)) for r in round_doubles(df, 9).collect())
+    assert key(few) == key(many)
+
+
+def test_assessment_meets_stored_statistics(spark):
+    """The violations aren't shuffled to meet one row a lender and state."""
+    plan = queries.spark_query("explanations")(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
