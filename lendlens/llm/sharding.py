@@ -103,6 +103,14 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _ranges(docs: DataFrame) -> DataFrame:
+    """The distinct rows with their ``copies``, in ranges of the order, and the number ``_part`` of each range."""
+    runs = _keyed(docs).groupBy(*_KEYS).agg(F.count("*").alias("copies"))
+    ranged = runs.repartitionByRange(*_KEYS).withColumn("_part", F.spark_partition_id())
+    # written once: partition numbers and rows stay together, whatever is computed again
+    return common.stage(ranged, "ranges")
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text_crc32, size, _hash and row_number: gapless from 0, ascending by
     doc_id (null first), then by the other columns.
@@ -110,10 +118,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     Rows alike in all four are counted before they are moved, so a row that is
     repeated without end is one row here; they are dealt out again at the end, where
     a run of copies is cut into pieces of 10,000 that separate tasks expand."""
-    runs = _keyed(docs).groupBy(*_KEYS).agg(F.count("*").alias("copies"))
-    ranged = runs.repartitionByRange(*_KEYS).withColumn("_part", F.spark_partition_id())
-    # written once: partition numbers and rows stay together, whatever is computed again
-    ranged = common.stage(ranged, "ranges")
+    return _dealt(_ranges(docs))
+
+
+def _dealt(ranged: DataFrame) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.sum("copies").alias("_rows"))
     # one row a partition of the range shuffle
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,8 +151,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
-    rows = common.stage(numbered(docs), "row-numbers")
-    permutation = Feistel(rows.count(), seed)
+    ranged = _ranges(docs)
+    rows, permutation = _dealt(ranged), Feistel(ranged.agg(F.sum("copies")).first()[0] or 0, seed)
 
     @F.pandas_udf("long")
     def place(numbers: pd.Series) -> pd.Series:
