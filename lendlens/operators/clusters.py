@@ -5,11 +5,11 @@ A cluster is a cell of the grid ``round(v[i] * scale)`` over the first
 holds at least ``min_size`` applications.
 
 Plan: one aggregate per cell gives centroid, size and all demographic counts
-(partial aggregation before the shuffle); it is joined back on the cell key
-columns (never on a hash of them, which could collide). A second aggregate
-gives mean and standard deviation of the centroid distances. Both joins are
-plain equi-joins: AQE broadcasts the per-cell table when it is measured small
-and splits a skewed cell otherwise.
+(partial aggregation before the shuffle); the kept cells are stored once and joined
+back on the cell key columns (never on a hash of them, which could collide). A second
+aggregate gives mean and standard deviation of the centroid distances. Up to
+``FEW_CELLS`` kept cells go to every task, so that no application is moved to meet
+them; more are met by equi-joins under salted keys.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dlit, safe_divide, stable_hash64
+from ..sources import sinks
 
 # ---- fixed values of the audit -------------------------------------------------
 GRID_SCALE = 5.0
 GRID_DIMS = 3
 #: Keys that the rows of one cell are dealt over.
 SALTS = 16
+#: Kept cells up to which their statistics go to every task.
+FEW_CELLS = 200_000
 MIN_CLUSTER_SIZE = 20
 OUTLIER_SIGMAS = 2.0
 RACIAL_GAP, ETHNIC_GAP, GENDER_GAP = 0.15, 0.15, 0.10
@@ -131,12 +134,22 @@ def grid_clusters(
         .where(c("cluster_size") >= min_size)
         .withColumn("cluster_id", stable_hash64(cluster_key(dims)))  # once a cell, not once a row
     )
-    # a hot cell's rows meet its statistics under SALTS keys; the statistics, one row a
+    # read by both joins, and its rows are counted
+    stats = sinks.scratch_table(stats, "kept_cells")
+    few = stats.count() <= FEW_CELLS
+    # else a hot cell's rows meet its statistics under SALTS keys; the statistics, one row a
     # cell, are copied to all of them
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salted = [*cell_cols, "_salt"]
-    cells = cells.withColumn("_salt", F.pmod(F.xxhash64("application_id"), F.lit(SALTS)).cast("int"))
-    assigned = cells.join(stats.select("*", salt), salted).withColumns(
+    if not few:
+        cells = cells.withColumn("_salt", F.pmod(F.xxhash64("application_id"), F.lit(SALTS)).cast("int"))
+
+    def meet(rows: DataFrame, per_cell: DataFrame) -> DataFrame:
+        if few:
+            return rows.join(F.broadcast(per_cell), cell_cols)
+        # never a broadcast of all copies
+        return rows.join(per_cell.select("*", salt).hint("merge"), [*cell_cols, "_salt"])
+
+    assigned = meet(cells, stats).withColumns(
         {
             "distance_to_centroid": F.sqrt(
                 sum((F.pow(c(f"_x{i}") - c(f"_center{i}"), dlit(2.0)) for i in range(1, dims)),
@@ -149,7 +162,7 @@ def grid_clusters(
         F.stddev_samp("distance_to_centroid").alias("_std_dist"),
     )
     n = c("cluster_size")
-    out = assigned.join(spread.select("*", salt), salted).withColumns(
+    out = meet(assigned, spread).withColumns(
         {
             "cluster_approval_rate": safe_divide(c("_approved"), n),
             "white_percentage": safe_divide(c("white_count"), n),
