@@ -11,7 +11,8 @@ any document or the same one, without bringing the corpus to one place:
 2. Equal contexts are counted, not compared. An anchor with one context found twice
    or more repeats wholly; one found once is done; the texts of the different
    contexts of one anchor go to a run-length index.
-3. Index. The contexts of many anchors, INDEX_BYTES at most, are sorted as suffixes;
+3. Index. Contexts that share neither the bytes before nor those after their anchor
+   with another one are left out. The others of many anchors, INDEX_BYTES at most, are sorted as suffixes;
    the Burrows-Wheeler transform is kept as runs with the text places of run ends
    as samples. Only at run ends are neighbouring suffixes compared; inside a run the
    matching statistics stream along the text, falling by one from byte to byte.
@@ -19,10 +20,15 @@ any document or the same one, without bringing the corpus to one place:
 4. An anchor whose different contexts exceed INDEX_BYTES is refined: its windows are
    halved by their offset to the anchor, and the bytes that all windows of a half
    cover join the key, until a part fits (at the last, a key is a whole window).
+
+Passages of PASSAGE words may be shorter than MATCH bytes; they are counted, never
+removed. Their windows have anchors of PHRASE words by the same rule; only windows
+whose anchor stands in different texts are hashed whole and compared.
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
 from collections.abc import Iterator
 
@@ -35,8 +41,13 @@ from . import arrays, common
 
 #: Length of a repeated string, of an anchor, and bytes of one index.
 MATCH, GRAM, INDEX_BYTES = 400, 32, 1 << 20
+#: Words of a passage and of its anchor.
+PASSAGE, PHRASE = 51, 8
+_HALF = (MATCH - GRAM) // 2
 _U = arrays.U64
 _PLACE_BITS = 24
+_IS_WORD = np.ones(256, dtype=bool)  # as common.WORD_PATTERN
+_IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def _doubled(data: np.ndarray, upto: int) -> dict[int, np.ndarray]:
@@ -59,12 +70,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         return none
     hashes = _doubled(data, 256)
     gram, long = arrays.mix(hashes[GRAM]), hashes[256]
-    width = MATCH - GRAM + 1
-    if len(data) >= 1 << _PLACE_BITS:  # a text longer than the places of a packed word: full width, in parts
-        return _anchors_long(data, offsets, gram, long, width)
-    packed = ((gram >> _U(_PLACE_BITS)) << _U(_PLACE_BITS)) | np.arange(len(gram), dtype=_U)
-    least = _sliding_least(packed, width)
-    return _runs((least & _U((1 << _PLACE_BITS) - 1)).astype(np.int64), offsets, gram, long)
+    return _runs(_least_places(gram, MATCH - GRAM + 1), offsets, gram, long)
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,27 +82,34 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def _anchors_long(data, offsets, gram, long, width) -> dict[str, np.ndarray]:
-    """As :func:`anchors`, in parts that overlap by a window, for very long batches."""
+def _least_places(gram: np.ndarray, width: int) -> np.ndarray:
+    """For every ``width`` neighbouring hashes, the place of the smallest (leftmost among
+    equals): place and hash are packed into one word, in parts that overlap by a window."""
     step, places = (1 << _PLACE_BITS) - 4 * MATCH, []
     for begin in range(0, len(gram) - width + 1, step):
         part = gram[begin : begin + step + width - 1]
         packed = ((part >> _U(_PLACE_BITS)) << _U(_PLACE_BITS)) | np.arange(len(part), dtype=_U)
         places.append((_sliding_least(packed, width) & _U((1 << _PLACE_BITS) - 1)).astype(np.int64) + begin)
-    return _runs(np.concatenate(places), offsets, gram, long)
+    return np.concatenate(places)
 
 
-def _runs(place, offsets, gram, long) -> dict[str, np.ndarray]:
-    """Neighbouring windows with one anchor, within each text."""
-    first, stop = offsets[:-1], np.maximum(offsets[1:] - MATCH + 1, offsets[:-1])
+def _neighbours(place, offsets, match) -> tuple[np.ndarray, ...]:
+    """Neighbouring windows with one anchor, within each text: text number, the anchor's
+    place, first and last window."""
+    first, stop = offsets[:-1], np.maximum(offsets[1:] - match + 1, offsets[:-1])
     starts = arrays.ranges(first, stop - first)
     if not len(starts):
-        return {k: np.zeros(0, np.int64) for k in ("doc", "place", "low", "high", "h", "c")}
+        return (np.zeros(0, np.int64),) * 4
     doc = np.repeat(np.arange(len(first)), stop - first)
     new = np.concatenate([[True], (place[starts[1:]] != place[starts[:-1]]) | (doc[1:] != doc[:-1])])
     at = np.flatnonzero(new)
     low, high = starts[at], starts[np.append(at[1:], len(starts)) - 1]
-    doc, place = doc[at], place[low]
+    return doc[at], place[low], low, high
+
+
+def _runs(place, offsets, gram, long) -> dict[str, np.ndarray]:
+    """The anchors of the windows of every text with hashes of their contexts."""
+    doc, place, low, high = _neighbours(place, offsets, MATCH)
     end = high + MATCH - 256  # three strings of 256 bytes cover the context
     mid = np.minimum(low + 256, end)
     c = long[low] * _U(3) + arrays.mix(long[mid]) * _U(5) + arrays.mix(arrays.mix(long[end])) * _U(7)
@@ -108,6 +121,51 @@ def _runs(place, offsets, gram, long) -> dict[str, np.ndarray]:
     }
 
 
+def _rolled(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` words from every place on."""
+    out, held, power = None, 0, 1
+    while True:
+        if size & power:
+            if out is None:
+                out = words
+            else:
+                n = len(words) - held
+                out = out[:n] * _U(0x9E3779B97F4A7C15) + words[held : held + n]
+                out ^= out >> _U(31)
+            held += power
+        if held == size:
+            return arrays.mix(out)
+        words = words[:-power] * _U(0xC2B2AE3D27D4EB4F) + words[power:]
+        words ^= words >> _U(29)
+        power *= 2
+
+
+def word_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The words of every text of a batch."""
+    word = _IS_WORD[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    first = offsets[:-1][offsets[:-1] < len(data)]
+    begins[first] = word[first]
+    return np.diff(np.searchsorted(np.flatnonzero(begins), offsets))
+
+
+def phrases(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """The anchors of the passages of a batch of texts: text number, first and last window
+    (words of the batch), anchor hash; and of the batch: hashes of the windows from every
+    word on, first words of the texts."""
+    starts, ends = arrays.word_bounds(_IS_WORD[data], offsets)
+    at = np.searchsorted(starts, offsets)
+    if len(starts) < PASSAGE:
+        none = np.zeros(0, np.int64)
+        return {"doc": none, "low": none, "high": none, "h": none, "windows": none, "first": at}
+    words = arrays.span_hashes(data, starts, ends)
+    phrase = _rolled(words, PHRASE)
+    doc, place, low, high = _neighbours(_least_places(phrase, PASSAGE - PHRASE + 1), at, PASSAGE)
+    windows = _rolled(words, PASSAGE).view(np.int64)
+    return {"doc": doc, "low": low, "high": high, "h": phrase[place].view(np.int64), "windows": windows, "first": at}
+
+
 # ------------------------------------------------------------------ the index
 
 
@@ -270,6 +328,17 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
 
+def _paired(keys: list[int], texts: list[bytes], most: list[int]) -> list[int]:
+    """The contexts that may share a window with another one of their key: a window holds
+    _HALF bytes before or after its anchor, so these stand in another context too."""
+    sides = [
+        ((k, "before", t[m - _HALF : m + GRAM] if m >= _HALF else None), (k, "after", t[m : m + GRAM + _HALF] if len(t) >= m + GRAM + _HALF else None))
+        for k, t, m in zip(keys, texts, most, strict=True)
+    ]
+    count = collections.Counter(side for both in sides for side in both if side[-1] is not None)
+    return [i for i, both in enumerate(sides) if any(count[side] > 1 for side in both)]
+
+
 def _indexed(rows: DataFrame, size: int) -> DataFrame:
     """(key, d, u, v): offsets u..v of the anchor in windows that repeat, by the index."""
     buckets = max(1, -(-2 * size // INDEX_BYTES))
@@ -278,6 +347,8 @@ def _indexed(rows: DataFrame, size: int) -> DataFrame:
         table = table.sort_by([("key", "ascending")])
         keys, texts, most = (table.column(c).to_pylist() for c in ("key", "text", "most"))
         ds, out = table.column("d").to_pylist(), ([], [], [], [])
+        kept = _paired(keys, texts, most)
+        keys, texts, most, ds = ([column[i] for i in kept] for column in (keys, texts, most, ds))
         begin = 0
         while begin < len(keys):  # whole keys until an index is full
             stop, held = begin, 0
@@ -347,29 +418,107 @@ def repeated_offsets(docs: DataFrame, table: DataFrame) -> DataFrame:
     return out
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``spans`` (removed runs of
-    bytes) of every whole text.
-
-    Input: columns doc_id (integer) and text; others are ignored. Texts are UTF-8 bytes;
-    null is empty; texts under MATCH bytes keep all. Repeated rows are documents of
-    their own, so they repeat each other; rows of equal doc_id and text get one
-    result each.
-    """
+def _hit(docs: DataFrame) -> DataFrame:
+    """(_id, _hash, span): bytes of every text in windows that also start elsewhere."""
     table = anchor_table(docs)
     offsets = repeated_offsets(docs, table).withColumnsRenamed({"h": "_h", "c": "_c"})
     hit = table.join(offsets, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c")))
-    hit = hit.select(
+    return hit.select(
         F.col("doc_id").alias("_id"),
         F.col("text_hash").alias("_hash"),
         F.struct((F.col("place") - F.col("v")).alias("s"), (F.col("place") - F.col("u") + MATCH).alias("e")).alias("span"),
     )
+
+
+def shared_phrases(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, h): anchors of passages that stand in different texts."""
+    common.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = phrases(*arrays.column_bytes(batch.column("text")))
+            order = np.lexsort((found["h"], found["doc"]))
+            doc, h = found["doc"][order], found["h"][order]
+            once = np.ones(len(h), dtype=bool)
+            once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            ids = [batch.column(c).take(pa.array(doc[once])) for c in ("doc_id", "text_hash")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(h[once])], names=["doc_id", "text_hash", "h"])
+
+    table = common.stage(_rows(docs).mapInArrow(run, "doc_id bigint, text_hash bigint, h bigint"), "phrases")
+    met = table.groupBy("h").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
+    met = met.filter("least < most").select(F.col("h").alias("_h"))
+    return table.join(met, F.col("h") == F.col("_h")).select("doc_id", "text_hash", "h")
+
+
+def _passage_words(kept: DataFrame) -> DataFrame:
+    """(_hash, copies, covered) of every text of ``kept`` (text_hash, windows, starts): its
+    rows, and its words in windows that also stand in another text."""
+    # one row of each text: copies have equal windows
+    texts = kept.groupBy("text_hash").agg(F.count("*").alias("copies"), F.first("windows").alias("windows"), F.first("starts").alias("starts"))
+    texts = common.stage(texts, "passages")
+    each = texts.select("text_hash", F.explode(F.array_distinct("windows")).alias("window"))
+    met = each.groupBy("window").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most"))
+    met = met.filter("least < most").select(F.col("window").alias("_window"))
+    hit = each.join(met, F.col("window") == F.col("_window"))
+    # the windows of one text meet in one row: as many as its own length allows
+    hit = hit.groupBy(F.col("text_hash").alias("_hash")).agg(F.collect_list("window").alias("hit"))
+    met = texts.join(hit, F.col("text_hash") == F.col("_hash"), "left").select("text_hash", "copies", "windows", "starts", "hit")
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            covered = [0] * len(batch)
+            for i, x in enumerate(zip(*(batch.column(c) for c in ("windows", "starts", "hit")), strict=True)):
+                if x[2].is_valid:
+                    windows, starts, hit = (y.values.to_numpy() for y in x)
+                    at = np.sort(starts[np.isin(windows, hit)])
+                    covered[i] = int(np.minimum(np.diff(at), PASSAGE).sum()) + PASSAGE
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash"), batch.column("copies"), pa.array(covered, pa.int64())], names=["_hash", "copies", "covered"])
+
+    return met.mapInArrow(cover, "_hash bigint, copies bigint, covered bigint")
+
+
+def _shared_windows(batch: pa.RecordBatch) -> list[pa.Array]:
+    """Of every text, the hashes and first words of the windows whose anchor is one of its
+    ``phrases``."""
+    wanted = batch.column("phrases")
+    rows = np.flatnonzero(wanted.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    some = wanted.take(pa.array(rows))
+    found = phrases(*arrays.column_bytes(batch.column("text").take(pa.array(rows))))
+
+    def key(doc: np.ndarray, h: np.ndarray) -> np.ndarray:  # equal keys of different anchors only add windows
+        return arrays.mix(doc.astype(_U) + _U(1)) ^ h.view(_U)
+
+    asked = key(some.value_parent_indices().to_numpy(zero_copy_only=False), some.flatten().to_numpy(zero_copy_only=False))
+    own = np.isin(key(found["doc"], found["h"]), asked)
+    doc, low, high = (found[k][own] for k in ("doc", "low", "high"))
+    at, doc = arrays.ranges(low, high - low + 1), np.repeat(doc, high - low + 1)
+    ends = np.cumsum(np.bincount(rows[doc], minlength=len(wanted)))
+    offsets = pa.array(np.append(0, ends).astype(np.int32))
+    windows, starts = pa.array(found["windows"][at]), pa.array((at - found["first"][doc]).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, windows), pa.ListArray.from_arrays(offsets, starts)]
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, ``spans`` (removed runs of
+    bytes) and n_passage_words (words in PASSAGE words in a row that another document
+    holds too, white space aside; these stay where no MATCH bytes repeat) of every whole
+    text.
+
+    Input: columns doc_id (integer) and text; others are ignored. Texts are UTF-8 bytes;
+    null is empty; texts under MATCH bytes keep all. Repeated rows are documents of
+    their own, so they repeat each other; rows of equal doc_id and text get one
+    result each.
+    """
+    spark = docs.sparkSession
+    hit = common.stage_alone(spark, lambda: _hit(docs), "spans")
+    shared = common.stage_alone(spark, lambda: shared_phrases(docs), "shared-phrases").withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash", "h": "phrase"})
     # the anchors of one document meet in one row: as many as its own length allows
-    hit = hit.groupBy("_id", "_hash").agg(F.collect_set("span").alias("spans"))
+    hit = hit.unionByName(shared, allowMissingColumns=True)
+    hit = hit.groupBy("_id", "_hash").agg(F.collect_set("span").alias("spans"), F.collect_set("phrase").alias("phrases"))
     rows = _rows(docs)
     met = rows.join(hit, rows["doc_id"].eqNullSafe(hit["_id"]) & (rows["text_hash"] == hit["_hash"]), "left")
-    met = met.select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]
+    met = met.select("doc_id", "text", "text_hash", "spans", "phrases")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text_hash", "n_words", "windows", "starts"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,12 +543,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
             longs = [pa.array(x, pa.int64()) for x in (np.diff(at), removed, [len(r) for r in merged])]
             values = [batch.column("doc_id"), *longs, pa.array(hashes, pa.string()), pa.array(merged, kind)]
+            values += [batch.column("text_hash"), pa.array(word_counts(data, at), pa.int64()), *_shared_windows(batch)]
             yield pa.RecordBatch.from_arrays(values, names=names)
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s:int,e:int>>"
-    return met.mapInArrow(cut, schema)
+    schema += ", text_hash bigint, n_words bigint, windows array<bigint>, starts array<int>"
+    kept = common.stage_alone(spark, lambda: met.mapInArrow(cut, schema), "kept")
+    found = common.stage_alone(spark, lambda: _passage_words(kept), "covered")
+    counted = kept.join(found, F.col("text_hash") == F.col("_hash"))
+    # a text in two rows stands in another document wholly
+    words = F.when(F.col("copies") == 1, F.col("covered")).when(F.col("n_words") >= PASSAGE, F.col("n_words")).otherwise(0)
+    return counted.select(*names[:6], words.cast("long").alias("n_passage_words"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(common.read(spark, sf_dir, "documents", ["doc_id", "text"]))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words")

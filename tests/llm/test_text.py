@@ -319,3 +319,45 @@ def test_anchors_of_long_batches(monkeypatch):
     parts = suffix_dedup.anchors(data, offsets)
     covered = lambda x: sorted(w + 0 for a, b, d in zip(x["low"], x["high"], x["doc"], strict=True) for w in range(d * 100000 + a, d * 100000 + b + 1))
     assert covered(whole) == covered(parts) == [d * 100000 + s for d, n in enumerate(np.diff(offsets)) for s in range(max(0, n - 399))]
+
+
+def brute_passage_words(texts, size):
+    """Words in ``size`` words in a row that another row's text holds too."""
+    split = [re.findall(r"[^ \t\n\x0b\f\r]+", t or "") for t in texts]
+    holders = collections.defaultdict(set)
+    for k, w in enumerate(split):
+        for i in range(len(w) - size + 1):
+            holders[tuple(w[i : i + size])].add(k)
+    return [len({i + j for i in range(len(w) - size + 1) if len(holders[tuple(w[i : i + size])]) > 1 for j in range(size)}) for w in split]
+
+
+def test_passages_under_400_bytes_are_counted(spark):
+    """They stay by the byte rule; a repeat inside one document alone is none."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"{rng.choice('abcd')}{rng.randrange(10**5)}" for _ in range(n))
+    passages = [" ".join(rng.choice(["of", "the", "ein", "é", "x"]) + str(rng.randrange(99)) for _ in range(n)) for n in (50, 51, 55, 60)]
+    texts = [None, "", fresh(40), fresh(300), passages[2]]
+    texts += [f"{fresh(rng.randrange(90))} {p} {fresh(rng.randrange(90))}" for p in passages for _ in range(3)]
+    texts += ["\n".join([fresh(5), passages[1].replace(" ", "\n"), fresh(70)])]
+    texts += [f"{(alone := fresh(80))} {alone}", (twice := fresh(60)), twice, "short copy", "short copy", "and " * 400, "so " * 200]
+    near = fresh(900).split()
+    texts += [" ".join(near), " ".join(near[:200] + ["new"] + near[201:480] + near[520:]), " ".join(near[:70] + near[30:90])]
+    rows = [*zip([*range(len(texts) - 2), 7, None], texts, strict=True)]
+    got = rows_of(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    want = collections.Counter((k, n) for (k, _), n in zip(rows, brute_passage_words(texts, 51), strict=True))
+    assert collections.Counter((r["doc_id"], r["n_passage_words"]) for r in got) == want
+    short = [r for r in got if r["n_removed"] == 0 and r["n_passage_words"] > 0]
+    assert len(short) >= 8  # what the byte rule alone says nothing of
+
+
+def test_phrases_of_long_batches(monkeypatch):
+    rng = random.Random(3)
+    data = " ".join(rng.choice(["a", "bc", "def"]) for _ in range(12000)).encode()
+    offsets = np.array([0, 90, 90, 9000, len(data)])
+    whole = suffix_dedup.phrases(np.frombuffer(data, np.uint8), offsets)
+    monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", 12)
+    parts = suffix_dedup.phrases(np.frombuffer(data, np.uint8), offsets)
+    covered = lambda x: [w for a, b in zip(x["low"], x["high"], strict=True) for w in range(a, b + 1)]
+    first = whole["first"].tolist()
+    assert covered(whole) == covered(parts) == [w for a, b in zip(first, first[1:]) for w in range(a, b - 50)]
+    assert suffix_dedup.word_counts(np.frombuffer(data, np.uint8), offsets).sum() == first[-1]
