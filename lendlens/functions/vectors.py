@@ -46,8 +46,9 @@ def l2_norm(a: ColumnOrName, dim: int | None = None) -> Column:
 def normalize(a: ColumnOrName) -> Column:
     """Unit-length copy of ``a`` (a zero vector stays zero)."""
     a = col(a)
-    n = l2_norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    # the norm as a bound variable: within the lambda it would be summed anew for every element
+    scaled = F.get(F.transform(F.array(l2_norm(a)), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n))), 0)
+    return F.coalesce(scaled, a)
 
 
 def cosine_distance(a: ColumnOrName, b: ColumnOrName) -> Column:

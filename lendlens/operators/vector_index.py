@@ -171,7 +171,7 @@ def knn_join(queries: DataFrame, base: DataFrame, *, query_id: str, base_id: str
                                                          F.lit(1).alias("neighbour_rank")), query_id)
     # rows in pieces of neighbouring cells, queries in blocks: both bounded, and written
     # once, so that a row keeps its piece whatever is computed again
-    parts = lambda df: _parts(df.count())
+    parts = lambda df: _parts(df.count(), len(centres[0]))
     n_pieces, n_blocks = parts(cells), parts(q)
     pieces = cells.withColumn("_n", F.monotonically_increasing_id()).repartitionByRange(n_pieces, "_cell", "_n").drop("_n")
     pieces = scratch_table(pieces.withColumn("_piece", F.spark_partition_id()), "knn_pieces")
@@ -202,17 +202,22 @@ def _named(found: DataFrame, query_id: str) -> DataFrame:
     return found.select(F.col("_qid").alias(query_id), F.col("_bid").alias("neighbour_id"), "cosine_distance", "neighbour_rank")
 
 
-#: Rows of a piece or block at most (about), and above which there are several; query rows and
-#: distances of one matrix product.
-PART_ROWS, SPLIT_ROWS, PARTS = 32_768, 1024, 4
-TILE_ROWS, TILE_CELLS = 256, 1 << 22
+#: Rows of a piece or block at most (about), their numbers, and rows above which there are several; query rows
+#: and base rows of one matrix product.
+PART_ROWS, PART_NUMBERS, SPLIT_ROWS, PARTS = 65_536, 1 << 22, 1024, 4
+TILE_ROWS, TILE_COLUMNS = 256, 4096
+#: Distances and vectors that are looked at together besides: query rows by centres, pairs.
+_SOME_ROWS, _SOME_PAIRS = 1024, 1 << 14
 #: Above the rounding of a matrix product of unit vectors.
 _SLACK = 1e-9
+#: Below every cosine.
+_LOWEST = -1e30
 
 
-def _parts(rows: int) -> int:
-    """Pieces of a table: a few for a small one (so that cores have work), then by its rows."""
-    return max(1, min(PARTS, -(-rows // SPLIT_ROWS)), -(-rows // PART_ROWS))
+def _parts(rows: int, dim: int = 1) -> int:
+    """Pieces of a table: a few for a small one (so that cores have work), then by its rows and their length."""
+    most = max(1, min(PART_ROWS, PART_NUMBERS // max(1, dim)))
+    return max(1, min(PARTS, -(-rows // SPLIT_ROWS)), -(-rows // most))
 
 
 class Probes:
@@ -222,18 +227,26 @@ class Probes:
     def __init__(self, centres: list[list[float]], nprobe: int, radii: list[float] | None = None):
         self.centres, self.nprobe, self.radii = centres, nprobe, radii
 
-    def cells(self, q, bound):
-        """(queries x cells) booleans, and each query's nearest cell."""
+    def cells(self, q, bound, only=None):
+        """(queries x cells) booleans, of the cells ``only`` if given, and each query's nearest cell."""
         c = np.asarray(self.centres, dtype=float)
+        only = np.arange(len(c)) if only is None else only
+        if self.radii is None and self.nprobe >= len(c):
+            return np.ones((len(q), len(only)), bool), np.zeros(len(q), np.int64)
+        found = [self._some(q[at : at + _SOME_ROWS], bound[at : at + _SOME_ROWS], c) for at in range(0, max(1, len(q)), _SOME_ROWS)]
+        return np.concatenate([wanted[:, only] for wanted, _ in found]), np.concatenate([near for _, near in found])
+
+    def _some(self, q, bound, c):
         with np.errstate(invalid="ignore"):
             far = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2.0 * q @ c.T + (c * c).sum(axis=1)[None, :], 0.0))
+        near = far.argmin(axis=1)
         if self.radii is not None:  # written so that a distance that is no number prunes nothing
-            return ~(far - np.asarray(self.radii)[None, :] > bound[:, None] + 1e-6), far.argmin(axis=1)
-        if self.nprobe >= len(c):
-            return np.ones(far.shape, bool), far.argmin(axis=1)
-        wanted = np.zeros(far.shape, bool)
-        np.put_along_axis(wanted, np.argsort(far, axis=1, kind="stable")[:, : self.nprobe], True, axis=1)
-        return wanted, far.argmin(axis=1)
+            return ~(far - np.asarray(self.radii)[None, :] > bound[:, None] + 1e-6), near
+        far[np.isnan(far)] = np.inf  # last
+        last = np.partition(far, self.nprobe - 1, axis=1)[:, self.nprobe - 1 : self.nprobe]
+        wanted, tied = far < last, far == last
+        # of equally far centres the first
+        return wanted | (tied & (np.cumsum(tied, axis=1) <= self.nprobe - wanted.sum(axis=1)[:, None])), near
 
 
 def _matrix(column):
@@ -243,68 +256,185 @@ def _matrix(column):
     return np.asarray(flat, dtype=float).reshape(len(column), -1)
 
 
+def _first_copies(base, number, base_rank, cell, most: int):
+    """Places, by cell, of the rows that can count: of equal vectors of a cell (and of those that aren't
+    ``number``s, whose distances are none) only the ``most`` of lowest rank."""
+    bits = np.ascontiguousarray(base).view(np.int64)
+    factors = np.random.default_rng(1).integers(1 << 62, size=base.shape[1]) * 2 + 1
+    mixed = np.where(number, bits @ factors, 0)  # equal vectors have equal sums; others are told apart below
+    order = np.lexsort((base_rank, mixed, number, cell))
+    new = np.ones(len(order), bool)
+    a, b = order[1:], order[:-1]
+    new[1:] = (cell[a] != cell[b]) | (mixed[a] != mixed[b]) | (number[a] != number[b])
+    close = np.flatnonzero(~new[1:] & number[a])
+    for at in range(0, len(close), _SOME_PAIRS):
+        some = close[at : at + _SOME_PAIRS]
+        new[1 + some] = (bits[a[some]] != bits[b[some]]).any(axis=1)
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    order = order[place < most]
+    return order[np.lexsort((base_rank[order], cell[order]))]
+
+
+def _places(mask):
+    """The places of a matrix's few true values: row and column."""
+    flat = np.ascontiguousarray(mask).reshape(-1)
+    if flat.size % 8:
+        at = np.flatnonzero(flat)
+    else:  # eight at a time
+        words = np.flatnonzero(flat.view(np.uint64))
+        word, byte = np.nonzero(flat.reshape(-1, 8)[words])
+        at = words[word] * 8 + byte
+    return at // mask.shape[1], at % mask.shape[1]
+
+
+def _exact(q, a, base, b):
+    """Distances of pairs, summed from left to right, as SQL does."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), _SOME_PAIRS):
+        v, w = q[a[at : at + _SOME_PAIRS]], base[b[at : at + _SOME_PAIRS]]
+        with np.errstate(invalid="ignore", over="ignore"):
+            total = v[:, 0] * w[:, 0] if v.shape[1] else np.zeros(len(v))
+            for j in range(1, v.shape[1]):
+                total = total + v[:, j] * w[:, j]
+        out[at : at + _SOME_PAIRS] = 1.0 - total
+    return out
+
+
+def _own_rows(q_rank, by_rank, sorted_rank):
+    """(query, base place) of the base rows that have a query's id."""
+    low, high = (np.searchsorted(sorted_rank, q_rank, side=s) for s in ("left", "right"))
+    times = high - low
+    a = np.repeat(np.arange(len(q_rank)), times)
+    return a, by_rank[np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
+
+
+class _Pool:
+    """The rows, with their cosines (about), that may be among the ``k`` nearest of a tile's queries."""
+
+    def __init__(self, least, k: int, eps: float):
+        #: Cosine below which a query needs no row.
+        self.least, self.k, self.eps = least, k, eps
+        self.a, self.b, self.s, self.held, self.room = [], [], [], 0, 0
+
+    def add(self, a, b, s) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.s.append(s)
+        self.held += len(a)
+        if self.held > self.room:
+            self.shrink()
+            self.room = 2 * self.held + len(self.least) * self.k
+
+    def shrink(self) -> None:
+        a, b, s = (np.concatenate(x) for x in (self.a, self.b, self.s))
+        order = np.lexsort((-s, a))
+        a, b, s = a[order], b[order], s[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a, side="left")
+        kth = place == self.k - 1
+        self.least[a[kth]] = np.maximum(self.least[a[kth]], s[kth] - self.eps)
+        keep = s >= self.least[a]
+        self.a, self.b, self.s, self.held = [a[keep]], [b[keep]], [s[keep]], int(keep.sum())
+
+
 def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude_self: bool):
-    """(query place, base place, distance) of every query's ``k`` nearest rows (ties: lower rank)
-    among those of its ``wanted`` cells. Matrix products pick the rows that can be among them; their
-    distances are summed from left to right, as SQL does, and ranked exactly."""
-    order = np.lexsort((base_rank, cell))
-    base, base_rank, cell = base[order], base_rank[order], cell[order]
-    # of equal vectors of a cell only the first can count: k, and as many as the own id has rows
+    """(query place, base place, distance) of every query's ``k`` nearest rows (ties: lower rank) among
+    those of its ``wanted`` cells (a column for each cell number in ``cell``, ascending). Single-precision matrix products pick the rows that can be among them, by
+    a margin above their rounding; the distances of these are summed exactly and ranked."""
     copies = int(np.unique(base_rank, return_counts=True)[1].max()) if exclude_self and len(base) else 0
-    same = np.unique(np.ascontiguousarray(base).view(np.int64).reshape(len(base), -1), axis=0, return_inverse=True)[1].ravel()
-    grouped = np.lexsort((base_rank, same, cell))
-    new = np.ones(len(grouped), bool)
-    new[1:] = (same[grouped][1:] != same[grouped][:-1]) | (cell[grouped][1:] != cell[grouped][:-1])
-    place = np.arange(len(grouped)) - np.maximum.accumulate(np.where(new, np.arange(len(grouped)), 0))
-    kept = np.sort(grouped[place < k + copies])
-    order, base, base_rank, cell = order[kept], base[kept], base_rank[kept], cell[kept]
-    numbers, begin = np.unique(cell, return_index=True)
-    sizes = np.diff(np.append(begin, len(cell)))
-    by_rank = np.argsort(base_rank, kind="stable")
-    sorted_rank = base_rank[by_rank]
+    number, asks = np.isfinite(base).all(axis=1), np.isfinite(q).all(axis=1)
+    kept = _first_copies(base, number, base_rank, cell, k + copies)
+    column = np.unique(cell, return_inverse=True)[1].ravel()
+    odd, order = kept[~number[kept]], kept[number[kept]]
+    rows, rank, column_of = base[order], base_rank[order], column[order]
+    few, fast = rows.astype(np.float32), q.astype(np.float32)
+    norm = max((float(np.sqrt((x * x).sum(axis=1).max())) for x in (rows, q[asks]) if len(x)), default=1.0)
+    eps = (base.shape[1] + 8) * 2.0**-23 * max(1.0, norm * norm)
+    ends = np.searchsorted(column_of, np.arange(wanted.shape[1] + 1))
+    sizes = np.diff(ends)
+    by_rank = np.argsort(rank, kind="stable")
+    sorted_rank = rank[by_rank]
     out = []
-    queries = np.argsort(near, kind="stable")  # queries near one another want the same cells
+    queries = np.flatnonzero(asks)
+    queries = queries[np.argsort(near[queries], kind="stable")]  # queries near one another want the same cells
     for at in range(0, len(queries), TILE_ROWS):
         tile = queries[at : at + TILE_ROWS]
-        want = wanted[tile][:, numbers]
-        some = want.any(axis=0)
-        columns = np.flatnonzero(np.repeat(some, sizes))
-        if not len(columns):
-            continue
-        rows = len(columns) if len(tile) * len(columns) <= TILE_CELLS else max(1, TILE_CELLS // len(tile))
-        for start in range(0, len(columns), rows):
-            part = columns[start : start + rows]
-            with np.errstate(invalid="ignore", over="ignore"):
-                d = 1.0 - q[tile] @ base[part].T
-            d[np.isnan(d)] = np.inf  # ranked last, below
-            use = np.repeat(want[:, some], sizes[some], axis=1)[:, start : start + rows]
-            if exclude_self:
-                low, high = (np.searchsorted(sorted_rank, q_rank[tile], side=s) for s in ("left", "right"))
-                for i in np.flatnonzero(high > low):
-                    own = by_rank[low[i] : high[i]]
-                    pos = np.searchsorted(part, own)
-                    hit = pos < len(part)
-                    pos = pos[hit][part[pos[hit]] == own[hit]]
-                    use[i, pos] = False
-            score = np.where(use, d, np.inf)
-            if len(part) > k:
-                limit = np.partition(score, k - 1, axis=1)[:, k - 1]
-                use &= score <= limit[:, None] + _SLACK
-            a, b = np.nonzero(use)
-            if not len(a):
-                continue
-            v, w = q[tile[a]], base[part[b]]
-            with np.errstate(invalid="ignore", over="ignore"):
-                total = v[:, 0] * w[:, 0] if v.shape[1] else np.zeros(len(a))
-                for j in range(1, v.shape[1]):
-                    total = total + v[:, j] * w[:, j]
-            out.append((tile[a], part[b], 1.0 - total))
-            if start + rows >= len(columns) or len(out) > 64:
-                out = [_best(out, base_rank, k)]
+        want = wanted[tile]
+        some, every = want.any(axis=0), bool(want.all())
+        columns = np.arange(len(rows)) if every else np.flatnonzero(np.repeat(some, sizes))
+        pool = _Pool(np.full(len(tile), _LOWEST), k, eps)
+        own_a = own_at = np.zeros(0, np.int64)
+        if exclude_self:
+            own_a, own_b = _own_rows(q_rank[tile], by_rank, sorted_rank)
+            own_at = np.searchsorted(columns, own_b)
+            here = np.flatnonzero(own_at < len(columns))
+            here = here[columns[own_at[here]] == own_b[here]]
+            own_a, own_at = own_a[here], own_at[here]
+        for start in range(0, len(columns), TILE_COLUMNS):
+            part = slice(start, start + TILE_COLUMNS) if every else columns[start : start + TILE_COLUMNS]
+            mine = (own_at >= start) & (own_at < start + TILE_COLUMNS)
+
+            def cosines(v, w):
+                s = v[tile] @ w[part].T  # noqa: B023
+                s[own_a[mine], own_at[mine] - start] = -np.inf  # noqa: B023
+                return s
+
+            def masked(s, who):
+                if not every:  # noqa: B023
+                    s[~want[who][:, column_of[part]]] = -np.inf  # noqa: B023
+                return s
+
+            s = cosines(fast, few)
+            fresh = np.flatnonzero(pool.least <= _LOWEST)  # queries that have no k rows yet
+            if len(fresh):
+                first = masked(s[fresh], fresh)
+                if s.shape[1] > k:
+                    kth = np.partition(first, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    pool.least[fresh] = np.maximum(pool.least[fresh], kth - eps)
+                s[fresh] = first
+            # rounded down: what is single in a comparison must not pass over a row
+            a, b = _places(s >= np.nextafter(pool.least.astype(np.float32), np.float32(-np.inf))[:, None])
+            if len(a) > max(s.size // 16, len(tile) * k * 4):  # many rows within the rounding: closer
+                s = masked(cosines(q, rows), slice(None))
+                if s.shape[1] > k:
+                    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    a, b = _places((s >= kth[:, None] - _SLACK) & (s >= pool.least[:, None]))
+                else:
+                    a, b = _places(s >= pool.least[:, None])
+            found, b = s[a, b].astype(float), b + start
+            if not every:
+                b = columns[b]
+                inside = want[a, column_of[b]]
+                a, b, found = a[inside], b[inside], found[inside]
+            if len(a):
+                pool.add(a, b, found)
+        if pool.held:
+            pool.shrink()
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pool.a, pool.b))
+        short = tile[np.bincount(a, minlength=len(tile)) < k] if len(odd) else tile[:0]
+        a, b = tile[a], order[b]
+        found = [(a, b, _exact(q, a, base, b))]
+        if len(short):  # distances that are no numbers come last
+            found.append(_odd_pairs(short, q_rank, wanted, odd, base_rank, column, exclude_self))
+        out.append(_best(found, base_rank, k))
+    asking = np.flatnonzero(~asks)
+    if len(asking):  # no distance of theirs is a number; they all want the same cells
+        ranked = kept[wanted[asking[0]][column[kept]]]
+        ranked = ranked[np.argsort(base_rank[ranked], kind="stable")][: k + copies]
+        for at in range(0, len(asking), TILE_ROWS):
+            tile = asking[at : at + TILE_ROWS]
+            out.append(_best([_odd_pairs(tile, q_rank, wanted, ranked, base_rank, column, exclude_self)], base_rank, k))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    a, b, d = _best(out, base_rank, k)
-    return a, order[b], d
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _odd_pairs(tile, q_rank, wanted, rows, base_rank, column, exclude_self: bool):
+    """Pairs of some queries and rows whose distances are no numbers."""
+    use = wanted[tile][:, column[rows]]
+    if exclude_self:
+        use &= q_rank[tile][:, None] != base_rank[rows][None, :]
+    a, b = np.nonzero(use)
+    return tile[a], rows[b], np.full(len(a), np.nan)
 
 
 def _best(found, rank, k: int):
@@ -329,8 +459,11 @@ def _search(blocks: DataFrame, pieces: DataFrame, n_blocks: int, held: list[tupl
     def asked(vectors: pa.Array, bound: pa.Array) -> pa.Array:
         if not len(vectors):
             return pa.array([], pa.list_(pa.int32()))
-        wanted, _ = probes.cells(_matrix(pa.chunked_array([vectors])), bound.to_numpy(zero_copy_only=False))
-        sent = (wanted.astype(np.float32) @ where.astype(np.float32)) > 0
+        q, bound, sent = _matrix(pa.chunked_array([vectors])), bound.to_numpy(zero_copy_only=False), []
+        for at in range(0, len(q), _SOME_ROWS):
+            wanted, _ = probes.cells(q[at : at + _SOME_ROWS], bound[at : at + _SOME_ROWS])
+            sent.append((wanted.astype(np.float32) @ where.astype(np.float32)) > 0)
+        sent = np.concatenate(sent)
         ends = np.append(0, np.cumsum(sent.sum(axis=1)))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(sent)[1], pa.int32()))
 
@@ -347,10 +480,9 @@ def _search(blocks: DataFrame, pieces: DataFrame, n_blocks: int, held: list[tupl
             return pa.table([pa.array([], t) for t in kinds], names=names)
         ids = pa.concat_arrays([c.cast(right.schema.field("_bid").type) for t, n in ((left, "_qid"), (right, "_bid")) for c in t[n].chunks])
         rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
-        q = _matrix(left["_qunit"])
-        wanted, near = probes.cells(q, left["_dk"].to_numpy())
-        a, b, d = nearest_rows(q, rank[: len(q)], wanted, near, _matrix(right["_unit"]), rank[len(q) :],
-                               right["_cell"].to_numpy().astype(np.int64), k, exclude_self)
+        q, bound, cell = _matrix(left["_qunit"]), left["_dk"].to_numpy(), right["_cell"].to_numpy().astype(np.int64)
+        wanted, near = probes.cells(q, bound, np.unique(cell))
+        a, b, d = nearest_rows(q, rank[: len(q)], wanted, near, _matrix(right["_unit"]), rank[len(q) :], cell, k, exclude_self)
         return pa.table([left["_qid"].take(pa.array(a)), right["_bid"].take(pa.array(b)), pa.array(d)], names=names)
 
     return ask.groupBy("_block", "_piece").cogroup(dealt.groupBy("_block", "_piece")).applyInArrow(
