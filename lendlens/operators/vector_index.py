@@ -25,7 +25,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -109,25 +108,34 @@ def probes_for_recall(queries: DataFrame, cells: DataFrame, centres: list[list[f
     if not sample or not centres:
         return 1
     ids, q = [r["_qid"] for r in sample], np.array([r["_qunit"] for r in sample], dtype=float)
+    places: dict = {}
+    for i, own in enumerate(ids):
+        places.setdefault(own, []).append(i)
 
     def nearest(batches):
-        n = len(ids)
-        dist, cell = np.full((n, k), np.inf), np.full((n, k), -1)
-        for pdf in batches:
-            if not len(pdf):
+        row, dist, cell = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            d = 1.0 - q @ np.vstack(pdf["_unit"].to_numpy()).T
+            with np.errstate(invalid="ignore", over="ignore"):
+                d = 1.0 - q @ _matrix(pa.chunked_array([batch["_unit"]])).T
             if exclude_self:
-                d[np.array(ids, dtype=object)[:, None] == pdf["_bid"].to_numpy(dtype=object)[None, :]] = np.inf
-            every = np.hstack([dist, d])
-            at = np.argsort(every, axis=1, kind="stable")[:, :k]
-            dist = np.take_along_axis(every, at, axis=1)
-            cell = np.take_along_axis(np.hstack([cell, np.tile(pdf["_cell"].to_numpy(), (n, 1))]), at, axis=1)
-        held = np.isfinite(dist)
-        yield pd.DataFrame({"q": np.nonzero(held)[0], "d": dist[held], "_cell": cell[held]})
+                mine = pc.index_in(batch["_bid"], pa.array(list(places)).cast(batch["_bid"].type))
+                for j in np.flatnonzero(mine.is_valid().to_numpy(zero_copy_only=False)):
+                    d[list(places.values())[mine[int(j)].as_py()], j] = np.inf
+            d[~np.isfinite(d)] = np.inf
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(ids), np.inf)
+            a, b = np.nonzero((d <= limit[:, None]) & (d < np.inf))
+            row, dist = np.append(row, a), np.append(dist, d[a, b])
+            cell = np.append(cell, batch["_cell"].to_numpy()[b])
+            order = np.lexsort((dist, row))  # stable: of equal distances the earlier
+            row, dist, cell = row[order], dist[order], cell[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+            row, dist, cell = row[first], dist[first], cell[first]
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(dist), pa.array(cell, pa.int32())], names=["q", "d", "_cell"])
 
     w = Window.partitionBy("q").orderBy("d", "_cell")
-    found = cells.select("_bid", "_unit", "_cell").mapInPandas(nearest, "q long, d double, _cell int")
+    found = cells.select("_bid", "_unit", "_cell").mapInArrow(nearest, "q long, d double, _cell int")
     found = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("q", "_cell").collect()
     if not found:
         return 1
