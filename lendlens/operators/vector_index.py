@@ -344,9 +344,10 @@ class _Pool:
         self.a, self.b, self.s, self.held = [a[keep]], [b[keep]], [s[keep]], int(keep.sum())
 
 
-def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude_self: bool):
+def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude_self: bool, bound=None):
     """(query place, base place, distance) of every query's ``k`` nearest rows (ties: lower rank) among
-    those of its ``wanted`` cells (a column for each cell number in ``cell``, ascending). Single-precision matrix products pick the rows that can be among them, by
+    those of its ``wanted`` cells (a column for each cell number in ``cell``, ascending) and, with ``bound``,
+    among those that far at most. Single-precision matrix products pick the rows that can be among them, by
     a margin above their rounding; the distances of these are summed exactly and ranked."""
     copies = int(np.unique(base_rank, return_counts=True)[1].max()) if exclude_self and len(base) else 0
     number, asks = np.isfinite(base).all(axis=1), np.isfinite(q).all(axis=1)
@@ -370,6 +371,9 @@ def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude
         some, every = want.any(axis=0), bool(want.all())
         columns = np.arange(len(rows)) if every else np.flatnonzero(np.repeat(some, sizes))
         pool = _Pool(np.full(len(tile), _LOWEST), k, eps)
+        if bound is not None:
+            limit = 1.0 - bound[tile] * bound[tile] / 2.0 - eps - _SLACK
+            pool.least[np.isfinite(limit)] = limit[np.isfinite(limit)]
         own_a = own_at = np.zeros(0, np.int64)
         if exclude_self:
             own_a, own_b = _own_rows(q_rank[tile], by_rank, sorted_rank)
@@ -490,7 +494,8 @@ def _search(blocks: DataFrame, pieces: DataFrame, n_blocks: int, held: list[tupl
         rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
         q, bound, cell = _matrix(left["_qunit"]), left["_dk"].to_numpy(), right["_cell"].to_numpy().astype(np.int64)
         wanted, near = probes.cells(q, bound, np.unique(cell))
-        a, b, d = nearest_rows(q, rank[: len(q)], wanted, near, _matrix(right["_unit"]), rank[len(q) :], cell, k, exclude_self)
+        a, b, d = nearest_rows(q, rank[: len(q)], wanted, near, _matrix(right["_unit"]), rank[len(q) :], cell, k,
+                               exclude_self, None if probes.radii is None else bound)
         return pa.table([left["_qid"].take(pa.array(a)), right["_bid"].take(pa.array(b)), pa.array(d)], names=names)
 
     return ask.groupBy("_block", "_piece").cogroup(dealt.groupBy("_block", "_piece")).applyInArrow(
