@@ -28,8 +28,11 @@ predicate is re-checked exactly on the joined rows, so cells and leaves only pru
 pair is lost or added). A base row stays in one cell, so its top ``k`` is found where
 the join left its pairs, without a shuffle of them.
 Vectors of a known short length (``vector_dim``) go along with the cell join, so
-that only pairs within the distance are shuffled by their base id; longer ones stay
-out of it and are fetched by id for the pairs that passed the scalar predicates.
+that only pairs within the distance are shuffled by their base id. Those of a known
+longer length would make its rows wide and be compared by interpreted arithmetic, so
+for a top ``k`` the rows of a cell are dealt to one task with their vectors packed
+(:mod:`cell_pairs`). Vectors of unknown length stay out of the join and are fetched by
+id for the pairs that passed the scalar predicates.
 """
 
 from __future__ import annotations
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import dlit, safe_divide
 from ..functions.vectors import dot, l2_norm
 from ..sources import sinks
-from . import dense_pairs
+from . import cell_pairs, dense_pairs
 
 # ---- fixed values of the audit -------------------------------------------------
 MAX_DISTANCE = 0.05
@@ -65,6 +68,9 @@ STRENGTH_DEFAULT = "MEDIUM_SIMILARITY"
 HEAVY_CELL = 2000
 #: Rows of a row's block, on average, beyond which loan and DTI get cells as well as income.
 CELL_ROWS = {"_cl": 150, "_cd": 1500}
+#: Rows of the largest block up to which income cells are enough where a cell's rows are searched by their loans
+#: (:mod:`cell_pairs`), as copies hold whole vectors.
+PACKED_BLOCK = 8000
 #: Numbers of a vector up to which it goes along with the cell join.
 CARRIED_DIM = 8
 
@@ -77,6 +83,9 @@ _SIDE_NAMES = {
     "loan_amount": "loan_amount", "calculated_dti_ratio": "dti",
 }
 
+#: Those that the pairs of a cell are judged by, under their names there.
+_SCALARS = {"application_id": "_id", "income": "_income", "loan_amount": "_loan", "calculated_dti_ratio": "_dti"}
+
 PAIR_COLUMNS = [
     "base_app_id", "lei", "state_code", "base_race", "base_gender", "base_ethnicity", "base_approved",
     "base_income", "base_loan_amount", "base_dti", "similar_app_id", "similar_race", "similar_gender",
@@ -167,8 +176,10 @@ def top_candidates(
     cells. A base row's pairs are all in one of the two.
 
     Counting the blocks is a job of its own over two columns. Where none has more than ``heavy_cell`` rows, no cell
-    has; else the cells are counted as well, and where none is dense the plan is the plain cell join."""
-    # a short vector goes along, a long one is fetched by id
+    has; else the cells are counted as well, and where none is dense the plan is the plain cell join (or the
+    search of packed rows)."""
+    # a short vector goes along with the join, a long one with the packed rows of a cell, others are fetched by id
+    together = vector_dim is not None and vector_dim > CARRIED_DIM
     carried = vector_col if vector_dim is not None and vector_dim <= CARRIED_DIM else None
 
     def side(rows: DataFrame, prefix: str, cells: Sequence[str]) -> DataFrame:
@@ -186,6 +197,8 @@ def top_candidates(
     sizes = apps.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max(n), F.sum(n * n) / F.sum(n)).first()
     largest, mean = (x or 0.0 for x in sizes)
     dims = [d for d in _dims(*halves) if mean > CELL_ROWS.get(d[0], -1)]
+    if together and largest <= PACKED_BLOCK:
+        dims = dims[:1]
     own, reach = {}, {}
     for name, value, half in dims:
         own[name], reach[name] = _cells(value, half, cell_factor)
@@ -200,13 +213,30 @@ def top_candidates(
         dense = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(c("_n") > heavy_cell)
         dense = sinks.scratch_table(dense, "dense_cells")
         rows = dense.agg(F.sum("_n")).first()[0]
-    if rows is None:
-        return [(base.join(similar, keys).where(order), keys)]
-    cells = dense.select(*keys)
-    sparse = base.join(cells, keys, "left_anti").join(similar.join(cells, keys, "left_anti"), keys).where(order)
     home = F.lit(True)
     for name, column in own.items():
         home = home & (column == F.col(name))
+
+    def packed(cells: DataFrame | None) -> DataFrame:
+        """The copies of all cells but ``cells``, with their vectors packed once a row."""
+        rows = apps.where(F.col("application_id").isNotNull()).withColumns(cell_pairs.packed(F.col(vector_col))).drop(vector_col)
+        for name in own:
+            rows = rows.withColumn(name, F.explode(reach[name]))
+        rows = rows if cells is None else rows.join(cells, keys, "left_anti")
+        known = {"_own": home, "_id": c("application_id"), "_income": c("income"), "_loan": c("loan_amount"), "_dti": c("calculated_dti_ratio")}
+        return rows.withColumns(known).select(*keys, *known, "_dim", "_bits", "_values", *(n for n in _SIDE_COLS if n not in _SCALARS))
+
+    def few(cells: DataFrame | None) -> tuple[DataFrame, list[str]]:
+        if together:
+            sides = {_SCALARS.get(n, n): name for n, name in _SIDE_NAMES.items()}
+            return cell_pairs.top_pairs(packed(cells), keys, block, sides, limits), keys
+        if cells is None:
+            return base.join(similar, keys).where(order), keys
+        return base.join(cells, keys, "left_anti").join(similar.join(cells, keys, "left_anti"), keys).where(order), keys
+
+    if rows is None:
+        return [few(None)]
+    cells = dense.select(*keys)
     copies = copied.join(cells, keys, "left_semi").select(
         *keys, home.alias("_own"), F.col("application_id").alias("_id"), F.col("income").alias("_income"),
         F.col("loan_amount").alias("_loan"), F.col("calculated_dti_ratio").alias("_dti"),
@@ -215,7 +245,7 @@ def top_candidates(
     pieces = -(-int(rows * 3.4) // dense_pairs.PIECE_ROWS)
     found = dense_pairs.top_pairs(copies, keys, limits, pieces, sinks.scratch_table)
     either, other = side(apps, "base", ()), side(apps, "similar", ()).drop(*block)
-    return [(sparse, keys), (found.join(either, "base_app_id").join(other, "similar_app_id"), [])]
+    return [few(cells), (found.join(either, "base_app_id").join(other, "similar_app_id"), [])]
 
 
 def _salted(base: DataFrame, similar: DataFrame, keys: list[str], heavy_cell: int) -> tuple[DataFrame, DataFrame]:
@@ -301,14 +331,18 @@ def similar_pairs(
         parts = top_candidates(apps, block, cells, limits, vector_col, vector_dim, cell_factor, heavy_cell)
 
     def scored(cand: DataFrame, together: list[str]) -> DataFrame:
-        cand = cand.where(_band(band_low, band_high, band_dti))
+        whole = "financial_similarity_distance" in cand.columns  # judged and ranked where its rows lay
+        cand = cand if whole else cand.where(_band(band_low, band_high, band_dti))
         out = cand.withColumns(
             {
                 "income_diff_ratio": safe_divide(F.abs(c("base_income") - c("similar_income")), F.greatest(c("base_income"), c("similar_income"))),
                 "loan_amount_diff_ratio": safe_divide(F.abs(c("base_loan_amount") - c("similar_loan_amount")), F.greatest(c("base_loan_amount"), c("similar_loan_amount"))),
                 "dti_abs_diff": F.abs(c("base_dti") - c("similar_dti")),
             }
-        ).where(
+        )
+        if whole:
+            return _labelled(out).select(*PAIR_COLUMNS)
+        out = out.where(
             (F.coalesce(c("income_diff_ratio"), dlit(1.0)) < dlit(income_tol))
             & (F.coalesce(c("loan_amount_diff_ratio"), dlit(1.0)) < dlit(loan_tol))
             & (c("dti_abs_diff") < dlit(dti_tol))
