@@ -354,10 +354,10 @@ def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude
     kept = _first_copies(base, number, base_rank, cell, k + copies)
     column = np.unique(cell, return_inverse=True)[1].ravel()
     odd, order = kept[~number[kept]], kept[number[kept]]
-    rows, rank, column_of = base[order], base_rank[order], column[order]
-    few, fast = rows.astype(np.float32), q.astype(np.float32)
-    norm = max((float(np.sqrt((x * x).sum(axis=1).max())) for x in (rows, q[asks]) if len(x)), default=1.0)
-    eps = (base.shape[1] + 8) * 2.0**-23 * max(1.0, norm * norm)
+    rank, column_of = base_rank[order], column[order]
+    few, fast = base.astype(np.float32)[order], q.astype(np.float32)
+    squares = [np.einsum("ij,ij->i", x, x)[use] for x, use in ((base, number), (q, asks))]
+    eps = (base.shape[1] + 8) * 2.0**-23 * max(1.0, *(float(x.max()) for x in squares if len(x)), 1.0)
     ends = np.searchsorted(column_of, np.arange(wanted.shape[1] + 1))
     sizes = np.diff(ends)
     by_rank = np.argsort(rank, kind="stable")
@@ -369,7 +369,7 @@ def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude
         tile = queries[at : at + TILE_ROWS]
         want = wanted[tile]
         some, every = want.any(axis=0), bool(want.all())
-        columns = np.arange(len(rows)) if every else np.flatnonzero(np.repeat(some, sizes))
+        columns = np.arange(len(order)) if every else np.flatnonzero(np.repeat(some, sizes))
         pool = _Pool(np.full(len(tile), _LOWEST), k, eps)
         if bound is not None:
             limit = 1.0 - bound[tile] * bound[tile] / 2.0 - eps - _SLACK
@@ -386,7 +386,7 @@ def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude
             mine = (own_at >= start) & (own_at < start + TILE_COLUMNS)
 
             def cosines(v, w):
-                s = v[tile] @ w[part].T  # noqa: B023
+                s = v[tile] @ w.T  # noqa: B023
                 s[own_a[mine], own_at[mine] - start] = -np.inf  # noqa: B023
                 return s
 
@@ -395,7 +395,7 @@ def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude
                     s[~want[who][:, column_of[part]]] = -np.inf  # noqa: B023
                 return s
 
-            s = cosines(fast, few)
+            s = cosines(fast, few[part])
             fresh = np.flatnonzero(pool.least <= _LOWEST)  # queries that have no k rows yet
             if len(fresh):
                 first = masked(s[fresh], fresh)
@@ -406,7 +406,7 @@ def nearest_rows(q, q_rank, wanted, near, base, base_rank, cell, k: int, exclude
             # rounded down: what is single in a comparison must not pass over a row
             a, b = _places(s >= np.nextafter(pool.least.astype(np.float32), np.float32(-np.inf))[:, None])
             if len(a) > max(s.size // 16, len(tile) * k * 4):  # many rows within the rounding: closer
-                s = masked(cosines(q, rows), slice(None))
+                s = masked(cosines(q, base[order[part]]), slice(None))
                 if s.shape[1] > k:
                     kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
                     a, b = _places((s >= kth[:, None] - _SLACK) & (s >= pool.least[:, None]))
